@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attesta.llm import duplicates, groups, leakage
+from attesta.llm import credentials, duplicates, encoding, groups, leakage
 from attesta.sources.tables import keyed, table
 
 
@@ -28,6 +29,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.entity_groups(table(spark, folder, "merge_candidate"), keyed(spark, folder, "entity", "id", "canonical_id"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    spans = table(spark, folder, "evidence").select(F.col("evidence_id").alias("id"), F.col("span_text").alias("text"))
+    found = credentials.credentials(spans)
+    return found.select(F.col("id").alias("evidence_id"), F.explode("secrets").alias("secret")).distinct()
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every citation that holds a credential, with the credential overwritten in place."""
+    spans = keyed(spark, folder, "evidence", "evidence_id", "span_text").select(F.col("evidence_id").alias("id"), F.col("span_text").alias("text"))
+    return credentials.credentials(spans).select(F.col("id").alias("evidence_id"), "redacted", F.size("secrets").alias("secrets"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     items = keyed(spark, folder, "eval_item", "item_id", "text")
@@ -41,8 +54,17 @@ def p7_regions(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(documents, items, length=100, budget=6, q=8).distinct()
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.garbled_documents(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every garbled document with its original text, null where that can't be had in full."""
+    return encoding.garbled_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_copies, p3_found, p7_found, p7_regions)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p3_found, p4_found, p4_redacted, p7_found, p7_regions, p8_found, p8_restored)}
 
 
 FIELDS = r"""list_filter(regexp_split_to_array(replace(regexp_replace(span_text, '^[\s\x{A0}`]*[\[({]?|[\])}]?[\s\x{A0}`;,]*$', '', 'g'), chr(8203), ''), '[\n\r,;]+'),
