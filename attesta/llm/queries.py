@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import credentials, duplicates, encoding, groups, leakage
+from attesta.llm import credentials, duplicates, encoding, groups, leakage, names
 from attesta.sources.tables import keyed, table
 
 
@@ -41,6 +41,12 @@ def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.credentials(spans).select(F.col("id").alias("evidence_id"), "redacted", F.size("secrets").alias("secrets"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    mention = keyed(spark, folder, "mention", "mention_id", "raw", "kind")
+    entity = keyed(spark, folder, "entity", "id", "kind", "display_name")
+    return names.attributed(mention, entity).select("mention_id", "entity_id").distinct()
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     items = keyed(spark, folder, "eval_item", "item_id", "text")
@@ -64,7 +70,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_copies, p3_found, p4_found, p4_redacted, p7_found, p7_regions, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p3_found, p4_found, p4_redacted, p5_found, p7_found, p7_regions, p8_found, p8_restored)}
 
 
 FIELDS = r"""list_filter(regexp_split_to_array(replace(regexp_replace(span_text, '^[\s\x{A0}`]*[\[({]?|[\])}]?[\s\x{A0}`;,]*$', '', 'g'), chr(8203), ''), '[\n\r,;]+'),
