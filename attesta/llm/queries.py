@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import credentials, duplicates, encoding, groups, leakage, names
+from attesta.llm import credentials, duplicates, encoding, groups, leakage, names, packing
 from attesta.sources.tables import keyed, table
 
 
@@ -47,6 +47,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.attributed(mention, entity).select("mention_id", "entity_id").distinct()
 
 
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
+def p6_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens and share of each source in each window of 256 containers."""
+    return packing.mixture(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     items = keyed(spark, folder, "eval_item", "item_id", "text")
@@ -70,7 +79,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_copies, p3_found, p4_found, p4_redacted, p5_found, p7_found, p7_regions, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p3_found, p4_found, p4_redacted, p5_found, p6_packed, p6_mixture, p7_found, p7_regions, p8_found, p8_restored)}
 
 
 FIELDS = r"""list_filter(regexp_split_to_array(replace(regexp_replace(span_text, '^[\s\x{A0}`]*[\[({]?|[\])}]?[\s\x{A0}`;,]*$', '', 'g'), chr(8203), ''), '[\n\r,;]+'),
