@@ -1,0 +1,21 @@
+"""Vectors as arrays: dot product, length and cosine, without leaving the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Sum of products as double; null where the lengths differ or an element is null."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of the angle; 0 where a vector has no length."""
+    size = norm(a) * norm(b)
+    return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.plans import activity
+from attesta.plans import activity, catalogue, claims
 
 
-MODULES = (activity,)
+MODULES = (activity, claims, catalogue)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
