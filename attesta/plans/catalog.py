@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.plans import activity, catalogue, claims
+from attesta.plans import activity, catalogue, claims, evidence, usage
 
 
-MODULES = (activity, claims, catalogue)
+MODULES = (activity, claims, catalogue, evidence, usage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
