@@ -25,8 +25,9 @@ def resolve_predicates(raw: DataFrame) -> DataFrame:
 
 
 def entries(qualifiers: Column) -> Column:
-    """A map's entries as "k=v" in order of the keys."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(qualifiers)), lambda e: F.concat_ws("=", e["key"], F.trim(e["value"]))), ",")
+    """A map's entries as "k=v" in order of the keys; empty for a null map."""
+    joined = F.array_join(F.transform(F.array_sort(F.map_entries(qualifiers)), lambda e: F.concat_ws("=", e["key"], F.trim(e["value"]))), ",")
+    return F.coalesce(joined, F.lit(""))
 
 
 def fingerprint(subject: Column, predicate: Column, obj: Column, literal: Column, identifying: Column) -> Column:

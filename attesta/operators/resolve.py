@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,26 +48,39 @@ def alias_matches(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return pairs.where(fits & family).withColumn("nth", F.row_number().over(best)).where("nth = 1").select("mention_id", "id", F.lit("alias").alias("rung"))
 
 
+def _gram_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each name's keys: all triples of its first bigrams, for a short name also single ones."""
+    for batch in batches:
+        rows, keys = [], []
+        for i, (grams, short) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            own = ["".join(t) for t in combinations(grams, 3)] + (grams if short else [])
+            rows += [i] * len(own)
+            keys += own
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, pa.int32())) for k in range(4)), pa.array(keys, pa.string())], ["kind", "env", "name_norm", "n", "key"])
+
+
 def near_names(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, score): canonical entities of one kind and environment whose names are alike by Dice of bigrams.
 
     Names are compared once each, whatever number of entities bears them: pairs are between
-    distinct names (a < b by name) and rows carry the smallest id of each name. Candidates
-    share a bigram of the rarest ones of the name: of n bigrams, a partner at ``threshold``
-    t misses at most n - ceil(t * n / (2 - t)), so one more than that many, the rarest first,
-    must hold a common one (prefix filter); nothing is lost and common bigrams join nothing.
+    distinct names (a < b by name) and rows carry the smallest id of each name. Of a name's n
+    bigrams a partner at ``threshold`` t shares at least o = t * n / (2 - t). With bigrams in
+    one order, the rarest first, two such names have three in common among the first
+    n - o + 3 of each, so they meet under a key of three bigrams; only names too short for
+    that meet under single ones. Nothing is lost, and common bigrams alone join nothing.
     """
     distinct = names(entities).groupBy("kind", "env", "name_norm").agg(F.min("id").alias("id"))
     grams = distinct.select("kind", "env", "name_norm", "id", F.size(bigrams(F.col("name_norm"))).alias("n"), F.explode(bigrams(F.col("name_norm"))).alias("gram"))
     frequency = grams.groupBy("kind", "env", "gram").agg(F.count(F.lit(1)).alias("df"))
-    rank = W.partitionBy("kind", "env", "name_norm").orderBy("df", "gram")
+    ordered = grams.join(frequency, ["kind", "env", "gram"]).groupBy("kind", "env", "name_norm", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
     least = F.ceil(F.round(threshold * F.col("n") / (2 - threshold), 9))
-    prefix = grams.join(frequency, ["kind", "env", "gram"]).withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= F.col("n") - least + 1)
-    keys = prefix.select("kind", "env", "gram", "name_norm", "n")
+    first = ordered.withColumn("least", least).withColumn("first", F.transform(F.slice("grams", 1, (F.col("n") - F.col("least") + 3).cast("int")), lambda x: x["gram"]))
+    short = F.col("n") <= F.floor(F.lit(3 * (2 - threshold) / threshold))
+    keys = first.select("kind", "env", "name_norm", "n", "first", short.alias("short")).mapInArrow(_gram_keys, "kind string, env string, name_norm string, n int, key string").persist()
     a, b = keys.alias("a"), keys.alias("b")
     within = (F.col("a.n") <= F.col("b.n") * (2 - threshold) / threshold + 1e-9) & (F.col("b.n") <= F.col("a.n") * (2 - threshold) / threshold + 1e-9)
     pairs = (
-        a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.env") == F.col("b.env")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.name_norm") < F.col("b.name_norm")) & within)
+        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.env") == F.col("b.env")) & (F.col("a.name_norm") < F.col("b.name_norm")) & within)
         .select("a.kind", "a.env", F.col("a.name_norm").alias("name_a"), F.col("b.name_norm").alias("name_b")).distinct()
     )
     ga, gb = bigrams(F.col("name_a")), bigrams(F.col("name_b"))
