@@ -27,7 +27,7 @@ CHAINS = tuple(f"{a}>{b}" for a in WRITTEN for b in READ if a != b and {a, b} !=
 HIGH = re.compile(r"[^\x00-\x7f]+")
 WORD = re.compile(r"\S+")
 #: Signs that stand inside or next to words of ordinary text.
-ORDINARY = set("’‘“”„«»‹›–—‐‑…·•→←↑↓≤≥≠×÷±°€£¥§©®™№¿¡′″✓✔✗⚠²³¹¼½¾µ\u00a0\u200b\ufeff\ufe0f")
+ORDINARY = set("’‘“”„«»‹›–—‐‑…·•→←↑↓≤≥≠×÷±°€£¥§©®™№¿¡′″✓✔✗⚠ªº²³¹¼½¾µ\u00a0\u200b\ufeff\ufe0f")
 #: Of those, signs that may end a word or join its parts, but don't go on with other signs or letters.
 JOINING = set("’‘‐‑–—·\u200b\ufeff\ufe0f\u00a0")
 MISPLACED = set("€£¥©®™°±§×÷¿¡„“‹«")
@@ -106,15 +106,15 @@ def _kind(c: str) -> str:
     """Class of a character: a letter's script and case, an ordinary sign, or an odd one."""
     if c < "\x80":
         return ("u" if c.isupper() else "l") + "L" if c.isalpha() else "d" if c.isdigit() else "s"
+    if c in ORDINARY:
+        return "s"
     category = unicodedata.category(c)
     if category[0] == "L":
         name = unicodedata.name(c, "?")
         script = {"LATI": "L", "CYRI": "C", "GREE": "G"}.get(name[:4], "O")
-        if script == "L" and not ("À" <= c <= "ɏ" or "Ḁ" <= c <= "ỿ") or c in "ªº":
+        if script == "L" and not ("À" <= c <= "ɏ" or "Ḁ" <= c <= "ỿ"):
             return "x"
         return ("u" if category == "Lu" else "l") + script
-    if c in ORDINARY:
-        return "s"
     if "\u2500" <= c <= "\u259f":
         return "b"
     if "\u2200" <= c <= "\u22ff":
@@ -135,7 +135,10 @@ def disorder(word: str) -> int:
         if letter and len(before) == 2:
             score += 2 * (k[1] != before[1])  # two scripts in a word
             score += k[1] == before[1] and k[0] == "u" and before[0] == "l" and (c > "\x7f" or word[i - 1] > "\x7f")  # a capital inside
-        run = run + 1 if letter and k[1] == "L" and c > "\x7f" else 0
+        if not (letter and k[1] == "L" and c > "\x7f"):
+            run = 0
+        elif not i or c != word[i - 1]:
+            run += 1
         score += run >= 3
         if c > "\x7f":
             if k == "x":
