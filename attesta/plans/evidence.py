@@ -136,6 +136,19 @@ def yes_no(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text is not null").select("doc_id", text.yes_no(F.col("text")).alias("answer"))
 
 
+def source_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that a scan would read in each repository, by language."""
+    paths = _evidence(spark, folder).where("path is not null").select("repo", "path").distinct()
+    return extract.scanned(paths).groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"))
+
+
+def question_intents(spark: SparkSession, folder: str) -> DataFrame:
+    """What each document would ask for as a question: a template, a kind of thing, and whether it asks for a list."""
+    t = F.col("text")
+    return table(spark, folder, "documents").where("text is not null").select(
+        "doc_id", text.first_of(t, text.INTENTS, "data_provenance").alias("template"), text.first_of(t, text.KIND_WORDS, None).alias("kind"), t.rlike(text.LISTING).alias("listing"))
+
+
 def named_in_mentions(spark: SparkSession, folder: str) -> DataFrame:
     """(mention_id, id): entities of two words or more of whose names every word, by its stem, is in a mention, in any order.
 
@@ -158,7 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             span_digest, span_check, anchor_states, reverification_queue, secret_scan, accepted_literals, url_redaction, scip_parse, identifier_extract, source_exports, source_imports, source_components,
-            front_matter, context_paths, freshness_commits, citation_counts, text_statements, predicate_resolve, word_stems, yes_no, named_in_mentions,
+            front_matter, context_paths, freshness_commits, citation_counts, text_statements, predicate_resolve, word_stems, yes_no, source_languages, question_intents, named_in_mentions,
         )
     }
 
@@ -197,7 +210,7 @@ checked as (
 
 
 def oracle_sql() -> dict[str, str]:
-    from attesta.operators.extract import EXPORTS
+    from attesta.operators.extract import EXPORTS, IGNORED, LANGUAGES, SKIPPED, SOURCE
     from attesta.plans.catalogue import norm
     from attesta.sources.vocabulary import alias_rows, predicate_rows
 
@@ -207,6 +220,9 @@ def oracle_sql() -> dict[str, str]:
     quoted = "[''\"]([^''\"]+)[''\"]"
     vocabulary = ", ".join(f"('{n}', '{n}')" for n, _, _ in predicate_rows()) + ", " + ", ".join(f"('{a}', '{n}')" for a, n in alias_rows() if a not in {n for n, _, _ in predicate_rows()})
 
+    def case(column: str, patterns: tuple, other: str) -> str:
+        return "case " + " ".join(f"when regexp_matches({column}, '{p}') then '{name}'" for p, name in patterns) + f" else {other} end"
+
     def stem(c: str) -> str:
         y = f"regexp_replace({c}, 'ies$', 'y')"
         return f"case when length({y}) > 2 and {y} like '%s' then left({y}, length({y}) - 1) else {y} end"
@@ -250,6 +266,9 @@ from pairs join full_paths on path = described group by all""",
 select w.raw, coalesce(v.name, w.raw) as predicate, v.name is null as unmapped, hits from words w left join vocabulary v on v.raw = w.raw""",
         "word_stems": f"with words as (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as word from documents) select {stem('word')} as stem, count(distinct word) as words, count(*) as uses from words where length(word) > 2 group by 1",
         "yes_no": f"select doc_id, case when regexp_matches(text, '{text.NO}') then 'no' when regexp_matches(text, '{text.YES}') then 'yes' else 'unclear' end as answer from documents where text is not null",
+        "source_languages": f"""with {RAW}, p as (select distinct repo, path from raw where path is not null)
+select repo, {case('path', LANGUAGES, 'null')} as language, count(*) as files from p where regexp_matches(path, '{SOURCE}') and not regexp_matches(path, '{IGNORED}') and not list_has_any(string_split(path, '/'), {list(SKIPPED)}) group by all""",
+        "question_intents": f"""select doc_id, {case('text', text.INTENTS, "'data_provenance'")} as template, {case('text', text.KIND_WORDS, 'null')} as kind, regexp_matches(text, '{text.LISTING}') as listing from documents where text is not null""",
         "named_in_mentions": f"""with n as (select id, {stems('display_name')} as words from entity where canonical_id = id), q as (select mention_id, {stems('raw')} as asked from (select distinct on (mention_id) * from mention))
 select mention_id, id from n join q on list_has_all(asked, words) where len(words) >= 2 and len(list_filter(words, lambda w: length(w) >= 4)) > 0""",
         "identifier_extract": rf"""with {RAW}, said as (select evidence_id, regexp_replace(unnest(list_filter([url, tf_address, path, span_text], lambda x: x is not null)), '^\s+|\s+$', '', 'g') as t from raw),

@@ -102,6 +102,12 @@ def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank", similar.strength(F.round("score", 9)).alias("strength"))
 
 
+def text_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """The five documents most alike in words to every document whose id is divisible by 20."""
+    vectors = similar.bags(table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")).persist()
+    return similar.top_similar(vectors, vectors.where("id % 20 = 0")).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def entity_profiles(spark: SparkSession, folder: str) -> DataFrame:
     entities = keyed(spark, folder, "entity", "id", "display_name", "kind")
     return similar.profiles(entities, _edges(spark, folder)).select("id", "profile_hash")
@@ -145,7 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             usage_by_tool, calls_per_day, read_write_ratio, error_counts, activity_keys, qualifier_split, descriptive_claims, fingerprint_dedupe, replayed_deliveries, predicate_families, assertion_quality,
-            kind_histogram, listing_by_kind, redacted_names, redacted_paths, cosine_topk, entity_profiles, stale_embeddings, stream_calls_per_day, stream_sessions, stream_once, stream_last_values,
+            kind_histogram, listing_by_kind, redacted_names, redacted_paths, cosine_topk, text_similar, entity_profiles, stale_embeddings, stream_calls_per_day, stream_sessions, stream_once, stream_last_values,
         )
     }
 
@@ -202,6 +208,13 @@ select method, count(*) as assertions, count(*) filter (where not polarity) as r
 scores as (select q.id as query_id, v.id, list_cosine_similarity(q.e, v.e) as score from v q join v on v.id <> q.id where q.id % 20 = 0)
 select query_id, id, round(score, 6) as score, row_number() over (partition by query_id order by round(scores.score, 9) desc, id) as rank, case when round(scores.score, 9) >= 0.5 then 'strong' when round(scores.score, 9) >= 0.35 then 'moderate' else 'weak' end as strength
 from scores qualify rank <= 5""",
+        "text_similar": """with words as (select doc_id as id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as word from documents where text is not null),
+n as (select id, ('0x' || left(md5(word), 4))::int % 64 as dim, count(*) as n from words where word <> '' group by all),
+size as (select id, sqrt(sum(n * n)) as size from n group by id),
+dots as (select q.id as query_id, v.id, sum(q.n * v.n) as dot from n q join n v on v.dim = q.dim and v.id <> q.id where q.id % 20 = 0 group by all),
+pairs as (select q.id as query_id, v.id from size q join size v on q.id <> v.id where q.id % 20 = 0),
+scores as (select p.query_id, p.id, coalesce(dot, 0) / (a.size * b.size) as score from pairs p left join dots d using (query_id, id) join size a on a.id = p.query_id join size b on b.id = p.id)
+select query_id, id, round(score, 6) as score, row_number() over (partition by query_id order by round(scores.score, 9) desc, id) as rank from scores qualify rank <= 5""",
         "entity_profiles": edges + f", {CANON}, {_profiles('profiles', 'canon')} select id, profile_hash from profiles",
         "stale_embeddings": edges + f", {CANON}, {then}, {canon_then}, {_profiles('profiles', 'canon')}, {_profiles('earlier', 'canon_then')} select p.id, p.profile_hash from profiles p join earlier e using (id) where p.profile_hash <> e.profile_hash",
         "stream_calls_per_day": f"select {per_day} from activity group by 1, 2",

@@ -130,3 +130,15 @@ def test_top_similar_equals_brute_force(spark):
         want = sorted((-cos(v), i) for i, v in whole.items() if i != q)[:4]
         assert [i for _, i in sorted(got[q])] == [i for _, i in want]
     assert similar.top_similar(df, df.where("id < 0")).count() == 0
+
+
+def test_technologies_languages_and_scanned_files(spark):
+    used = spark.createDataFrame([("a", "react"), ("a", "@remix-run/node"), ("a", "left-pad"), ("b", "node-sass"), ("b", None)], "package string, dependency string")
+    assert sorted(tuple(r) for r in extract.technologies(used).collect()) == [("a", "uses_framework", "React"), ("a", "uses_framework", "Remix"), ("b", "written_in", "SCSS")]
+    paths = spark.createDataFrame([("src/a.tsx",), ("src/a.test.ts",), ("node_modules/x.js",), ("b.mts",), ("c.py",)], "path string")
+    assert sorted((r.path, r.language or "") for r in extract.scanned(paths).collect()) == [("b.mts", ""), ("src/a.tsx", "TypeScript")]
+
+
+def test_word_bags(spark):
+    got = {r.id: r.embedding for r in similar.bags(spark.createDataFrame([(1, "B a A"), (2, None), (3, "!"), (4, "a b a")], "id long, text string")).collect()}
+    assert set(got) == {1, 4} and got[1] == got[4] and sum(got[1]) == 3
