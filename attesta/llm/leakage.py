@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ITEMS_PER_BLOCK = 4000
+#: Bytes of a document that are looked at together, so a text of any length takes bounded memory.
+BLOCK = 1 << 19
 NOT_WORD = r"[^\p{L}\p{Nd}]+"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 22
@@ -150,10 +152,11 @@ def whole_words(a: np.ndarray, b: np.ndarray, at: int, diagonal: int) -> int:
     return int((a[lo:hi] == 32).sum()) - 1
 
 
-def scan(items: list[tuple[int, str]], length: int, budget: int, q: int, words: int):
+def scan(items: list[tuple[int, str]], length: int, budget: int, q: int, words: int, block: int = BLOCK):
     """Arrow batches of (doc_id, text) to (doc_id, item_id, chars, edits) of verified regions.
 
-    With ``words`` only regions with a run of so many whole common words stay.
+    With ``words`` only regions with a run of so many whole common words stay. Blocks of a
+    document overlap by a region's length, so each region lies whole in one of them.
     """
     out = ["doc_id", "item_id", "chars", "edits"]
 
@@ -164,10 +167,12 @@ def scan(items: list[tuple[int, str]], length: int, budget: int, q: int, words:
             found: dict[tuple[int, int], list[int]] = {}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = np.frombuffer(text.encode(), np.uint8)
-                pos, item, diagonal = index.hits(data, lambda at: crowded(at, least, length + budget - q))
-                if not len(pos):
-                    continue
-                for number, low, first, last in retained(pos, item, diagonal, length, budget, q):
+                regions: list = []
+                for begin in range(0, len(data), block):
+                    pos, item, diagonal = index.hits(data[begin : begin + block + length + budget], lambda at: crowded(at, least, length + budget - q))
+                    if len(pos):
+                        regions += retained(pos + begin, item, diagonal + begin, length, budget, q)
+                for number, low, first, last in regions:
                     other, key = index.texts[number], (doc, int(index.ids[number]))
                     if words and key in found:
                         continue

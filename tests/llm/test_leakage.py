@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,17 @@ def test_blocks_of_items_change_nothing(spark, corpus, monkeypatch):
     assert sorted(L.shared_runs(docs, items).collect()) == whole
 
 
+def test_blocks_of_a_long_text_change_nothing(corpus):
+    docs, items = corpus
+    known = [(i, " " + " ".join(words(t)) + " ") for i, t in items if t]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, t in docs if t], pa.int64()), pa.array([" " + " ".join(words(t)) + " " for _, t in docs if t])], ["doc_id", "text"])
+
+    def pairs(block):
+        return {(d, i) for out in L.scan(known, 25, 0, 16, 12, block)([batch]) for d, i in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+
+    assert pairs(40) == pairs(1 << 20) == brute(docs, items, 12)
+
+
 def test_edited_passages_are_found(spark):
     rnd = random.Random(3)
     item = " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(2, 8))) for _ in range(30))
