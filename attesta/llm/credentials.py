@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Values with more characters per subword than this are made of words.
 NATURAL = 3.0
+#: The same for values of letters only, which names in code resemble most: with scattered capitals, of 20 letters or more, and others.
+SCATTERED, LENGTHY, SHORT = 2.0, 2.2, 1.7
 
 # Marks of a secret's place. A text without any of them is not looked at closer.
 HINT = (
@@ -60,6 +62,9 @@ REFERENCE = re.compile(
     r"|^(?:your|my|the|a|an|some|insert|enter|put|add|replace|change)[-_ ]|change_?me|placeholder|redacted|masked|hidden|removed|dummy|^example|example$|^todo|^tbd|^fixme|^none$|^null$|^nil$|^undefined$|^true$|^false$|^str$|^string$|^text$|^bytes$|^int$|^any$|^optional|^required$|^unset$|^empty$|^\{\w*\}$|^f?[\"']?bearer|^sha\d|^md5|^data:"
 )
 REPEATED = re.compile(r"(.)\1{5,}")
+# Words of sentences, which a passphrase of plain words has none of.
+PROSE = frozenset("and are but can cannot does enter for forgot from has have invalid may must not one our please required reset should that the this too use was wrong you your will with".split())
+CALL = re.compile(r"^[\w.:]*\w\(.*\)$", re.S)
 
 
 @lru_cache(maxsize=4)
@@ -77,7 +82,21 @@ def per_subword(value: str, tokenizer) -> float:
 
 
 def unnatural(value: str, tokenizer) -> bool:
-    return len(value) >= 12 and per_subword(value, tokenizer) < NATURAL and any(c.isdigit() for c in value)
+    """Whether the value is too random for a word or name, digits or not."""
+    if len(value) < 12:
+        return False
+    if any(c.isdigit() for c in value):
+        return per_subword(value, tokenizer) < NATURAL
+    if sum(map(str.isalpha, value)) < 0.8 * len(value):
+        return False
+    most = SCATTERED if len(re.findall(r"[a-z](?=[A-Z])", value)) >= 2 else LENGTHY if len(value) >= 20 else SHORT
+    return per_subword(value, tokenizer) <= most
+
+
+def phraselike(value: str, tokenizer) -> bool:
+    """Words with a blank between them that are a password: one of them looks like one, or four or more plain words follow each other."""
+    words = value.split()
+    return any(passwordlike(w, tokenizer) for w in words) or len(words) >= 4 and all(re.fullmatch(r"[a-z]{3,}", w) and w not in PROSE for w in words)
 
 
 def passwordlike(value: str, tokenizer) -> bool:
@@ -91,8 +110,11 @@ def passwordlike(value: str, tokenizer) -> bool:
     return len(value) >= 8 and per_subword(value, tokenizer) < (2.7 if mixed else 2.0)
 
 
-def is_secret(key: str, value: str, tokenizer) -> bool:
-    """Whether the value of a named field is a credential, by the name and the value's look."""
+def is_secret(key: str, value: str, tokenizer, quoted: bool = False) -> bool:
+    """Whether the value of a named field is a credential, by the name and the value's look.
+
+    A quoted password may hold blanks and parentheses; elsewhere they make a value an expression or prose.
+    """
     key = key.strip().lower()
     if not value or REFERENCE.search(value) or REPEATED.search(value):
         return False
@@ -101,7 +123,9 @@ def is_secret(key: str, value: str, tokenizer) -> bool:
     if ABOUT.search(key) and not re.search(r"(?:pwd|pass(?:word|wd|phrase)?|secret|token|key)$", key) or re.search(r"public", key):
         return False
     if re.search(r"[\s()]", value):
-        return False
+        if not quoted or not PASSWORD.search(key) or CALL.search(value) or "\n" in value:
+            return False
+        return (phraselike if re.search(r"\s", value.strip()) else passwordlike)(value, tokenizer)
     if PASSWORD.search(key):
         return passwordlike(value, tokenizer)
     return unnatural(value, tokenizer)
@@ -114,6 +138,10 @@ def _value(m: re.Match) -> tuple[int, int] | None:
     return None
 
 
+def _quoted(text: str, span: tuple[int, int]) -> bool:
+    return span[0] > 0 and text[span[0] - 1] in "\"'`"
+
+
 def secret_spans(text: str, tokenizer) -> list[tuple[int, int]]:
     """(start, end) of every credential in ``text``, in order and without overlaps."""
     found: list[tuple[int, int]] = [m.span() for m in PRIVATE_KEY.finditer(text)]
@@ -132,7 +160,8 @@ def secret_spans(text: str, tokenizer) -> list[tuple[int, int]]:
         if not REPEATED.search(m.group()):
             take(*m.span())
     for m in SCHEME.finditer(text):
-        if unnatural(m.group("v"), tokenizer) or m.group("s").lower() == "basic" and len(m.group("v")) >= 12 and per_subword(m.group("v"), tokenizer) < NATURAL:
+        called = m.group("v").isalpha() and text[m.end() : m.end() + 20].lstrip().startswith("(")  # a type before a function's name
+        if unnatural(m.group("v"), tokenizer) and not called or m.group("s").lower() == "basic" and len(m.group("v")) >= 12 and per_subword(m.group("v"), tokenizer) < NATURAL:
             if not REPEATED.search(m.group("v")):
                 take(*m.span("v"))
     for pattern in (QUERY, ATTRIBUTE, DEFAULTED, IDENTIFIED, ENVIRONMENT, OPTION, ASSIGNED, CALLED, REMARK):
@@ -140,12 +169,12 @@ def secret_spans(text: str, tokenizer) -> list[tuple[int, int]]:
             span, key = _value(m), m.group("k") or m.group("k2")
             if pattern in (ASSIGNED, CALLED):
                 key = KEY_START.search(text, max(0, m.start() - 60), m.start()).group() + key
-            if span and is_secret(key, text[slice(*span)], tokenizer):
+            if span and is_secret(key, text[slice(*span)], tokenizer, _quoted(text, span)):
                 take(*span)
     if re.search(r"(?i)cred|auth|login|user|account", text):
         for m in PAIRED.finditer(text):
             span = _value(m)
-            if span and is_secret("password", text[slice(*span)], tokenizer):
+            if span and is_secret("password", text[slice(*span)], tokenizer, _quoted(text, span)):
                 take(*span)
     return sorted(found)
 
