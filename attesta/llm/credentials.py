@@ -23,12 +23,6 @@ NATURAL = 3.0
 #: The same for values of letters only, which names in code resemble most: with scattered capitals, of 20 letters or more, and others.
 SCATTERED, LENGTHY, SHORT = 2.0, 2.2, 1.7
 
-# Marks of a secret's place. A text without any of them is not looked at closer.
-HINT = (
-    r"(?i)passw|passphrase|pass\b|pwd|--?pw\b|secret|token|api[_\-. ]?key|access[_\-. ]?key|private[_\-. ]key|(?:signing|encryption|account|master|service)[_\-. ]?key|signing|auth|bearer"
-    r"|basic |credential|creds\b|identified by|://[^\s/]*@|AKIA|ASIA|gh[opsu]_|glpat-|xox[abprs]-|[rs]k_live_|eyJ|AIza|SG\.|npm_|hf_|-----BEGIN"
-)
-
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
 PUBLIC_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE|SIGNATURE|MESSAGE)[A-Z ]*-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
 # Forms of well-known issuers.
@@ -50,6 +44,12 @@ CALLED = re.compile(rf"(?i)(?P<k>{NAME}\w{{0,20}})\(\s*(?:(?:\"[^\"\n]*\"|'[^'\n
 ATTRIBUTE = re.compile(rf"(?i)\b(?:key|name)\s*=\s*[\"'](?P<k>[\w.\-]*{NAME}[\w.\-]*)[\"']\s+value\s*=\s*(?:\"(?P<dq>[^\"\n]*)\"|'(?P<sq>[^'\n]*)')")
 REMARK = re.compile(r"(?i)\b(?P<k>password|passphrase|passwd|pwd|pw|pass|secret|token)\b(?: \w+){1,6}\s*(?::|=)\s*" + VALUE)
 PAIRED = re.compile(r"\(\s*[\"'](?P<user>[\w.\-@]+)[\"']\s*,\s*(?:\"(?P<dq>[^\"\n]*)\"|'(?P<sq>[^'\n]*)')\s*\)")
+# Marks of a secret's place, one for each pattern above: their names, the starts of issued forms, and what they can't do without. A text
+# without any of them holds no match. Classes are wider here, as the linear-time engine's know ASCII only.
+HINT = (
+    rf"(?i:{NAME}|basic|bearer|digest|identified)|://[^\s/]*@|\([^\w\"']*[\"'][^\s\"']+[\"'][^\w\"']*,[^\w\"']*[\"']"
+    r"|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|AIza|SG\.|npm_|hf_|eyJ|-----BEGIN"
+)
 KEY_START = re.compile(r"[\w.\-/]*$")
 
 PASSWORD = re.compile(r"(?i)pass(?!word_?(?:min|max|len))|pwd|identified|(?:^|[^a-z])pw(?:$|[^a-z])|passphrase|(?:^|[^a-z])pin$")
@@ -160,7 +160,7 @@ def secret_spans(text: str, tokenizer) -> list[tuple[int, int]]:
         if not REPEATED.search(m.group()):
             take(*m.span())
     for m in SCHEME.finditer(text):
-        called = m.group("v").isalpha() and text[m.end() : m.end() + 20].lstrip().startswith("(")  # a type before a function's name
+        called = not re.search(r"\d", m.group("v")) and text[m.end() : m.end() + 20].lstrip().startswith("(")  # a type before a function's name
         if unnatural(m.group("v"), tokenizer) and not called or m.group("s").lower() == "basic" and len(m.group("v")) >= 12 and per_subword(m.group("v"), tokenizer) < NATURAL:
             if not REPEATED.search(m.group("v")):
                 take(*m.span("v"))

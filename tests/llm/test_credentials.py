@@ -2,6 +2,8 @@ import random
 import string
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from attesta.llm import credentials as C
@@ -80,7 +82,7 @@ LETTERS = [
     ('db_password: "tiger lease3worker$89 lamp"', "tiger lease3worker$89 lamp"),
 ]
 PLAIN = [
-    "public Digest fetchMudozonu(String id)", 'password = get_secret("beacon/scheduler")', 'password = "getSecret(db, 4)"', 'password: "Please enter your password"', 'auth = "a-b-c-d-e-f-g-h"', "token: currentAccessToken",
+    "public Digest fetchMudozonu(String id)", "public Digest drain_Sapuwoste(String id)", 'password = get_secret("beacon/scheduler")', 'password = "getSecret(db, 4)"', 'password: "Please enter your password"', 'auth = "a-b-c-d-e-f-g-h"', "token: currentAccessToken",
     'password: "must not be empty"', "api_key = configurationProviderFactory",
 ]
 
@@ -99,3 +101,30 @@ def test_random_letters_are_unnatural(tokenizer):
     rnd = random.Random(3)
     values = ["".join(rnd.choices(string.ascii_letters, k=20)) for _ in range(500)]
     assert sum(C.unnatural(v, tokenizer) for v in values) >= 490
+
+
+HINTED = [
+    ("pw = lease3worker$89", C.ASSIGNED), ("pin: 'lease3worker$89'", C.ASSIGNED), (f"tok = {HEX}", C.ASSIGNED), (f"privateKey: {HEX}", C.ASSIGNED), (f"x = ghr_{HEX}", C.ISSUED), (f"x = github_pat_{HEX}", C.ISSUED),
+    (f"x = sk_test_{HEX}", C.ISSUED), (f"x = rk_test_{HEX}", C.ISSUED), ('login("user", "n7rYHjmZzQkjo2G")', C.PAIRED), (f"Digest\u00a0{HEX}", C.SCHEME), ('account(\n "u",\u2003"n7rYHjmZzQkjo2G")', C.PAIRED),
+    (f"-pin {HEX}", C.OPTION), (f"create user a identified with x by '{HEX}'", C.IDENTIFIED), ("ftp://a\u00a0b@h ftp://u:lease3$89@h", C.ADDRESS), (f"?tok={HEX}", C.QUERY), (f"ENV MY_TOK {HEX}", C.ENVIRONMENT),
+    (f"setTok('{HEX}')", C.CALLED), (f'name="tok" value="{HEX}"', C.ATTRIBUTE), (f'variable "tok" {{ default = "{HEX}" }}', C.DEFAULTED), (f"pw of the gateway: {HEX}", C.REMARK), (PEM, C.PRIVATE_KEY),
+]
+
+
+@pytest.mark.parametrize(("text", "pattern"), HINTED)
+def test_whatever_a_pattern_finds_has_a_hint(text, pattern):
+    assert pattern.search(text)
+    assert pc.match_substring_regex(pa.array([text]), C.HINT).to_pylist() == [True]
+
+
+def test_each_name_and_issued_form_has_a_hint():
+    names = "password passwd passphrase pwd pass pw pin secret token tok apikey api-key accesskeyid access.key_id secretkey privateKey signing_key encryptionkey accountkey masterkey servicekey signing auth authorization credential creds".split()
+    forms = ["AKIA" + "A" * 16, "ASIA" + "A" * 16, *(f"gh{c}_" + "a1" * 10 for c in "pousr"), "github_pat_" + "a1" * 10, "glpat-" + "a1" * 8, *(f"xox{c}-" + "a1" * 8 for c in "abprs"), *(f"{a}k_{b}_" + "a1" * 8 for a in "sr" for b in ("live", "test")),
+             "AIza" + "a1" * 15, "SG." + "a1" * 8 + "." + "a1" * 8, "npm_" + "a1" * 15, "hf_" + "a1" * 15, "eyJ" + "a1" * 4 + "." + "a1" * 4 + "." + "a1" * 4]
+    assert all(C.ISSUED.fullmatch(f) for f in forms) and all(C.ASSIGNED.search(f"{n} = {HEX}") for n in names)
+    assert all(pc.match_substring_regex(pa.array(names + [n.upper() for n in names] + forms), C.HINT).to_pylist())
+
+
+def test_rows_of_texts_with_rare_hints_only(spark):
+    rows = list(enumerate(text for text, _ in HINTED[:9]))
+    assert sorted(r.id for r in C.credentials(spark.createDataFrame(rows, "id long, text string")).collect()) == list(range(9))
