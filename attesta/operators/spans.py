@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.text import lines_digest, norm_lines
@@ -14,22 +14,32 @@ def digests(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("digest", lines_digest(lines)).withColumn("norm_lines", F.when(F.size(lines) > 0, F.size(lines)))
 
 
+def _repo(df: DataFrame) -> Column:
+    return F.col("repo") if "repo" in df.columns else F.lit(None).cast("string")
+
+
 def latest_files(evidence: DataFrame) -> DataFrame:
-    """(path, content, starts): the newest text known of each path and the line it starts at."""
+    """(repo, path, content, starts): the newest text known of each file and the line it starts at.
+
+    A file is a path in a repository; those cited without a repository are files of their own.
+    """
     cited = evidence.where("path is not null and span_text is not null and size(lines) = 2")
-    newest = cited.groupBy("path").agg(F.max_by(F.struct("span_text", "lines"), F.struct("cited_at", "evidence_id")).alias("v"))
-    return newest.select("path", F.col("v.span_text").alias("content"), F.element_at("v.lines", 1).alias("starts"))
+    newest = cited.groupBy("repo", "path").agg(F.max_by(F.struct("span_text", "lines"), F.struct("cited_at", "evidence_id")).alias("v"))
+    return newest.select("repo", "path", F.col("v.span_text").alias("content"), F.element_at("v.lines", 1).alias("starts"))
 
 
 def check(anchors: DataFrame, files: DataFrame) -> DataFrame:
-    """(evidence_id, state, moved_from, moved_to) of each anchor against its file's current text.
+    """(evidence_id, state, moved_from, moved_to) of each anchor against the current text of its file, the same path in the same repository
+    (or, for both, in none).
 
     gone: no such file; unchecked: no digest was taken; ok: the cited lines are equal but for
     formatting; shifted: equal lines stand elsewhere (the first such place is given); changed:
     they don't, but the enclosing symbol does; else gone. Windows of the cited number of lines
     are compared by digest inside the row, so a file is joined once and never exploded.
     """
-    joined = anchors.select("evidence_id", "path", "lines", "digest", "norm_lines", "enclosing_symbol").join(files.select("path", "content", "starts"), "path", "left")
+    current = files.select(_repo(files).alias("file_repo"), F.col("path").alias("file_path"), "content", "starts")
+    same = F.col("repo").eqNullSafe(F.col("file_repo")) & (F.col("path") == F.col("file_path"))
+    joined = anchors.select("evidence_id", _repo(anchors).alias("repo"), "path", "lines", "digest", "norm_lines", "enclosing_symbol").join(current, same, "left")
     numbered = F.transform(norm_lines(F.col("content")), lambda x: F.struct((x["line"] + F.col("starts") - 1).alias("line"), x["text"].alias("text")))
     spans = joined.withColumn("file", numbered)
     n, size = F.col("norm_lines"), F.size("file")

@@ -20,6 +20,16 @@ def test_spans_are_found_again(spark, now, starts, state, place):
     assert (got.state, (got.moved_from, got.moved_to) if got.moved_from else None) == (state, place)
 
 
+def test_files_of_another_repository_are_others(spark):
+    rows = [(1, "a", V1, 1), (2, "b", REWRITTEN, 2), (3, None, "gone()", 3), (4, "a", SHIFTED, 4), (5, None, "gone()", 5)]
+    rows = [(i, "f.ts", [1, len(text.splitlines())], repo, text, "read", at) for i, repo, text, at in rows]
+    evidence = spark.createDataFrame(rows, "evidence_id long, path string, lines array<int>, repo string, span_text string, enclosing_symbol string, cited_at int")
+    files = spans.latest_files(evidence)
+    assert sorted((r.repo or "", r.content) for r in files.collect()) == [("", "gone()"), ("a", SHIFTED), ("b", REWRITTEN)]
+    got = {r.evidence_id: (r.state, r.moved_from) for r in spans.check(spans.digests(evidence), files).collect()}
+    assert got == {1: ("shifted", 4), 2: ("ok", None), 3: ("ok", None), 4: ("ok", None), 5: ("ok", None)}
+
+
 def test_blank_and_null_spans_have_no_digest(spark):
     rows = [(1, None), (2, ""), (3, " \n;\n"), (4, "x")]
     got = {r.evidence_id: r.norm_lines for r in spans.digests(spark.createDataFrame(rows, "evidence_id long, span_text string")).collect()}
