@@ -25,11 +25,14 @@ WRITTEN = ("utf-8", "cp1252", "cp1250", "cp1251", "cp866", "koi8-r", "cp850", "c
 READ = ("cp1252", "latin-1", "cp1250", "cp1251", "cp866", "koi8-r", "cp850", "cp437", "mac_roman", "iso8859-5", "mac_cyrillic", "cp1254", "iso8859-2")
 CHAINS = tuple(f"{a}>{b}" for a in WRITTEN for b in READ if a != b and {a, b} != {"cp1252", "latin-1"})
 HIGH = re.compile(r"[^\x00-\x7f]+")
-WORD = re.compile(r"\S+")
+# Only ASCII blanks part words: U+0085 and U+00A0 may be the second half of a garbled letter.
+WORD = re.compile(r"[^ \t\r\n]+")
 #: Signs that stand inside or next to words of ordinary text.
 ORDINARY = set("’‘“”„«»‹›–—‐‑…·•→←↑↓≤≥≠×÷±°€£¥§©®™№¿¡′″✓✔✗⚠ªº²³¹¼½¾µ\u00a0\u200b\ufeff\ufe0f")
 #: Of those, signs that may end a word or join its parts, but don't go on with other signs or letters.
 JOINING = set("’‘‐‑–—·\u200b\ufeff\ufe0f\u00a0")
+#: What the first half of a letter in UTF-8 is mostly read as.
+LEADS = set("ÂÃÄÅÐÑ")
 MISPLACED = set("€£¥©®™°±§×÷¿¡„“‹«")
 
 
@@ -147,6 +150,8 @@ def disorder(word: str) -> int:
                 score += 1
             elif k == "m" and (len(before) == 2 or after and word[i + 1] > "\x7f"):
                 score += 1
+            elif c == "\u00a0" and i and word[i - 1] in LEADS:
+                score += i < 2 or kinds[i - 2][0] != "u"  # as in "Ã\u00a0" for "à", not at the end of "IRMÃ"
             elif k == "s" and len(before) == 2 and c not in JOINING:
                 score += len(after) == 2 or c in MISPLACED and after != "" and word[i + 1] > "\x7f"
     return score
@@ -159,7 +164,7 @@ def repair(text: str, chains: tuple[str, ...], depth: int = 2) -> tuple[str, int
     that don't get worse; stretches that it can't have produced stay as they are.
     """
     total = 0
-    parts = re.split(r"(\n+|(?<=[.!?;:])\s+)", text)
+    parts = re.split(r"(\n+|(?<=[.!?;:])[ \t]+)", text)
     for i in range(0, len(parts), 2):
         part = parts[i]
         for _ in range(depth):
@@ -207,18 +212,16 @@ def forms(documents: DataFrame) -> DataFrame:
     )
 
 
-def twins(found: DataFrame) -> DataFrame:
-    """(form, n, twin, m): each rarer form of a key beside its most frequent one.
+def twins(found: DataFrame, margin: int = 3) -> DataFrame:
+    """(form, n, twin, m): each rarer form of a key beside its most frequent one and all that are ``margin`` times as frequent as it.
 
-    Counting comes first, so a form in a third of all documents is one row; each form is
-    paired with one twin only, never with all others of its key.
+    Counting comes first, so a form in a third of all documents is one row.
     """
     counted = found.groupBy("key", "form").agg(F.count(F.lit(1)).alias("n")).withColumn("high", F.length(F.regexp_replace("form", r"[\x00-\x7f]+", "")))
     first = W.partitionBy("key").orderBy(F.desc("n"), "high", "form")
-    return (
-        counted.withColumn("twin", F.first("form").over(first)).withColumn("m", F.first("n").over(first))
-        .where("form <> twin").select("form", "n", "twin", "m")
-    )
+    placed = counted.withColumn("place", F.row_number().over(first)).persist()
+    twin = placed.where((F.col("place") == 1) | (F.col("n") >= margin)).select("key", F.col("form").alias("twin"), F.col("n").alias("m"), F.col("place").alias("at"))
+    return placed.join(twin, "key").where("form <> twin").where((F.col("at") == 1) | (F.col("m") >= margin * F.col("n"))).select("form", "n", "twin", "m")
 
 
 def _explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +269,8 @@ def _applied(chains: tuple[str, ...]):
                 fixed, gain = repair(text, chains)
                 if gain or "�" in text:
                     ids.append(key)
-                    texts.append(fixed if gain and "�" not in fixed else None)
+                    whole = gain and "�" not in fixed and not any(disorder(w) for w in WORD.findall(fixed) if HIGH.search(w))
+                    texts.append(fixed if whole else None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "restored"])
 
     return run
@@ -276,12 +280,12 @@ def garbled_documents(documents: DataFrame, support: int = 2, margin: int = 3) -
     """(doc_id, restored) of the documents with a wrongly decoded passage.
 
     documents: doc_id, text. A document counts if undoing a learned chain brings order into a
-    sentence of it, if it holds a form that a learned chain explains from a twin ``margin``
+    sentence of it (restored is null if some disorder stays), if it holds a form that a learned chain explains from a twin ``margin``
     times as frequent, or if characters were replaced on reading (then, and where only a twin
     shows the fault, restored is null). Null, empty and plain ASCII texts are no case.
     """
     found = forms(documents)
-    known = explained(twins(found)).persist()
+    known = explained(twins(found, margin)).persist()
     chains = learned_chains(known, support)
     texts = documents.where("text is not null and doc_id is not null").where(F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", "text")
     applied = texts.mapInArrow(_applied(chains), "doc_id long, restored string")

@@ -46,3 +46,27 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert E.garbled_documents(spark.createDataFrame([], "doc_id long, text string, form string")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Voilà la chose à faire", "Demandez à team", "Работа Р и Н"])
+def test_halves_that_python_takes_for_blanks(text):
+    for chain in ("utf-8>cp1252", "utf-8>latin-1"):
+        assert E.repair(E.garble(text, chain), ("utf-8>cp1252", "utf-8>latin-1"))[0] == text
+
+
+def test_half_restored_is_null(spark):
+    rows = [(i, "Voilà le café prêt.") for i in range(9)] + [(100 + i, E.garble("Voilà le café prêt.", "utf-8>cp1252")) for i in range(3)]
+    rows.append((200, E.garble("Voilà le café prêt.", "utf-8>cp1252") + " dÃ¿¿e"))
+    got = {r.doc_id: r.restored for r in E.garbled_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {100 + i: "Voilà le café prêt." for i in range(3)} | {200: None}
+
+
+def test_every_frequent_form_is_a_twin(spark):
+    rows = [("gre", "grüße", 9), ("gre", "größe", 6), ("gre", "gr÷ße", 1), ("gre", "gréße", 2)]
+    found = spark.createDataFrame([(i, form, key) for key, form, n in rows for i in range(n)], "doc_id long, form string, key string")
+    got = {(r.form, r.twin) for r in E.twins(found).collect()}
+    assert got == {("größe", "grüße"), ("gr÷ße", "grüße"), ("gr÷ße", "größe"), ("gréße", "grüße"), ("gréße", "größe")}
+
+
+def test_a_capital_before_a_hard_blank_may_be_orderly():
+    assert E.disorder("IRMÃ\u00a0") == E.disorder("É\u00a0:") == 0 < E.disorder("Ã\u00a0")
