@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of tables written by ``settle`` that are still there.
+_written: list[str] = []
+
 
 def local_session(cores: int = 8, app: str = "attesta") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
@@ -24,23 +28,61 @@ def local_session(cores: int = 8, app: str = "attesta") -> SparkSession:
     )
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is used.
+    Where none is named a session on this machine alone gets a temporary one; on a cluster
+    that is an error, as no machine-local folder would do.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="attesta-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again, which cuts its lineage."""
+    folder = f"{shared_folder(df.sparkSession)}/attesta-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    _written.append(folder)
+    settled = df.sparkSession.read.schema(df.schema).parquet(folder)
+    settled._folder = folder
+    return settled
+
+
+def forget(*settled: DataFrame) -> None:
+    """Delete tables of ``settle`` that no later step reads."""
+    for df in settled:
+        _delete(df.sparkSession, df._folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``settle`` wrote and drop what is kept in memory; results not yet used can't be read afterwards."""
+    for folder in list(_written):
+        _delete(spark, folder)
+    spark.catalog.clearCache()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _written:
+        _written.remove(folder)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as a shuffle has, however few bytes it is: for rows that take much work each."""
+    return df.repartition(shuffle_partitions(df.sparkSession))
+
+
 def share_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 
