@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from attesta.llm import names as N
@@ -24,6 +26,59 @@ def test_variants_are_attached(spark):
     assert {CASES[i][0]: got.get(i) for i in range(len(CASES))} == {raw: want for raw, _, want in CASES}
 
 
+SHARED = [
+    ("p1", "person", "Gordon Whitfield"), ("p2", "person", "Alice Gordon"), ("p3", "person", "Maria Del Castillo"), ("p4", "person", "Anne-Marie Smith"), ("p5", "person", "Min Kim"), ("p6", "person", "Robert Lee"),
+    ("p7", "person", "Thomas Anderson"), ("p8", "person", "Mary Thomas"), ("p9", "person", "Иван Петров"), ("pa", "person", "Joan Smith"), ("pb", "person", "Paul Smith-Jones"), ("pc", "person", "Peter van der Berg"),
+    ("t1", "team", "Ledger Service"), ("t2", "team", "Billing Ledgers"), ("t3", "team", "Payment Ledgers"), ("t4", "team", "Order Ledgers"), ("t5", "team", "Data Platform"), ("t6", "team", "SSO Portal"),
+]
+SHARED_CASES = [
+    ("Gordon Whitfeild", "p1"), ("Whitfield, Gord", "p1"), ("Alise Gordon", "p2"), ("Ledgers Service", "t1"), ("Biling Ledgers", "t2"), ("Dta Platform", "t5"), ("SSO Portl", "t6"), ("M. Kim", "p5"), ("Bob Lee", "p6"), ("Robret Lee", "p6"), ("rlee", "p6"),
+    ("Maria Castillo", "p3"), ("M. Delcastillo", "p3"), ("Castillo, Maria", "p3"), ("Del Castilo, Maria", "p3"), ("Anne-Marie Smyth", "p4"), ("Anne Smith", "p4"), ("A. M. Smith", "p4"), ("Thomas Andersen", "p7"), ("Tom Anderson", "p7"), ("Петров, Иван", "p9"), ("Ивн Петров", "p9"),
+    ("Joan R. Smith", "pa"), ("Paul Smith", "pb"), ("Paul Jones", "pb"), ("P. Smith-Jones", "pb"), ("Peter Berg", "pc"), ("P. van der Berg", "pc"), ("petervanderberg jr", None), ("Gordon", None), ("Robert Leeds", None), ("Data", None), ("Bob Smith", None),
+]
+
+
+@pytest.mark.parametrize("heavy", [0, 1000])
+def test_shared_short_and_compound_names(spark, heavy):
+    mention = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(SHARED_CASES)], "mention_id long, raw string").selectExpr("*", "cast(null as string) as kind")
+    got = {r.mention_id: r.entity_id for r in N.attributed(mention, spark.createDataFrame(SHARED, "id string, kind string, display_name string"), heavy=heavy).collect()}
+    assert {raw: got.get(i) for i, (raw, _) in enumerate(SHARED_CASES)} == dict(SHARED_CASES)
+
+
+def test_second_keys_lose_no_reading():
+    rnd = random.Random(4)
+    for word in ["reporting", "exchange", "gregory", "ann", "plat", "identity", "kim"]:
+        for _ in range(400):
+            chars = list(word)
+            for _ in range(rnd.randint(0, 2)):
+                at = rnd.randrange(len(chars)) if chars else 0
+                chars[at : at + rnd.randint(0, 2)] = rnd.choice(["", "z", "ab", *map("".join, zip(chars[1:2], chars[:1]))])
+            token = "".join(c for c in chars if rnd.random() < 0.8)
+            if token and (N.word_reading(token, word) is not None or N.given_reading(token, word) is not None):
+                assert N.second_keys(word) & N.token_keys(token), (token, word)
+
+
+def test_frequent_spellings_are_forms_too(spark):
+    entity = spark.createDataFrame([("a", "person", "Frances Tolipaka")], "id string, kind string, display_name string")
+    rows = [(i, "Fanny Tolipaka", "person") for i in range(5)] + [(9, "Fannyy Tolipaka", "person")]
+    schema = "mention_id long, raw string, kind string"
+    assert {r.mention_id for r in N.attributed(spark.createDataFrame(rows, schema), entity).collect()} == {0, 1, 2, 3, 4, 9}
+    assert {r.mention_id for r in N.attributed(spark.createDataFrame(rows[1:], schema), entity).collect()} == {1, 2, 3, 4}
+
+
+def test_keys_of_shortened_strings():
+    rnd = random.Random(2)
+    for _ in range(300):
+        core = "".join(rnd.choices("abcd", k=rnd.randint(1, 14)))
+        chars = list(core)
+        for _ in range(rnd.randint(0, 2)):
+            at = rnd.randrange(len(chars) + 1)
+            chars[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "b"])
+        part = "".join(chars)
+        if part and N.edits(part, core, N.core_typos(len(core))) <= N.core_typos(len(core)):
+            assert set(N.part_keys([part])[1].tolist()) & set(N.core_keys([core])[1].tolist()), (part, core)
+
+
 def test_frequency_decides_between_equal_spellings(spark):
     entity = spark.createDataFrame([("a", "person", "Robert Tolipaka"), ("b", "person", "Rebecca Tolipaka")], "id string, kind string, display_name string")
     rows = [(1, "R. Tolipaka", "person"), *((10 + i, "Robert Tolipaka", "person") for i in range(9))]
