@@ -1,41 +1,76 @@
 """Held-out test items inside corpus documents, by q-gram counts in diagonal bands.
 
-The q-grams of the items form an index; each document is scanned once against it. A shared
-region of L characters with at most e edits keeps at least L - q + 1 - q * e q-grams within
-a band of e + 1 diagonals (the q-gram lemma), so bands with fewer can be dropped without
-loss. What is left is verified by banded alignment.
+The corpus is read once, whatever the number of items: a filter of fixed size drops the places
+whose q-grams no item has, and places without enough others near them. What stays meets the
+items by an equi-join on q-grams, on the rarest ones of each item's windows only, of which a
+shared region must hold one; so a q-gram that all items share isn't expanded. For each pair
+that met, the q-grams are counted in overlapping bands of diagonals: a window of L characters
+with at most e edits keeps at least L - q + 1 - q * e of them within a band of e + 1 diagonals
+(the q-gram lemma). Each window that a band retains is verified by banded alignment on its own.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ITEMS_PER_BLOCK = 4000
-#: Bytes of a document that are looked at together, so a text of any length takes bounded memory.
-BLOCK = 1 << 19
-NOT_WORD = r"[^\p{L}\p{Nd}]+"
+from attesta.llm.filters import in_filter, key_filter
+from attesta.session import settle, spread
+
+#: Characters whose q-grams are hashed together, and rows' characters that are taken together.
+BLOCK = 1 << 20
+#: Pairs of places that are held at once when the q-grams of two texts meet.
+EXPANDED = 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
-FILTER_BITS = 22
+END, SPACE = 1, 32
+
+
+@lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Lower case and whether it's a letter or digit, for the characters of the first plane."""
+    lower, word = np.arange(1 << 16, dtype=np.uint32), np.zeros(1 << 16, bool)
+    for c in range(1 << 16):
+        word[c], lower[c] = _class(c)
+    return lower, word
+
 
+def _class(c: int) -> tuple[bool, int]:
+    category, low = unicodedata.category(chr(c)), chr(c).lower()
+    return category[0] == "L" or category == "Nd", ord(low) if len(low) == 1 else c
 
-def words_only(text: Column) -> Column:
-    """Lower-case words between single spaces, with a space at either end."""
-    return F.lower(F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(text, NOT_WORD, " "), "^ | $", ""), F.lit(" ")))
+
+def words_only(texts: list[str]) -> np.ndarray:
+    """Code points of the texts' words in lower case, a space before and after each, END before, between and after the texts."""
+    lower, word = _classes()
+    raw = np.frombuffer(("\x01\n" + "\n\x01\n".join(t.replace("\x01", " ") for t in texts) + "\n\x01").encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = raw & np.uint32(0xFFFF)
+    code, kept = lower[low], word[low]
+    for at in np.flatnonzero(raw > 0xFFFF):
+        kept[at], code[at] = _class(int(raw[at]))
+    code = np.where(kept, code, np.uint32(SPACE))
+    code[raw == END] = END
+    blank = code == SPACE
+    return code[~(blank & np.concatenate([[False], blank[:-1]]))]
+
+
+def folded(codes: np.ndarray) -> np.ndarray:
+    """A byte for each character; characters beyond ASCII share bytes, which only adds candidates."""
+    return np.where(codes < 128, codes, 128 + ((codes * np.uint32(40503)) >> np.uint32(7)) % np.uint32(128)).astype(np.uint8)
 
 
 def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit value for each run of q bytes (q from 8 to 16); exact at q = 8."""
     if len(data) < q:
         return np.empty(0, np.uint64)
-    wide = np.zeros(len(data) - 7, np.uint64)
-    for k in range(8):
-        wide <<= np.uint64(8)
-        wide |= data[k : k + len(wide)]
+    two = data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]
+    four = two[:-2].astype(np.uint32) << np.uint32(16) | two[2:]
+    wide = four[:-4].astype(np.uint64) << np.uint64(32) | four[4:]
     if q == 8:
         return wide * MIX
     n = len(data) - q + 1
@@ -43,43 +78,6 @@ def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
     return (wide[:n] ^ (tail ^ (tail >> np.uint64(29)))) * MIX
 
 
-class ItemIndex:
-    """Sorted q-grams of a bounded block of items, with the places where each occurs."""
-
-    def __init__(self, items: list[tuple[int, str]], q: int) -> None:
-        self.q, self.ids = q, np.array([i for i, _ in items], np.int64)
-        self.texts = [np.frombuffer(t.encode(), np.uint8) for _, t in items]
-        grams = [gram_hashes(t, q) for t in self.texts]
-        flat = np.concatenate([*grams, np.empty(0, np.uint64)])
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)])
-        order = np.argsort(flat, kind="stable")
-        self.grams, start, count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.start, self.count = start.astype(np.int64), count.astype(np.int64)
-        self.owner, self.place = owner[order], place[order].astype(np.int64)
-        self.maybe = np.zeros(1 << FILTER_BITS, bool)
-        self.maybe[(self.grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-
-    def hits(self, data: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item number, diagonal) of q-grams of ``data`` found in items.
-
-        ``keep`` gets the positions that hit and says which of them are worth expanding.
-        """
-        values = gram_hashes(data, self.q)
-        at = np.flatnonzero(self.maybe[(values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        slot = np.searchsorted(self.grams, values[at])
-        slot[slot == len(self.grams)] = 0
-        good = self.grams[slot] == values[at]
-        at, slot = at[good], slot[good]
-        mask = keep(at)
-        at, slot = at[mask], slot[mask]
-        each = self.count[slot]
-        pos = np.repeat(at, each)
-        within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        src = np.repeat(self.start[slot], each) + within
-        return pos, self.owner[src], pos - self.place[src]
-
-
 def crowded(at: np.ndarray, least: int, span: int) -> np.ndarray:
     """Which positions lie in some window of ``span`` with ``least`` positions or more."""
     if len(at) < least:
@@ -91,8 +89,23 @@ def crowded(at: np.ndarray, least: int, span: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def retained(pos, item, diagonal, length: int, budget: int, q: int):
-    """Regions (item, low diagonal, first position, last position) that meet the lemma's bound.
+def rarest(frequency: np.ndarray, width: int, least: int) -> np.ndarray:
+    """Places of an item of which any ``least`` of each window of ``width`` include one: the window's rarest."""
+    n = len(frequency)
+    if n < least:
+        return np.empty(0, np.int64)
+    width = min(width, n)
+    chosen = np.zeros(n, bool)
+    rank = np.lexsort((np.arange(n), frequency)).argsort()
+    for begin in range(0, n - width + 1, 1 << 14):
+        view = np.lib.stride_tricks.sliding_window_view(rank[begin : begin + (1 << 14) + width - 1], width)
+        part = np.argpartition(view, width - least, axis=1)[:, : width - least + 1] if width > least else view.argmin(axis=1)[:, None]
+        chosen[(part + np.arange(begin, begin + len(view))[:, None]).ravel()] = True
+    return np.flatnonzero(chosen)
+
+
+def retained(pos: np.ndarray, diagonal: np.ndarray, length: int, budget: int, q: int) -> list[tuple[int, int, int]]:
+    """(low diagonal, first start, last start) of the windows that meet the lemma's bound.
 
     Bands are budget + max(1, budget) diagonals wide and start every max(1, budget), so any
     budget + 1 neighbouring diagonals lie together in one band.
@@ -101,126 +114,223 @@ def retained(pos, item, diagonal, length: int, budget: int, q: int):
     assert least > 0, "the edit budget leaves no q-gram to count"
     band = np.floor_divide(diagonal, step)
     if budget:
-        pos, item, band = np.tile(pos, 2), np.tile(item, 2), np.concatenate([band, band - 1])
-    order = np.lexsort((pos, band, item))
-    pos, item, band = pos[order], item[order], band[order]
+        pos, band = np.tile(pos, 2), np.concatenate([band, band - 1])
+    order = np.lexsort((pos, band))
+    pos, band = pos[order], band[order]
     fresh = np.ones(len(pos), bool)
-    fresh[1:] = (pos[1:] != pos[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
-    pos, item, band = pos[fresh], item[fresh], band[fresh]
+    fresh[1:] = (pos[1:] != pos[:-1]) | (band[1:] != band[:-1])
+    pos, band = pos[fresh], band[fresh]
     if len(pos) < least:
         return []
-    a, b = slice(None, len(pos) - least + 1), slice(least - 1, None)
-    full = np.flatnonzero((item[a] == item[b]) & (band[a] == band[b]) & (pos[b] - pos[a] <= length + budget - q))
-    regions: list = []
-    for i in full:
-        j = i + least - 1
-        if regions and regions[-1][:2] == [item[i], band[i] * step] and pos[i] <= regions[-1][3] + 1:
-            regions[-1][3] = pos[j]
-        else:
-            regions.append([item[i], band[i] * step, pos[i], pos[j]])
-    return regions
-
-
-def banded_alignment(a: np.ndarray, b: np.ndarray, shift: int, width: int) -> int:
-    """Fewest edits that turn ``a`` into some stretch of ``b`` whose offset from a's place
-    stays within ``width`` of ``shift`` (b's index less a's index)."""
-    far = len(a) + len(b) + 1
-    lanes = 2 * width + 1
-    offs = np.arange(lanes) + shift - width
-    row = np.where((offs >= 0) & (offs <= len(b)), 0, far)
-    for i in range(len(a)):
-        j = i + offs  # b's index under each lane
-        inside = (j >= 0) & (j < len(b))
-        same = np.zeros(lanes, bool)
-        same[inside] = b[j[inside]] == a[i]
-        best = np.where(inside, row + ~same, far)  # match or replace
-        best[:-1] = np.minimum(best[:-1], row[1:] + 1)  # drop a[i]
-        ahead = np.minimum.accumulate(best - np.arange(lanes)) + np.arange(lanes)  # insert from b
-        valid = (j + 1 >= 0) & (j + 1 <= len(b))
-        row = np.where(valid, np.minimum(best, ahead), far)
-    return int(row.min())
+    head, tail = pos[: len(pos) - least + 1], pos[least - 1 :]
+    full = np.flatnonzero((band[: len(head)] == band[least - 1 :]) & (tail - head <= length - q))
+    low, first, last = band[full] * step, tail[full] - (length - q), head[full]
+    begins = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (first[1:] > last[:-1] + 1)])) if len(full) else full
+    ends = np.concatenate([begins[1:], [len(full)]])[: len(begins)] - 1
+    return list(zip(low[begins].tolist(), first[begins].tolist(), last[ends].tolist()))
+
+
+def banded_alignment(doc: np.ndarray, item: np.ndarray, starts: np.ndarray, length: int, low: int, high: int) -> np.ndarray:
+    """Fewest edits that turn ``length`` characters of ``doc`` from each start into some stretch of
+    ``item``, with every place of the alignment on a diagonal (doc's index less item's) from low to high."""
+    if low == high:  # one diagonal: no characters are left out
+        first, end = max(0, low), min(len(doc), len(item) + low)
+        differ = np.ones(len(doc) + 1, np.int64)
+        differ[0], differ[1 + first : 1 + end] = 0, doc[first:end] != item[first - low : end - low]
+        upto = np.cumsum(differ)
+        return upto[starts + length] - upto[starts]
+    far, lanes = length + 1, np.arange(low, high + 1)
+    padded = np.concatenate([np.zeros(1, np.uint32), item, np.zeros(1, np.uint32)])
+    place = starts[:, None] - lanes[None, :]  # item's next character
+    cost = np.where((place >= 0) & (place <= len(item)), 0, far).astype(np.int16)
+    ahead = np.arange(len(lanes), dtype=np.int16)
+    for _ in range(length):
+        inside = (place >= 0) & (place < len(item))
+        best = np.where(inside, cost + (padded[np.clip(place, -1, len(item)) + 1] != doc[starts][:, None]), far).astype(np.int16)  # match or replace
+        best[:, 1:] = np.minimum(best[:, 1:], cost[:, :-1] + 1)  # a character of doc alone
+        place, starts = place + 1, starts + 1
+        valid = (place >= 0) & (place <= len(item))
+        best[~valid] = far
+        cost = np.minimum.accumulate((best + ahead)[:, ::-1], axis=1)[:, ::-1] - ahead  # characters of item alone
+        cost[~valid] = far
+        np.minimum(cost, far, out=cost)
+    return cost.min(axis=1)
 
 
 def whole_words(a: np.ndarray, b: np.ndarray, at: int, diagonal: int) -> int:
     """Words in the longest equal run through a[at] and b[at - diagonal], cut words left out."""
     lo, hi = at, at
-    while lo > 0 and lo - diagonal > 0 and a[lo - 1] == b[lo - 1 - diagonal]:
-        lo -= 1
+    first = max(0, diagonal)
+    differ = np.flatnonzero(a[first:at] != b[first - diagonal : at - diagonal])
+    lo = first + int(differ[-1]) + 1 if len(differ) else first
     end = min(len(a), len(b) + diagonal)
     differ = np.flatnonzero(a[hi:end] != b[hi - diagonal : end - diagonal])
     hi = hi + int(differ[0]) if len(differ) else end
-    return int((a[lo:hi] == 32).sum()) - 1
+    return int((a[lo:hi] == SPACE).sum()) - 1
+
+
+def _met(own: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(position, place) of equal values, in pieces of bounded size; positions ascend from piece to piece."""
+    order = np.argsort(other, kind="stable")
+    ranked = other[order]
+    start, stop = np.searchsorted(ranked, own), np.searchsorted(ranked, own, "right")
+    each = stop - start
+    at = np.flatnonzero(each)
+    total = np.cumsum(each[at])
+    for begin in range(0, int(total[-1]) if len(at) else 0, EXPANDED):
+        part = at[(total > begin) & (total - each[at] < begin + EXPANDED)] if total[-1] > EXPANDED else at
+        pos = np.repeat(part, each[part])
+        within = np.arange(len(pos)) - np.repeat(np.cumsum(each[part]) - each[part], each[part])
+        yield pos, order[np.repeat(start[part], each[part]) + within]
+
+
+def verified(doc: np.ndarray, item: np.ndarray, length: int, budget: int, q: int, words: int) -> tuple[int, int] | None:
+    """(characters, edits) of the longest stretch of ``doc`` whose every window of ``length`` stands in
+    ``item`` within the budget, and of the best window; with ``words`` only if so many words are shared."""
+    mine, other = gram_hashes(folded(doc), q), gram_hashes(folded(item), q)
+    accepted = np.full(max(0, len(doc) - length + 1), length + 1)
+    reach = length + budget
+    before: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64))
+    for pos, place in _met(mine, other):
+        near = before[0] >= pos[0] - reach  # a window may begin in a piece before
+        before = pos, place = np.concatenate([before[0][near], pos]), np.concatenate([before[1][near], place])
+        for low, first, last in retained(pos, pos - place, length, budget, q):
+            for begin in range(max(0, first), min(last, len(accepted) - 1) + 1, 4096):
+                starts = np.arange(begin, min(begin + 4096, last + 1, len(accepted)))
+                starts = starts[accepted[starts] > 0] if not words else starts
+                if not len(starts):
+                    continue
+                edits = banded_alignment(doc, item, starts, length, low - budget, low + max(1, 2 * budget) - 1 + budget)
+                accepted[starts] = np.minimum(accepted[starts], edits)
+                good = starts[edits <= budget]
+                if words and any(whole_words(doc, item, int(s), low) >= words for s in good[np.diff(good, prepend=-2) > 1]):
+                    return length, 0
+    good = np.flatnonzero(accepted <= budget)
+    if words or not len(good):
+        return None
+    runs = np.split(good, np.flatnonzero(np.diff(good) > 1) + 1)
+    return length + max(len(r) for r in runs) - 1, int(accepted[good].min())
+
+
+def _grams(q: int):
+    """(item_id, text) to (item_id, words, grams), the normalised text and its q-grams in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [words_only([t])[1:-1] for t in batch.column(1).to_pylist()]
+            texts = pa.array([c.tobytes().decode("utf-32-le", "surrogatepass") for c in codes], pa.string())
+            grams = pa.array([gram_hashes(folded(c), q).view(np.int64) for c in codes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, grams], ["item_id", "words", "grams"])
 
+    return run
 
-def scan(items: list[tuple[int, str]], length: int, budget: int, q: int, words: int, block: int = BLOCK):
-    """Arrow batches of (doc_id, text) to (doc_id, item_id, chars, edits) of verified regions.
 
-    With ``words`` only regions with a run of so many whole common words stay. Blocks of a
-    document overlap by a region's length, so each region lies whole in one of them.
-    """
-    out = ["doc_id", "item_id", "chars", "edits"]
+def _chosen(width: int, least: int):
+    """(item_id, grams, frequencies) to (item_id, key) of the rarest q-grams of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(items, q)
-        least = length - q + 1 - q * budget
         for batch in batches:
-            found: dict[tuple[int, int], list[int]] = {}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = np.frombuffer(text.encode(), np.uint8)
-                regions: list = []
-                for begin in range(0, len(data), block):
-                    pos, item, diagonal = index.hits(data[begin : begin + block + length + budget], lambda at: crowded(at, least, length + budget - q))
-                    if len(pos):
-                        regions += retained(pos + begin, item, diagonal + begin, length, budget, q)
-                for number, low, first, last in regions:
-                    other, key = index.texts[number], (doc, int(index.ids[number]))
-                    if words and key in found:
+            ids, keys = [], [np.empty(0, np.int64)]
+            for item, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = sorted((r["at"], r["key"], r["n"]) for r in rows)
+                found = np.unique(np.array([r[1] for r in rows], np.int64)[rarest(np.array([r[2] for r in rows]), width, least)])
+                ids += [item] * len(found)
+                keys.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys))], ["item_id", "key"])
+
+    return run
+
+
+def stretches(every: bytes, chosen: bytes, length: int, budget: int, q: int):
+    """(doc_id, text) to the stretches of documents that hold enough q-grams of items near each
+    other: (doc_id, place, words, keys), the keys being those that were chosen for the join."""
+    least = length - q + 1 - q * budget
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, wanted = np.frombuffer(every, np.uint8), np.frombuffer(chosen, np.uint8)
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            docs, places, words, keys = [], [], [], []
+            sizes = np.cumsum([len(t) for t in texts])
+            for group in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // BLOCK)) + 1):
+                codes = words_only([texts[i] for i in group])
+                data = folded(codes)
+                hit, value = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                for begin in range(0, len(data), BLOCK):
+                    values = gram_hashes(data[begin : begin + BLOCK + q - 1], q)
+                    at = np.flatnonzero(in_filter(there, values))
+                    hit.append(at + begin)
+                    value.append(values[at])
+                at, values = np.concatenate(hit), np.concatenate(value)
+                near = crowded(at, least, length - q)
+                at, values = at[near], values[near]
+                ends = np.flatnonzero(codes == END)
+                owner = np.searchsorted(ends, at) - 1
+                for part in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) > length) | (np.diff(owner) > 0)) + 1) if len(at) else []:
+                    found = np.unique(values[part][in_filter(wanted, values[part])])
+                    if len(part) < least or not len(found):
                         continue
-                    chars, edits = int(last - first + q), 0
-                    if words:
-                        if whole_words(data, other, int(first), int(low)) < words:
-                            continue
-                    else:
-                        width = 2 * max(1, budget)
-                        start = max(0, int(first - low) - width)
-                        edits = banded_alignment(data[first : last + q], other[start : int(last + q - low) + width], int(first - low) - start, width)
-                        if edits > budget * max(1, chars // length):
-                            continue
-                    best = found.setdefault(key, [0, 0])
-                    if chars > best[0]:
-                        best[:] = chars, edits
-            rows = [(d, i, c, e) for (d, i), (c, e) in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], out)
+                    k = owner[part[0]]
+                    lo, hi = max(ends[k] + 1, at[part[0]] - length), min(ends[k + 1], at[part[-1]] + q + length)
+                    docs.append(ids[group[k]])
+                    places.append(int(lo - ends[k] - 1))
+                    words.append(codes[lo:hi].tobytes().decode("utf-32-le", "surrogatepass"))
+                    keys.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(words, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "place", "words", "keys"])
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, length: int, budget: int, q: int, words: int = 0) -> DataFrame:
-    """(doc_id, item_id, chars, edits): items of which a region of ``length`` characters or
-    more stands in a document with at most ``budget`` edits a ``length``.
+def _verified(length: int, budget: int, q: int, words: int):
+    """(doc_id, stretch, item_id, item) to (doc_id, item_id, chars, edits) of the pairs that stand the alignment."""
 
-    documents: doc_id, text; items: item_id, text. Null and empty texts hold nothing; rows
-    with the same id should be one. Items go to the tasks in blocks of ITEMS_PER_BLOCK by
-    hash of their id, one scan of the corpus a block, so what is sent has a fixed bound
-    whatever the number of items; the corpus itself is never shuffled.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, stretch, item, other in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (stretch, other))
+                found = verified(a, b, length, budget, q, words)
+                if found:
+                    rows.append((doc, item, *found))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "item_id", "chars", "edits"])
+
+    return run
+
+
+def leaks(documents: DataFrame, items: DataFrame, length: int, budget: int, q: int, words: int = 0) -> DataFrame:
+    """(doc_id, item_id, chars, edits): items of which a window of ``length`` characters of a
+    document stands in the item with at most ``budget`` edits.
+
+    Characters are those of the words in lower case with single spaces between them. ``chars``
+    is the longest stretch of the document all of whose windows do, ``edits`` the fewest of
+    any window; with ``words`` a pair must share a run of so many whole words. documents:
+    doc_id, text; items: item_id, text, one row per id. Null and empty texts hold nothing.
+    The corpus is mapped once and only its stretches that look like items are shuffled; what
+    is sent to the tasks are two filters of fixed size.
     """
-    texts = items.where("text is not null and item_id is not null").select("item_id", words_only(F.col("text")).alias("words"))
-    blocks = -(-texts.count() // ITEMS_PER_BLOCK) or 1
-    corpus = documents.where("text is not null and doc_id is not null").select("doc_id", words_only(F.col("text")).alias("words")).where(F.length("words") >= length)
-    total = None
-    for k in range(blocks):
-        block = [(r[0], r[1]) for r in texts.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
-        part = corpus.mapInArrow(scan(block, length, budget, q, words), "doc_id long, item_id long, chars long, edits long")
-        total = part if total is None else total.unionByName(part)
-    return total
+    least = length - q + 1 - q * budget
+    known = settle(items.where("text is not null and item_id is not null").select("item_id", "text").transform(spread).mapInArrow(_grams(q), "item_id long, words string, grams array<long>"))
+    grams = known.select("item_id", F.posexplode("grams").alias("at", "key"))
+    often = grams.groupBy("key").agg(F.count_distinct("item_id").alias("n"))
+    chosen = settle(
+        grams.join(often, "key").groupBy("item_id").agg(F.collect_list(F.struct("at", "key", "n")).alias("rows"))
+        .mapInArrow(_chosen(length - q + 1 + budget, least), "item_id long, key long")
+    )
+    corpus = documents.where("text is not null and doc_id is not null").select("doc_id", "text").where(F.length("text") >= length - 2)
+    scan = stretches(key_filter(often), key_filter(chosen.select("key").distinct()), length, budget, q)
+    found = settle(corpus.mapInArrow(scan, "doc_id long, place long, words string, keys array<long>"))
+    pairs = found.select("doc_id", "place", F.explode("keys").alias("key")).join(chosen, "key").select("doc_id", "place", "item_id").distinct()
+    whole = pairs.join(found.select("doc_id", "place", "words"), ["doc_id", "place"]).join(known.select("item_id", F.col("words").alias("item")), "item_id")
+    checked = whole.select("doc_id", "words", "item_id", "item").transform(spread).mapInArrow(_verified(length, budget, q, words), "doc_id long, item_id long, chars long, edits long")
+    return checked.groupBy("doc_id", "item_id").agg(F.max("chars").alias("chars"), F.min("edits").alias("edits"))
 
 
 def shared_runs(documents: DataFrame, items: DataFrame, words: int = 12) -> DataFrame:
     """(doc_id, item_id) of texts that share ``words`` or more consecutive words.
 
     Such a run has at least 2 * words + 1 characters with the spaces around its words, on one
-    diagonal and without edits; every pair that meets the q-gram bound for that length is
-    kept and its common words are counted exactly.
+    diagonal and without edits; every pair with a window of that length that meets the q-gram
+    bound and the alignment with an edit budget of 0 has its common words counted exactly.
     """
     length = 2 * words + 1
     return leaks(documents, items, length, 0, min(16, length - 4), words).select("doc_id", "item_id").distinct()

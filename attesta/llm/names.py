@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.filters import in_filter, key_filter
 from attesta.session import settle, spread
 
 NAMED = ("person", "team", "system")
@@ -31,8 +32,6 @@ NAMED = ("person", "team", "system")
 LONG = 40
 #: Cores of more names than this are met with a second key beside the core.
 HEAVY = 32
-#: Bits of the filter of cores' keys that goes to the tasks; its size doesn't depend on the data.
-FILTER_BITS = 24
 
 # Short forms of given names.
 NICKNAMES = {
@@ -459,8 +458,7 @@ def form_rows(cells: bytes, longest: int):
                 texts += found
                 owners += [i] * len(found)
             number, key = part_keys(texts)
-            at = key >> np.uint64(64 - FILTER_BITS)
-            kept = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            kept = in_filter(bits, key)
             row, key = np.array(owners, np.int64)[number[kept]], key[kept]
             order = np.argsort(row, kind="stable")
             offsets = np.searchsorted(row[order], np.arange(len(parsed) + 1))
@@ -647,15 +645,6 @@ def _as_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["entity_id", "kind", "core", "words", "others", "prior"])
 
 
-def key_filter(keys: DataFrame) -> bytes:
-    """A bit for each key's first FILTER_BITS bits; of fixed size, whatever the number of keys."""
-    cell = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    cells = keys.select(F.shiftright(cell, 5).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(31)).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[cells.column("at").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint32)
-    return out.tobytes()
-
-
 def attributed(mention: DataFrame, entity: DataFrame, frequent: int = 5, heavy: int = HEAVY) -> DataFrame:
     """(mention_id, entity_id, posterior) of mentions that name an entity in another spelling.
 
