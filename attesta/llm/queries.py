@@ -32,7 +32,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     spans = table(spark, folder, "evidence").select(F.col("evidence_id").alias("id"), F.col("span_text").alias("text"))
     found = credentials.credentials(spans)
-    return found.select(F.col("id").alias("evidence_id"), F.explode("secrets").alias("secret")).distinct()
+    return found.select(F.col("id").alias("evidence_id"), F.explode("secrets.secret").alias("secret")).distinct()
+
+
+def p4_places(spark: SparkSession, folder: str) -> DataFrame:
+    """For each kind of place the values found there, and how many characters they have per subword."""
+    spans = keyed(spark, folder, "evidence", "evidence_id", "span_text").select(F.col("evidence_id").alias("id"), F.col("span_text").alias("text"))
+    found = credentials.credentials(spans).select("id", F.explode("secrets").alias("s")).select("id", "s.*")
+    return found.groupBy("place").agg(F.count(F.lit(1)).alias("found"), F.round(F.min("per_subword"), 3).alias("least"), F.round(F.avg("per_subword"), 3).alias("mean"), F.round(F.max("per_subword"), 3).alias("most"))
 
 
 def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,7 +86,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_copies, p3_found, p4_found, p4_redacted, p5_found, p6_packed, p6_mixture, p7_found, p7_regions, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p3_found, p4_found, p4_places, p4_redacted, p5_found, p6_packed, p6_mixture, p7_found, p7_regions, p8_found, p8_restored)}
 
 
 FIELDS = r"""list_filter(regexp_split_to_array(replace(regexp_replace(span_text, '^[\s\x{A0}`]*[\[({]?|[\])}]?[\s\x{A0}`;,]*$', '', 'g'), chr(8203), ''), '[\n\r,;]+'),
