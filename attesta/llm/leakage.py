@@ -2,8 +2,8 @@
 
 The corpus is read once, whatever the number of items: a filter of fixed size drops the places
 whose q-grams no item has, and places without enough others near them. What stays meets the
-items by an equi-join on q-grams, on the rarest ones of each item's windows only, of which a
-shared region must hold one; so a q-gram that all items share isn't expanded. For each pair
+items by an equi-join on q-grams, on the rarest ones of each item's windows only (or of its
+runs of whole words), of which a shared region must hold one; so a q-gram that all items share isn't expanded. For each pair
 that met, the q-grams are counted in overlapping bands of diagonals: a window of L characters
 with at most e edits keeps at least L - q + 1 - q * e of them within a band of e + 1 diagonals
 (the q-gram lemma). Each window that a band retains is verified by banded alignment on its own.
@@ -104,6 +104,24 @@ def rarest(frequency: np.ndarray, width: int, least: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+def rarest_of_runs(frequency: np.ndarray, codes: np.ndarray, words: int, q: int) -> np.ndarray:
+    """Places of which each run of so many whole words, which must be shared in full, includes one: the run's rarest."""
+    spaces = np.flatnonzero(codes == SPACE)
+    first, last = spaces[:-words], spaces[words:] - q + 1
+    rank = np.lexsort((np.arange(len(frequency)), frequency)).argsort()
+    chosen: set[int] = set()
+    best, at = -1, -1
+    for lo, hi in zip(first.tolist(), last.tolist()):
+        if best < lo:
+            best = lo + int(rank[lo : hi + 1].argmin())
+        else:
+            fresh = at + 1 + int(rank[at + 1 : hi + 1].argmin()) if hi > at else best
+            best = fresh if rank[fresh] < rank[best] else best
+        at = hi
+        chosen.add(best)
+    return np.array(sorted(chosen), np.int64)
+
+
 def retained(pos: np.ndarray, diagonal: np.ndarray, length: int, budget: int, q: int) -> list[tuple[int, int, int]]:
     """(low diagonal, first start, last start) of the windows that meet the lemma's bound.
 
@@ -225,15 +243,17 @@ def _grams(q: int):
     return run
 
 
-def _chosen(width: int, least: int):
-    """(item_id, grams, frequencies) to (item_id, key) of the rarest q-grams of each window."""
+def _chosen(width: int, least: int, q: int, words: int):
+    """(item_id, text, its q-grams with their frequencies) to (item_id, key) of the rarest q-grams of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], [np.empty(0, np.int64)]
-            for item, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for item, text, rows in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 rows = sorted((r["at"], r["key"], r["n"]) for r in rows)
-                found = np.unique(np.array([r[1] for r in rows], np.int64)[rarest(np.array([r[2] for r in rows]), width, least)])
+                frequency = np.array([r[2] for r in rows])
+                places = rarest_of_runs(frequency, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), words, q) if words else rarest(frequency, width, least)
+                found = np.unique(np.array([r[1] for r in rows], np.int64)[places])
                 ids += [item] * len(found)
                 keys.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys))], ["item_id", "key"])
@@ -314,7 +334,8 @@ def leaks(documents: DataFrame, items: DataFrame, length: int, budget: int, q: i
     often = grams.groupBy("key").agg(F.count_distinct("item_id").alias("n"))
     chosen = settle(
         grams.join(often, "key").groupBy("item_id").agg(F.collect_list(F.struct("at", "key", "n")).alias("rows"))
-        .mapInArrow(_chosen(length - q + 1 + budget, least), "item_id long, key long")
+        .join(known.select("item_id", "words"), "item_id").select("item_id", "words", "rows")
+        .mapInArrow(_chosen(length - q + 1 + budget, least, q, words), "item_id long, key long")
     )
     corpus = documents.where("text is not null and doc_id is not null").select("doc_id", "text").where(F.length("text") >= length - 2)
     scan = stretches(key_filter(often), key_filter(chosen.select("key").distinct()), length, budget, q)

@@ -167,3 +167,15 @@ def test_some_of_each_window_is_chosen():
 def test_no_items(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert L.shared_runs(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_each_run_of_words_has_a_chosen_place():
+    rnd = random.Random(2)
+    for _ in range(50):
+        codes = L.words_only([" ".join("ab"[: rnd.randint(1, 2)] * rnd.randint(1, 4) for _ in range(rnd.randint(3, 30)))])[1:-1]
+        frequency = np.array([rnd.randint(1, 5) for _ in range(max(0, len(codes) - 7))])
+        spaces = np.flatnonzero(codes == 32)
+        chosen = L.rarest_of_runs(frequency, codes, 5, 8)
+        for i in range(len(spaces) - 5):
+            part = frequency[spaces[i] : spaces[i + 5] - 6]
+            assert any(spaces[i] <= p <= spaces[i + 5] - 7 and frequency[p] == part.min() for p in chosen)
