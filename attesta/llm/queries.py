@@ -58,11 +58,25 @@ def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
+#: Proportions of a training mixture; sources that aren't named share the rest.
+MIXTURE = {"git": 0.3, "wiki": 0.25, "tracker": 0.2, "chat": 0.15}
+
+
 def p6_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens and share of each source in each window of 256 containers."""
+    """Tokens, share and target of each source in each window of 256 containers, each source by its size."""
     return packing.mixture(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
+def p6_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with given proportions, in windows of 64 containers."""
+    return packing.mixture(table(spark, folder, "documents").select("doc_id", "source", "text"), window_containers=64, targets=MIXTURE)
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each window are, with the given proportions."""
+    return packing.fill(packing.pack(table(spark, folder, "documents").select("doc_id", "source", "text"), targets=MIXTURE))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     items = keyed(spark, folder, "eval_item", "item_id", "text")
@@ -86,7 +100,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_copies, p3_found, p4_found, p4_places, p4_redacted, p5_found, p6_packed, p6_mixture, p7_found, p7_regions, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p3_found, p4_found, p4_places, p4_redacted, p5_found, p6_packed, p6_mixture, p6_targets, p6_fill, p7_found, p7_regions, p8_found, p8_restored)}
 
 
 FIELDS = r"""list_filter(regexp_split_to_array(replace(regexp_replace(span_text, '^[\s\x{A0}`]*[\[({]?|[\])}]?[\s\x{A0}`;,]*$', '', 'g'), chr(8203), ''), '[\n\r,;]+'),
