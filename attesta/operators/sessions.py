@@ -1,6 +1,6 @@
 """Sessions: stretches of activity without a long idle gap.
 
-Events of one key are cut into time chunks. Inside a chunk a window finds local stretches;
+Events of one key are cut into time chunks, smaller ones where they are dense. Inside a chunk a window finds local stretches;
 chunk summaries carry the latest end of all earlier chunks forward; adjacent partial
 stretches are merged where the gap at their boundary is within the limit. Only the two
 small windows over summaries run per key, so one key may hold most of the rows.
@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SPACES = r"(?U)^\s+|\s+$"
+#: Most spans that a time chunk is cut into.
+SPANS = 1 << 20
 
 
 def session_key(session: Column) -> Column:
@@ -33,21 +35,31 @@ def activity_intervals(activity: DataFrame) -> DataFrame:
     ).where("key is not null and end_us is not null and id is not null")
 
 
-def partial_stretches(intervals: DataFrame, gap_us: int, chunk_us: int) -> DataFrame:
+def chunked(intervals: DataFrame, chunk_us: int, dense: int) -> DataFrame:
+    """``intervals`` with their time chunk (in order of time); one of more than ``dense`` rows
+    is cut into as many equal spans of time as would hold so many each.
+
+    The dense chunks of all keys are at most rows / ``dense``, so their table is small; how
+    it is joined is Spark's choice by its size.
+    """
+    coarse = F.floor(F.col("start_us") / chunk_us)
+    full = intervals.groupBy("key", coarse.alias("coarse")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense)
+    spans = full.select("key", "coarse", F.least(F.ceil(F.col("n") / dense), F.lit(min(chunk_us, SPANS))).alias("spans"))
+    place = F.floor((F.col("start_us") - F.col("coarse") * chunk_us) * F.coalesce("spans", F.lit(1)) / chunk_us)
+    return intervals.withColumn("coarse", coarse).join(spans, ["key", "coarse"], "left").withColumn("chunk", F.col("coarse") * SPANS + place).drop("coarse", "spans")
+
+
+def partial_stretches(intervals: DataFrame, gap_us: int, chunk_us: int, dense: int) -> DataFrame:
     """Local stretches of each key and time chunk, with counts per tool.
 
     Repeated ids collapse here: copies share key and start, hence the chunk, so removing
     them needs no shuffle of its own.
     """
-    chunked = (
-        intervals.withColumn("chunk", F.floor(F.col("start_us") / chunk_us))
-        .repartition("key", "chunk")
-        .dropDuplicates(["key", "chunk", "id"])
-    )
+    placed = chunked(intervals, chunk_us, dense).repartition("key", "chunk").dropDuplicates(["key", "chunk", "id"])
     order = W.partitionBy("key", "chunk").orderBy("start_us", "id")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     numbered = (
-        chunked.withColumn("reach", F.max("end_us").over(before))
+        placed.withColumn("reach", F.max("end_us").over(before))
         .withColumn("cut", F.when(F.col("start_us") > F.col("reach") + gap_us, 1).otherwise(0))
         .withColumn("local", F.sum("cut").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     )
@@ -94,7 +106,7 @@ def merge_stretches(partials: DataFrame, gap_us: int) -> DataFrame:
     return opened.join(offsets, ["key", "chunk"]).withColumn("stretch", F.col("base") + F.col("nth"))
 
 
-def sessionize(activity: DataFrame, gap_seconds: int = 1800, chunk_seconds: int = 21600) -> DataFrame:
+def sessionize(activity: DataFrame, gap_seconds: int = 1800, chunk_seconds: int = 21600, dense: int = 100_000) -> DataFrame:
     """One row per stretch: session, first_id, last_id, start, end, duration and counts.
 
     first_id is the call with the smallest (start, id), last_id that with the largest
@@ -102,7 +114,7 @@ def sessionize(activity: DataFrame, gap_seconds: int = 1800, chunk_seconds: int
     An empty table gives no rows. Extra columns of the input are ignored.
     """
     gap_us = gap_seconds * 1_000_000
-    partials = partial_stretches(activity_intervals(activity), gap_us, chunk_seconds * 1_000_000)
+    partials = partial_stretches(activity_intervals(activity), gap_us, chunk_seconds * 1_000_000, dense)
     merged = merge_stretches(partials, gap_us)
     stretches = merged.groupBy("key", "stretch").agg(
         F.min("head").alias("head"), F.max("tail").alias("tail"), F.sum("n").alias("calls")
@@ -126,10 +138,10 @@ def sessionize(activity: DataFrame, gap_seconds: int = 1800, chunk_seconds: int
     )
 
 
-def session_bounds(activity: DataFrame, gap_seconds: int = 1800, chunk_seconds: int = 21600) -> DataFrame:
+def session_bounds(activity: DataFrame, gap_seconds: int = 1800, chunk_seconds: int = 21600, dense: int = 100_000) -> DataFrame:
     """session, first_id, last_id of each stretch; see ``sessionize``."""
     gap_us = gap_seconds * 1_000_000
-    partials = partial_stretches(activity_intervals(activity).withColumn("tool", F.lit("")), gap_us, chunk_seconds * 1_000_000)
+    partials = partial_stretches(activity_intervals(activity).withColumn("tool", F.lit("")), gap_us, chunk_seconds * 1_000_000, dense)
     return (
         merge_stretches(partials, gap_us)
         .groupBy("key", "stretch")

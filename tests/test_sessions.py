@@ -3,7 +3,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from attesta.operators.sessions import session_bounds, sessionize
+from attesta.operators.sessions import chunked, session_bounds, sessionize
 
 SCHEMA = "id long, at_ts timestamp, tool string, session string, duration_ms int, key string, chunk string"
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -53,6 +53,7 @@ def test_sessions_equal_brute_force(spark, seed):
     got = {(r.session, r.first_id, r.last_id, r.calls, r.tools) for r in sessionize(df, chunk_seconds=7200).collect()}
     assert got == want
     assert {tuple(r) for r in session_bounds(df, chunk_seconds=3600).collect()} == {w[:3] for w in want}
+    assert {tuple(r) for r in session_bounds(df, chunk_seconds=200_000, dense=7).collect()} == {w[:3] for w in want}
 
 
 def test_gap_of_exactly_the_limit_does_not_split(spark):
@@ -70,3 +71,9 @@ def test_a_long_call_bridges_chunks(spark):
 def test_empty_and_all_null(spark):
     assert sessionize(spark.createDataFrame([], SCHEMA)).count() == 0
     assert session_bounds(spark.createDataFrame([(1, None, None, None, None, None, None)], SCHEMA)).count() == 0
+
+
+def test_dense_chunks_are_cut(spark):
+    rows = [("k", i, i * 1_000_000) for i in range(3000)] + [("k", 9000, 10**12), ("l", 1, 5)]
+    found = chunked(spark.createDataFrame(rows, "key string, id long, start_us long"), 3_600_000_000, 100).groupBy("key", "chunk").count().collect()
+    assert max(r["count"] for r in found) <= 130 and sum(r["count"] for r in found) == 3002
