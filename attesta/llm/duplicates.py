@@ -3,7 +3,7 @@
 Each text becomes canonical bytes: its letters and digits in lower case, for texts made of
 key-value fields the sorted fields. Every input task first counts its own texts in a trie,
 so a text that holds a third of all rows leaves each task as one row. The partial counts
-are split by their first byte; buckets over the capacity are split by further bytes until
+are split by their first bytes; buckets over the capacity are split by further bytes until
 each fits; a trie per bucket then adds the terminal counters up.
 """
 
@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.session import shuffle_partitions
+from attesta.session import forget, settle, shuffle_partitions
 
 NOT_WORD = r"[^\p{L}\p{Nd}]+"
 #: One key-value field: a bare or quoted key, a separator, a quoted value or one without calls and brackets.
@@ -117,31 +117,29 @@ def count_buckets(least: int):
     return run
 
 
-def radix_buckets(partials: DataFrame, capacity: int, max_open: int = 4096) -> DataFrame:
-    """``partials`` with a column ``bucket``: the shortest tried prefix that isn't oversized.
+def radix_buckets(partials: DataFrame, capacity: int, first: int = 8) -> DataFrame:
+    """``partials`` with a column ``bucket``: the shortest tried prefix of at most ``capacity`` rows.
 
-    The capacity is raised to rows / ``max_open`` where that is more, so that at most
-    ``max_open`` prefixes of a depth are open: that bounds what is broadcast at any size of
-    the input. Depth doubles from level to level; a text shorter than the depth is whole.
+    The first split is by ``first`` bytes at once; prefixes over the capacity are split by
+    twice as many bytes, until each fits or is a whole text, which a trie holds as one entry.
+    The oversized prefixes of a depth are a table of at most rows / capacity rows; whether
+    it is small enough to be sent to all tasks or is joined by a shuffle is Spark's choice
+    by its size.
     """
-    capacity = max(capacity, partials.count() // max_open)
-    spark = partials.sparkSession
-    bucketed = partials.withColumn("bucket", F.substring("canon", 1, 1))
-    live, depth = partials, 1
+    depth = first
+    bucketed, live = partials.withColumn("bucket", F.substring("canon", 1, depth)), partials
     while True:
         cut = F.substring("canon", 1, depth)
-        large = [r[0] for r in live.where(F.length("canon") > depth).groupBy(cut.alias("prefix")).count().where(F.col("count") > capacity).select("prefix").collect()]
-        if not large:
+        opened = settle(live.where(F.length("canon") > depth).groupBy(cut.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > capacity).select("prefix"))
+        if opened.isEmpty():
+            forget(opened)
             return bucketed
-        opened = spark.createDataFrame([(bytes(x),) for x in large], "prefix binary")
-        live = live.join(F.broadcast(opened), cut == F.col("prefix"), "left_semi")
-        deeper = F.substring("canon", 1, 2 * depth)
+        live = live.join(opened, cut == F.col("prefix"), "left_semi")
+        depth *= 2
         bucketed = (
-            bucketed.join(F.broadcast(opened), F.col("bucket") == F.col("prefix"), "left")
-            .withColumn("bucket", F.when(F.col("prefix").isNotNull(), deeper).otherwise(F.col("bucket")))
-            .drop("prefix")
+            bucketed.join(opened, F.col("bucket") == F.col("prefix"), "left")
+            .withColumn("bucket", F.when(F.col("prefix").isNotNull(), F.substring("canon", 1, depth)).otherwise(F.col("bucket"))).drop("prefix")
         )
-        depth *= 2
 
 
 def count_copies(keys: DataFrame, least: int = 1, capacity: int = 100_000) -> DataFrame:

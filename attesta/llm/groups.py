@@ -8,21 +8,28 @@ vertex of a component holds all of it and every other vertex holds only that sma
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from attesta.session import settle
+from attesta.session import forget, settle
 
 
 def hex_id(value: Column) -> Column:
-    """The 32 hexadecimal digits of an id in lower case; null for anything else."""
-    digits = F.lower(F.regexp_replace(value, "[^0-9A-Fa-f]", ""))
-    return F.when(F.length(digits) == 32, digits)
+    """The 16 bytes of an id's 32 hexadecimal digits; null for anything else."""
+    digits = F.regexp_replace(value, "[^0-9A-Fa-f]", "")
+    return F.when(F.length(digits) == 32, F.unhex(digits))
 
 
-def _fingerprint(pairs: DataFrame) -> tuple:
-    mixed = F.xxhash64("v", "u")
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.shiftright(mixed, 20)), F.bit_xor(mixed)).first())
+def _settled(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+    """``pairs`` as a table, and a fingerprint of its rows that is taken while it is written."""
+    mixed, seen = F.xxhash64("v", "u"), Observation()
+    table = settle(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(mixed, 20)).alias("sum"), F.bit_xor(mixed).alias("xor")))
+    return table, tuple(seen.get.values())
+
+
+def _rows(pairs: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """(v, u) for each named pair of columns of each row."""
+    return pairs.select(F.explode(F.array(*(F.struct(F.col(v).alias("v"), F.col(u).alias("u")) for v, u in ends))).alias("p")).select("p.v", "p.u").distinct()
 
 
 def hash_to_min(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -30,25 +37,18 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Rows with a null end are ignored, self-links keep their vertex as its own component,
     repeated and reversed rows make no difference, and no edges give no rows. Rounds grow
-    with the logarithm of the longest chain. The rows of a component's smallest vertex may
-    be a third of all; the join with the minima then has one row a vertex on its other side,
-    which is the shape that adaptive execution splits without loss.
+    with the logarithm of the longest chain; each is written as a table, and the one before
+    is deleted. The rows of a component's smallest vertex may be a third of all; the join
+    with the minima then has one row a vertex on its other side, which is the shape that
+    adaptive execution splits without loss.
     """
     ends = edges.where("a is not null and b is not null").select("a", "b")
-    pairs = settle(
-        ends.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")),
-                                      F.struct(F.col("a").alias("v"), F.col("a").alias("u")), F.struct(F.col("b").alias("v"), F.col("b").alias("u")))).alias("p"))
-        .select("p.v", "p.u")
-        .distinct()
-    )
-    before = _fingerprint(pairs)
+    pairs, before = _settled(_rows(ends, ("a", "b"), ("b", "a"), ("a", "a"), ("b", "b")))
     for _ in range(max_rounds):
         least = pairs.groupBy("v").agg(F.min("u").alias("m"))
-        sent = pairs.join(least, "v").select(
-            F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("p")
-        )
-        pairs = settle(sent.select("p.v", "p.u").distinct())
-        now = _fingerprint(pairs)
+        after, now = _settled(_rows(pairs.join(least, "v"), ("m", "u"), ("u", "m")))
+        forget(pairs)
+        pairs = after
         if now == before:
             return pairs.groupBy(F.col("v").alias("member")).agg(F.min("u").alias("root"))
         before = now
@@ -60,7 +60,7 @@ def match_edges(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     confirmed = F.lower(F.regexp_replace("resolution", r"(?U)^\s+|\s+$", "")) == "merged"
     merged = candidates.where(confirmed).select(hex_id(F.col("from_id")).alias("a"), hex_id(F.col("into_id")).alias("b"))
     pointers = entities.select(hex_id(F.col("id")).alias("a"), hex_id(F.col("canonical_id")).alias("b"))
-    return merged.union(pointers).where("a <> b").distinct()
+    return merged.union(pointers).where("a <> b")
 
 
 def entity_groups(candidates: DataFrame, entities: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def entity_groups(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     Ids that are in no entity row link nothing. Ids come back as ``entities.id`` has them;
     group_id is the smallest such id of the group by string.
     """
-    known = entities.select(hex_id(F.col("id")).alias("member"), F.col("id").alias("entity_id")).where("member is not null").distinct()
+    known = entities.select(hex_id(F.col("id")).alias("member"), F.col("id").alias("entity_id")).where("member is not null").distinct().transform(settle)
     edges = match_edges(candidates, entities)
     for end in ("a", "b"):
         edges = edges.join(known.select(F.col("member").alias(end)).distinct(), end, "left_semi")

@@ -1,9 +1,8 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from attesta.llm.duplicates import Trie, count_copies, duplicate_records
+from attesta.llm.duplicates import Trie, count_copies, duplicate_records, radix_buckets
 
 EVIDENCE, ENTITY = "evidence_id long, span_text string, first string, canon string", "id string, kind string, env string, display_name string"
 
@@ -52,4 +51,11 @@ def test_first_id_is_the_smallest_number(spark):
     evidence = spark.createDataFrame([(100, "a b", "", ""), (20, "ab", "", ""), (-3, "AB", "", "")], EVIDENCE)
     got = duplicate_records(evidence, spark.createDataFrame([], ENTITY)).select("first_id").distinct().collect()
     assert [r[0] for r in got] == ["-3"]
-    assert F is not None
+    
+
+def test_no_bucket_of_different_texts_is_over_the_capacity(spark):
+    rnd = random.Random(6)
+    texts = {"kservicename" + "".join(rnd.choices("abc", k=rnd.randint(0, 40))) for _ in range(600)}
+    partials = spark.createDataFrame([(t.encode(), 1, "") for t in sorted(texts)], "canon binary, n long, first string")
+    sizes = [r["count"] for r in radix_buckets(partials, 20).groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(texts) and max(sizes) <= 20

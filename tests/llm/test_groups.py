@@ -39,3 +39,11 @@ def test_ids_in_any_writing_and_only_confirmed_rows(spark):
     candidates = spark.createDataFrame(rows, "from_id string, into_id string, resolution string")
     got = sorted(tuple(r) for r in entity_groups(candidates, entity).collect())
     assert got == sorted([(a, a), (b, a), (c, a), (e, e), (f, e)])
+
+
+def test_rounds_leave_one_table_behind(spark):
+    from attesta import session
+
+    before = len(session._written)
+    edges = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(60)], "a string, b string")
+    assert hash_to_min(edges).count() == 61 and len(session._written) == before + 1
