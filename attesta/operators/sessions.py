@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attesta.session import settle
+
 SPACES = r"(?U)^\s+|\s+$"
 #: Most spans that a time chunk is cut into.
 SPANS = 1 << 20
@@ -114,7 +116,7 @@ def sessionize(activity: DataFrame, gap_seconds: int = 1800, chunk_seconds: int
     An empty table gives no rows. Extra columns of the input are ignored.
     """
     gap_us = gap_seconds * 1_000_000
-    partials = partial_stretches(activity_intervals(activity), gap_us, chunk_seconds * 1_000_000, dense)
+    partials = settle(partial_stretches(activity_intervals(activity), gap_us, chunk_seconds * 1_000_000, dense))
     merged = merge_stretches(partials, gap_us)
     stretches = merged.groupBy("key", "stretch").agg(
         F.min("head").alias("head"), F.max("tail").alias("tail"), F.sum("n").alias("calls")
@@ -141,7 +143,7 @@ def sessionize(activity: DataFrame, gap_seconds: int = 1800, chunk_seconds: int
 def session_bounds(activity: DataFrame, gap_seconds: int = 1800, chunk_seconds: int = 21600, dense: int = 100_000) -> DataFrame:
     """session, first_id, last_id of each stretch; see ``sessionize``."""
     gap_us = gap_seconds * 1_000_000
-    partials = partial_stretches(activity_intervals(activity).withColumn("tool", F.lit("")), gap_us, chunk_seconds * 1_000_000, dense)
+    partials = settle(partial_stretches(activity_intervals(activity).withColumn("tool", F.lit("")), gap_us, chunk_seconds * 1_000_000, dense))
     return (
         merge_stretches(partials, gap_us)
         .groupBy("key", "stretch")
