@@ -1,11 +1,13 @@
 """Texts decoded with the wrong character encoding: found, explained and restored.
 
-Records (words and sentences) are joined with their twins on the text stripped of non-ASCII
-characters. The most frequent twin counts as clean; the characters that differ are aligned
-between the common ASCII ones, and each aligned pair is explained by the encodings that turn
-the one into the other. Explanations with enough support are the learned transformations.
-They are then applied to all remaining records, where undoing one must make the text more
-orderly: fewer mixed scripts, capitals inside words, and signs between letters.
+Records (words and sentences) are joined with their twins on the text without its non-ASCII
+characters, whose places are kept. The most frequent twin counts as clean; the characters that
+differ are aligned between the common ASCII ones. What is learned from the aligned pairs are
+transformations: a pair of encodings where one turns the clean characters into the others,
+which then holds for characters not seen yet; else a table of what stands for what, so that
+encodings nobody listed are learned too; and the loss of characters. They are then applied to
+all remaining records, where undoing one must make the text more orderly: fewer mixed scripts,
+capitals inside words, and signs between letters.
 """
 
 from __future__ import annotations
@@ -17,16 +19,21 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attesta.session import settle, spread
+
 # Encodings that texts are written in, and read in by mistake.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "cp1251", "cp866", "koi8-r", "cp850", "cp437", "mac_roman", "iso8859-5", "mac_cyrillic", "cp1254", "iso8859-2")
 READ = ("cp1252", "latin-1", "cp1250", "cp1251", "cp866", "koi8-r", "cp850", "cp437", "mac_roman", "iso8859-5", "mac_cyrillic", "cp1254", "iso8859-2")
 CHAINS = tuple(f"{a}>{b}" for a in WRITTEN for b in READ if a != b and {a, b} != {"cp1252", "latin-1"})
+#: Characters that were lost on reading stand as this one; what they were only a twin can say.
+LOST, LOSS = "\ufffd", "lost"
 HIGH = re.compile(r"[^\x00-\x7f]+")
 # Only ASCII blanks part words: U+0085 and U+00A0 may be the second half of a garbled letter.
 WORD = re.compile(r"[^ \t\r\n]+")
+ORDER = {c: k for k, c in enumerate((*CHAINS, LOSS))}
+LETTER = re.compile(r"[A-Za-z]")
 #: Signs that stand inside or next to words of ordinary text.
 ORDINARY = set("’‘“”„«»‹›–—‐‑…·•→←↑↓≤≥≠×÷±°€£¥§©®™№¿¡′″✓✔✗⚠ªº²³¹¼½¾µ\u00a0\u200b\ufeff\ufe0f")
 #: Of those, signs that may end a word or join its parts, but don't go on with other signs or letters.
@@ -69,6 +76,19 @@ def _read(data: bytes, name: str) -> str | None:
     return "".join(chars[b] for b in data)
 
 
+class Table:
+    """A learned transformation: which characters stand for which ones."""
+
+    def __init__(self, entries: dict[str, str]) -> None:
+        self.entries = entries
+        self.pattern = re.compile("|".join(map(re.escape, sorted(entries, key=lambda g: (-len(g), g)))))
+
+    def undo(self, text: str) -> str:
+        """``text`` with the garbled characters of the table replaced; others stay."""
+        return self.pattern.sub(lambda m: self.entries[m.group()], text)
+
+
+@lru_cache(maxsize=1 << 17)
 def garble(text: str, chain: str) -> str | None:
     """``text`` written in the chain's first encoding and read in its second; null if it can't be."""
     a, b = chain.split(">")
@@ -76,7 +96,10 @@ def garble(text: str, chain: str) -> str | None:
     return None if data is None else _read(data, b)
 
 
-def undo(text: str, chain: str) -> str | None:
+@lru_cache(maxsize=1 << 17)
+def undo(text: str, chain: str | Table) -> str | None:
+    if isinstance(chain, Table):
+        return chain.undo(text)
     a, b = chain.split(">")
     data = _write(text, b)
     return None if data is None else _read(data, a)
@@ -89,19 +112,40 @@ def align(form: str, twin: str) -> list[tuple[str, str]] | None:
     return list(zip(HIGH.findall(form), HIGH.findall(twin)))
 
 
+@lru_cache(maxsize=1 << 16)
+def _chains_of(garbled: str, clean: str) -> frozenset[str]:
+    """Chains that turn one stretch into the other, once or (from UTF-8) twice over."""
+    found = set()
+    for chain in CHAINS:
+        once = garble(clean, chain)
+        if once == garbled or once is not None and chain.startswith("utf-8") and garble(once, chain) == garbled:
+            found.add(chain)
+    if LOST in garbled and LOST not in clean:
+        found.add(LOSS)
+    return frozenset(found)
+
+
 def explain(form: str, twin: str) -> list[str]:
-    """Chains that turn the twin's stretches into the form's, once or twice over."""
-    pairs = align(form, twin)
-    if not pairs:
+    """Transformations that turn the twin's stretches into the form's."""
+    pairs = [(g, c) for g, c in align(form, twin) or [] if g != c]
+    return sorted(frozenset.intersection(*(_chains_of(g, c) for g, c in pairs))) if pairs else []
+
+
+def entries(form: str, twin: str) -> list[tuple[str, str]]:
+    """(garbled characters, clean character) of twins that no known transformation explains.
+
+    The form must be disorderly and the twin not. In a stretch all clean characters must have become
+    equally many, else only stretches of one character can be told apart.
+    """
+    pairs = [(g, c) for g, c in align(form, twin) or [] if g != c]
+    if not pairs or any(LOST in g + c for g, c in pairs) or any(map(disorder, twin.split())) or not any(map(disorder, WORD.findall(form))):
         return []
-    found = []
-    for chain in CHAINS:
-        once = [garble(t, chain) for _, t in pairs]
-        if all(g == f for g, (f, _) in zip(once, pairs)):
-            found.append(chain)
-        elif chain.startswith("utf-8") and None not in once and all(garble(g, chain) == f for g, (f, _) in zip(once, pairs)):
-            found.append(chain)
-    return found
+    out = set()
+    for garbled, clean in pairs:
+        each, rest = divmod(len(garbled), len(clean))
+        if not rest and each:
+            out |= {(garbled[i * each : (i + 1) * each], c) for i, c in enumerate(clean)}
+    return sorted((g, c) for g, c in out if g != c)
 
 
 @lru_cache(maxsize=65536)
@@ -127,6 +171,7 @@ def _kind(c: str) -> str:
     return "s"
 
 
+@lru_cache(maxsize=1 << 17)
 def disorder(word: str) -> int:
     """How many places of a word don't occur in orderly text."""
     kinds = [_kind(c) for c in word]
@@ -157,7 +202,7 @@ def disorder(word: str) -> int:
     return score
 
 
-def repair(text: str, chains: tuple[str, ...], depth: int = 2) -> tuple[str, int]:
+def repair(text: str, chains: tuple[str | Table, ...], depth: int = 2) -> tuple[str, int]:
     """The text with each sentence's garbled words restored, and how much order that brings.
 
     Of the chains, the one that lessens a sentence's disorder most is undone in all its words
@@ -177,8 +222,9 @@ def repair(text: str, chains: tuple[str, ...], depth: int = 2) -> tuple[str, int
             best, gain, size, fix = "", 0, 0, {}
             for chain in chains:
                 tried = {w: HIGH.sub(lambda m: (undo(m.group(), chain) or m.group()), w) for w in scores}
-                kept = {w: f for w, f in tried.items() if f != w and disorder(f) <= scores[w] and (chain.startswith("utf-8") or _better(w, f))}
-                won = sum(scores[w] - disorder(kept[w]) for w in words if w in kept)
+                kept = {w: f for w, f in tried.items() if f != w and disorder(f) <= scores[w] and (isinstance(chain, Table) or chain.startswith("utf-8") or _better(w, f))}
+                alone = isinstance(chain, Table)  # then a sign by itself speaks for nothing, but is undone beside words that do
+                won = sum(scores[w] - disorder(kept[w]) for w in words if w in kept and not (alone and not LETTER.search(w)))
                 length = sum(map(len, kept.values())) - sum(map(len, (scores.keys() & kept.keys())))
                 if won > gain or won == gain > 0 and length < size:
                     best, gain, size, fix = chain, won, length, kept
@@ -196,46 +242,81 @@ def _better(word: str, fixed: str) -> bool:
     return not kinds & {"x", "G", "O", "b"} and len({k for k in kinds if k in "LC"}) <= 1
 
 
+NON_ASCII = r"[^\x00-\x7f]"
+
+
 def forms(documents: DataFrame) -> DataFrame:
     """(doc_id, form, key): words and sentences with non-ASCII characters.
 
-    key is the form stripped of them; words need two ASCII letters and sentences four, so that
-    unrelated texts in another script don't meet under an empty key.
+    key is a digest of the form with each stretch of them as one mark; words need two ASCII
+    letters and sentences four, so that unrelated texts in another script don't meet.
     """
-    text = documents.where("text is not null and doc_id is not null").where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    words = text.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \t\r\n]+"))).alias("form"), F.lit(2).alias("least"))
-    sentences = text.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\n+|(?<=[.!?;:])[ \t]+"))).alias("form"), F.lit(4).alias("least"))
-    key = F.regexp_replace("form", r"[^\x00-\x7f]+", "")
-    return (
-        words.union(sentences).where(F.col("form").rlike(r"[^\x00-\x7f]")).withColumn("key", key)
-        .where(F.length(F.regexp_replace("key", "[^A-Za-z]", "")) >= F.col("least")).select("doc_id", "form", "key")
-    )
+    text = documents.where("text is not null and doc_id is not null").where(F.col("text").rlike(NON_ASCII)).select("doc_id", "text")
+
+    def letters(form):
+        return F.length(F.regexp_replace(form, "[^A-Za-z]+", ""))
+
+    words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![^ \t\r\n])[!-~]*+[^\x00-\x7f][^ \t\r\n]*+"), F.lit(0))), lambda w: letters(w) >= 2)
+    sentences = F.filter(F.array_distinct(F.split("text", r"\n+|(?<=[.!?;:])[ \t]+")), lambda x: x.rlike(NON_ASCII) & (letters(x) >= 4))
+    key = F.xxhash64(F.regexp_replace("form", NON_ASCII + "+", "\0"))
+    return text.select("doc_id", F.explode(F.array_union(words, sentences)).alias("form")).select("doc_id", "form", key.alias("key"))
 
 
 def twins(found: DataFrame, margin: int = 3) -> DataFrame:
     """(form, n, twin, m): each rarer form of a key beside its most frequent one and all that are ``margin`` times as frequent as it.
 
-    Counting comes first, so a form in a third of all documents is one row.
+    Counting comes first, so a form in a third of all documents is one row, and so does the
+    choice of a key's most frequent form, which combines before the shuffle.
     """
     counted = found.groupBy("key", "form").agg(F.count(F.lit(1)).alias("n")).withColumn("high", F.length(F.regexp_replace("form", r"[\x00-\x7f]+", "")))
-    first = W.partitionBy("key").orderBy(F.desc("n"), "high", "form")
-    placed = counted.withColumn("place", F.row_number().over(first)).persist()
-    twin = placed.where((F.col("place") == 1) | (F.col("n") >= margin)).select("key", F.col("form").alias("twin"), F.col("n").alias("m"), F.col("place").alias("at"))
-    return placed.join(twin, "key").where("form <> twin").where((F.col("at") == 1) | (F.col("m") >= margin * F.col("n"))).select("form", "n", "twin", "m")
+    top = counted.groupBy("key").agg(F.count(F.lit(1)).alias("forms"), F.min(F.struct(-F.col("n"), "high", "form")).alias("top")).where("forms > 1")
+    several = settle(counted.join(top.select("key", F.col("top.form").alias("first")), "key"))
+    twin = several.where((F.col("form") == F.col("first")) | (F.col("n") >= margin)).select("key", F.col("form").alias("twin"), F.col("n").alias("m"), (F.col("form") == F.col("first")).alias("leads"))
+    return several.join(twin, "key").where("form <> twin").where(F.col("leads") | (F.col("m") >= margin * F.col("n"))).select("form", "n", "twin", "m")
+
+
+KNOWN = "form string, n long, m long, chains array<string>, entries array<struct<garbled: string, clean: string>>"
 
 
 def _explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pair = pa.list_(pa.struct([("garbled", pa.string()), ("clean", pa.string())]))
     for batch in batches:
-        rows = [(f, n, m, explain(f, t)) for f, n, t, m in zip(*(batch.column(k).to_pylist() for k in range(4)))]
-        rows = [r for r in rows if r[3]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())))], ["form", "n", "m", "chains"]
-        )
+        rows = []
+        for form, n, twin, m in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            chains = explain(form, twin)
+            table = [] if chains else entries(form, twin)
+            if chains or table:
+                rows.append((form, n, m, chains, [{"garbled": g, "clean": c} for g, c in table]))
+        types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pair)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["form", "n", "m", "chains", "entries"])
 
 
 def explained(pairs: DataFrame) -> DataFrame:
-    """(form, n, m, chains) of the twins that some chain of encodings explains."""
-    return pairs.mapInArrow(_explained, "form string, n long, m long, chains array<string>")
+    """(form, n, m, chains, entries) of the twins that some transformation explains, or that a table might."""
+    return spread(pairs).mapInArrow(_explained, KNOWN)
+
+
+def learned_tables(known: DataFrame, chains: tuple[str, ...], support: int = 2, margin: int = 3) -> tuple[Table, ...]:
+    """Tables of what stands for what in the twins that no learned chain explains.
+
+    An entry needs ``support`` forms with a twin ``margin`` times as frequent. Entries join the
+    first table in which neither side is taken, the best supported first, so each table is one
+    to one. What comes to the driver is a count for each pair of characters: as many as the
+    alphabets allow, not the texts.
+    """
+    rest = known.where((F.col("m") >= margin * F.col("n")) & (F.size("chains") == 0))
+    counted = rest.select("form", F.explode("entries").alias("e")).groupBy("e.garbled", "e.clean").agg(F.count_distinct("form").alias("n")).where(F.col("n") >= support)
+    tables: list[tuple[dict[str, str], set[str]]] = []
+    for r in sorted(counted.collect(), key=lambda r: (-r["n"], r["garbled"], r["clean"])):
+        for forward, taken in tables:
+            if r["garbled"] not in forward and r["clean"] not in taken:
+                break
+        else:
+            forward, taken = {}, set()
+            tables.append((forward, taken))
+        forward[r["garbled"]] = r["clean"]
+        taken.add(r["clean"])
+    return tuple(Table(forward) for forward, _ in tables)
 
 
 def learned_chains(known: DataFrame, support: int = 2) -> tuple[str, ...]:
@@ -245,7 +326,7 @@ def learned_chains(known: DataFrame, support: int = 2) -> tuple[str, ...]:
     driver is a count for each set of chains that explain the same forms; the sets are few,
     as they depend on the fixed list of encodings alone, not on the texts.
     """
-    sure = known.where((F.col("m") > F.col("n")) | (F.size("chains") == 1))
+    sure = known.where(F.size("chains") > 0).where((F.col("m") > F.col("n")) | (F.size("chains") == 1))
     sets = [(set(r["chains"]), r["n"]) for r in sure.groupBy("chains").agg(F.count_distinct("form").alias("n")).collect()]
     chosen: list[str] = []
     while sets:
@@ -253,7 +334,7 @@ def learned_chains(known: DataFrame, support: int = 2) -> tuple[str, ...]:
         for chains, n in sets:
             for chain in chains:
                 weight[chain] = weight.get(chain, 0) + n
-        best = max(weight, key=lambda c: (weight[c], -CHAINS.index(c)))
+        best = max(weight, key=lambda c: (weight[c], -ORDER[c]))
         if weight[best] < support:
             break
         chosen.append(best)
@@ -261,15 +342,15 @@ def learned_chains(known: DataFrame, support: int = 2) -> tuple[str, ...]:
     return tuple(chosen)
 
 
-def _applied(chains: tuple[str, ...]):
+def _applied(chains: tuple[str | Table, ...], lost: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fixed, gain = repair(text, chains)
-                if gain or "�" in text:
+                if gain or lost and LOST in text:
                     ids.append(key)
-                    whole = gain and "�" not in fixed and not any(disorder(w) for w in WORD.findall(fixed) if HIGH.search(w))
+                    whole = gain and LOST not in fixed and not any(disorder(w) for w in WORD.findall(fixed) if HIGH.search(w))
                     texts.append(fixed if whole else None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "restored"])
 
@@ -279,16 +360,20 @@ def _applied(chains: tuple[str, ...]):
 def garbled_documents(documents: DataFrame, support: int = 2, margin: int = 3) -> DataFrame:
     """(doc_id, restored) of the documents with a wrongly decoded passage.
 
-    documents: doc_id, text. A document counts if undoing a learned chain brings order into a
-    sentence of it (restored is null if some disorder stays), if it holds a form that a learned chain explains from a twin ``margin``
-    times as frequent, or if characters were replaced on reading (then, and where only a twin
-    shows the fault, restored is null). Null, empty and plain ASCII texts are no case.
+    documents: doc_id, text. A document counts if undoing a learned transformation brings
+    order into a sentence of it (restored is null if some disorder stays), if it holds a form
+    that a learned chain explains from a twin ``margin`` times as frequent, or if characters
+    were lost and twins show that the mark for them stands for others (then, and where only a
+    twin shows the fault, restored is null). Null, empty and plain ASCII texts are no case.
     """
     found = forms(documents)
-    known = explained(twins(found, margin)).persist()
+    known = settle(explained(twins(found, margin)))
     chains = learned_chains(known, support)
-    texts = documents.where("text is not null and doc_id is not null").where(F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", "text")
-    applied = texts.mapInArrow(_applied(chains), "doc_id long, restored string")
+    tables = learned_tables(known, chains, support, margin)
+    lost = LOSS in chains
+    chains = tuple(c for c in chains if c != LOSS)
+    texts = documents.where("text is not null and doc_id is not null").where(F.col("text").rlike(NON_ASCII)).select("doc_id", "text")
+    applied = spread(texts).mapInArrow(_applied((*tables, *chains), lost), "doc_id long, restored string")
     certain = known.where((F.col("m") >= margin * F.col("n")) & F.arrays_overlap("chains", F.array(*map(F.lit, chains or ("none",))))).select("form").distinct()
     by_twin = found.select("doc_id", "form").join(certain, "form", "left_semi").select("doc_id", F.lit(None).cast("string").alias("restored"))
     return applied.unionByName(by_twin).groupBy("doc_id").agg(F.max("restored").alias("restored"))
