@@ -17,10 +17,13 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.filters import in_filter, key_filter
 from attesta.session import settle, spread
 
 # Encodings that texts are written in, and read in by mistake.
@@ -202,6 +205,9 @@ def disorder(word: str) -> int:
     return score
 
 
+SENTENCE = re.compile(r"(\n+|(?<=[.!?;:])[ \t]+)")
+
+
 def repair(text: str, chains: tuple[str | Table, ...], depth: int = 2) -> tuple[str, int]:
     """The text with each sentence's garbled words restored, and how much order that brings.
 
@@ -209,7 +215,7 @@ def repair(text: str, chains: tuple[str | Table, ...], depth: int = 2) -> tuple[
     that don't get worse; stretches that it can't have produced stay as they are.
     """
     total = 0
-    parts = re.split(r"(\n+|(?<=[.!?;:])[ \t]+)", text)
+    parts = SENTENCE.split(text)
     for i in range(0, len(parts), 2):
         part = parts[i]
         for _ in range(depth):
@@ -275,7 +281,7 @@ def twins(found: DataFrame, margin: int = 3) -> DataFrame:
     return several.join(twin, "key").where("form <> twin").where(F.col("leads") | (F.col("m") >= margin * F.col("n"))).select("form", "n", "twin", "m")
 
 
-KNOWN = "form string, n long, m long, chains array<string>, entries array<struct<garbled: string, clean: string>>"
+KNOWN = "form string, key long, n long, m long, chains array<string>, entries array<struct<garbled: string, clean: string>>"
 
 
 def _explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,13 +292,14 @@ def _explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chains = explain(form, twin)
             table = [] if chains else entries(form, twin)
             if chains or table:
-                rows.append((form, n, m, chains, [{"garbled": g, "clean": c} for g, c in table]))
-        types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pair)
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["form", "n", "m", "chains", "entries"])
+                rows.append((form, xxhash.xxh3_64_intdigest(form), n, m, chains, [{"garbled": g, "clean": c} for g, c in table]))
+        columns = [pa.array([r[0] for r in rows], pa.string()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64))]
+        columns += [pa.array([r[k] for r in rows], t) for k, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.list_(pa.string())), (5, pair))]
+        yield pa.RecordBatch.from_arrays(columns, ["form", "key", "n", "m", "chains", "entries"])
 
 
 def explained(pairs: DataFrame) -> DataFrame:
-    """(form, n, m, chains, entries) of the twins that some transformation explains, or that a table might."""
+    """(form, its digest, n, m, chains, entries) of the twins that some transformation explains, or that a table might."""
     return spread(pairs).mapInArrow(_explained, KNOWN)
 
 
@@ -342,17 +349,25 @@ def learned_chains(known: DataFrame, support: int = 2) -> tuple[str, ...]:
     return tuple(chosen)
 
 
-def _applied(chains: tuple[str | Table, ...], lost: bool):
+def _applied(chains: tuple[str | Table, ...], lost: bool, cells: bytes):
+    """(doc_id, text) to (doc_id, found, restored, forms): whether a transformation shows, what it
+    restores, and the words and sentences that a twin may explain, by the filter of their digests."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(cells, np.uint8)
         for batch in batches:
-            ids, texts = [], []
+            rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fixed, gain = repair(text, chains)
-                if gain or lost and LOST in text:
-                    ids.append(key)
-                    whole = gain and LOST not in fixed and not any(disorder(w) for w in WORD.findall(fixed) if HIGH.search(w))
-                    texts.append(fixed if whole else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "restored"])
+                found = bool(gain) or lost and LOST in text
+                whole = gain and LOST not in fixed and not any(disorder(w) for w in WORD.findall(fixed) if HIGH.search(w))
+                forms = [f for f in {*WORD.findall(text), *SENTENCE.split(text)[::2]} if not f.isascii()]
+                digests = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))
+                near = [forms[i] for i in np.flatnonzero(in_filter(bits, digests))]
+                if found or near:
+                    rows.append((key, found, fixed if whole else None, near))
+            types = (pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "found", "restored", "forms"])
 
     return run
 
@@ -373,7 +388,7 @@ def garbled_documents(documents: DataFrame, support: int = 2, margin: int = 3) -
     lost = LOSS in chains
     chains = tuple(c for c in chains if c != LOSS)
     texts = documents.where("text is not null and doc_id is not null").where(F.col("text").rlike(NON_ASCII)).select("doc_id", "text")
-    applied = spread(texts).mapInArrow(_applied((*tables, *chains), lost), "doc_id long, restored string")
-    certain = known.where((F.col("m") >= margin * F.col("n")) & F.arrays_overlap("chains", F.array(*map(F.lit, chains or ("none",))))).select("form").distinct()
-    by_twin = found.select("doc_id", "form").join(certain, "form", "left_semi").select("doc_id", F.lit(None).cast("string").alias("restored"))
-    return applied.unionByName(by_twin).groupBy("doc_id").agg(F.max("restored").alias("restored"))
+    certain = known.where((F.col("m") >= margin * F.col("n")) & F.arrays_overlap("chains", F.array(*map(F.lit, chains or ("none",))))).select("form", "key").distinct()
+    applied = settle(spread(texts).mapInArrow(_applied((*tables, *chains), lost, key_filter(certain)), "doc_id long, found boolean, restored string, forms array<string>"))
+    by_twin = applied.select("doc_id", F.explode("forms").alias("form")).join(certain, "form", "left_semi").select("doc_id", F.lit(None).cast("string").alias("restored"))
+    return applied.where("found").select("doc_id", "restored").unionByName(by_twin).groupBy("doc_id").agg(F.max("restored").alias("restored"))
