@@ -63,13 +63,13 @@ def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bags(texts: DataFrame, dims: int = 64) -> DataFrame:
+def bags(texts: DataFrame, dims: int = 256) -> DataFrame:
     """(id, embedding): how often words of each of ``dims`` digest classes occur; no model is needed.
 
     A text without words has no row. Counting by class comes before the gathering, so a text
     of any length gathers ``dims`` numbers at most.
     """
-    words = texts.select("id", F.explode(F.split(F.lower("text"), r"[^a-z0-9]+")).alias("word")).where("word <> ''")
+    words = texts.select("id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+")).alias("word")).where("word <> ''")
     dim = F.pmod(F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("int"), F.lit(dims))
     counted = words.groupBy("id", dim.alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     held = counted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "n"))).alias("m"))

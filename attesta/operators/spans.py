@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions.text import lines_digest, norm_lines
@@ -14,14 +15,19 @@ def digests(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("digest", lines_digest(lines)).withColumn("norm_lines", F.when(F.size(lines) > 0, F.size(lines)))
 
 
-def _repo(df: DataFrame) -> Column:
-    return F.col("repo") if "repo" in df.columns else F.lit(None).cast("string")
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.repo").eqNullSafe(F.col(f"{b}.repo")) & (F.col(f"{a}.path") == F.col(f"{b}.path"))
+
+
+def _in_repo(df: DataFrame) -> DataFrame:
+    return df if "repo" in df.columns else df.withColumn("repo", F.lit(None).cast("string"))
 
 
 def latest_files(evidence: DataFrame) -> DataFrame:
     """(repo, path, content, starts): the newest text known of each file and the line it starts at.
 
     A file is a path in a repository; those cited without a repository are files of their own.
+    Rows delivered twice make no difference, so they needn't be removed before.
     """
     cited = evidence.where("path is not null and span_text is not null and size(lines) = 2")
     newest = cited.groupBy("repo", "path").agg(F.max_by(F.struct("span_text", "lines"), F.struct("cited_at", "evidence_id")).alias("v"))
@@ -29,37 +35,48 @@ def latest_files(evidence: DataFrame) -> DataFrame:
 
 
 def check(anchors: DataFrame, files: DataFrame) -> DataFrame:
-    """(evidence_id, state, moved_from, moved_to) of each anchor against the current text of its file, the same path in the same repository
-    (or, for both, in none).
-
-    gone: no such file; unchecked: no digest was taken; ok: the cited lines are equal but for
-    formatting; shifted: equal lines stand elsewhere (the first such place is given); changed:
-    they don't, but the enclosing symbol does; else gone. Windows of the cited number of lines
-    are compared by digest inside the row, so a file is joined once and never exploded.
+    """(evidence_id, state, moved_from, moved_to, healed) of each anchor against the current text of
+    its file, the same path in the same repository (or, for both, in none).
+
+    anchors: evidence_id, repo, path, lines, digest, norm_lines, enclosing_symbol; files: repo,
+    path, content, starts. gone: no such file; unchecked: no digest was taken; ok: the cited
+    lines are equal but for formatting; shifted: equal lines stand elsewhere (the first such
+    place is given, and ``healed`` are the lines to cite from now on); changed: they don't, but
+    the enclosing symbol does; else gone. Each file is read once, whatever the number of its
+    anchors: it gives the digests of its windows of the lengths asked for, and which of the
+    symbols asked for it holds; anchors meet these by equal digests and symbols.
     """
-    current = files.select(_repo(files).alias("file_repo"), F.col("path").alias("file_path"), "content", "starts")
-    same = F.col("repo").eqNullSafe(F.col("file_repo")) & (F.col("path") == F.col("file_path"))
-    joined = anchors.select("evidence_id", _repo(anchors).alias("repo"), "path", "lines", "digest", "norm_lines", "enclosing_symbol").join(current, same, "left")
-    numbered = F.transform(norm_lines(F.col("content")), lambda x: F.struct((x["line"] + F.col("starts") - 1).alias("line"), x["text"].alias("text")))
-    spans = joined.withColumn("file", numbered)
-    n, size = F.col("norm_lines"), F.size("file")
-    there = F.filter("file", lambda x: x["line"].between(F.element_at("lines", 1), F.element_at("lines", 2)))
-    windows = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: lines_digest(F.slice("file", i, n))))
-    checked = spans.withColumn("place", F.coalesce(F.array_position(windows, F.col("digest")), F.lit(0)).cast("int")).withColumn("here", (F.size(there) == n) & (lines_digest(there) == F.col("digest")))
-    symbol = F.col("enclosing_symbol").isNotNull() & F.contains("content", "enclosing_symbol")
+    anchors, files = _in_repo(anchors), _in_repo(files)
+    asked = anchors.groupBy("repo", "path").agg(F.collect_set("norm_lines").alias("sizes"), F.collect_set("enclosing_symbol").alias("symbols"))
+    each = files.alias("f").join(asked.alias("q"), _same("f", "q")).select(
+        "f.repo", "f.path", "q.sizes", F.filter("q.symbols", lambda s: F.contains("f.content", s)).alias("held"),
+        F.transform(norm_lines(F.col("f.content")), lambda x: F.struct((x["line"] + F.col("f.starts") - 1).alias("line"), x["text"].alias("text"))).alias("file"))
+    sized = each.select("repo", "path", "file", F.explode("sizes").alias("n")).where(F.size("file") >= F.col("n"))
+    windows = sized.select("repo", "path", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("file") - F.col("n") + 1), lambda i: F.struct(
+        lines_digest(F.slice("file", i, F.col("n"))).alias("digest"), F.get("file", i - 2)["line"].alias("before"), F.get("file", i - 1)["line"].alias("first"),
+        F.get("file", i + F.col("n") - 2)["line"].alias("last"), F.get("file", i + F.col("n") - 1)["line"].alias("after")))).alias("place", "w")).select("repo", "path", "n", "place", "w.*")
+    lo, hi = F.element_at("lines", 1), F.element_at("lines", 2)
+    inside = (F.col("first") >= lo) & (F.col("last") <= hi) & F.coalesce(F.col("before") < lo, F.lit(True)) & F.coalesce(F.col("after") > hi, F.lit(True))
+    met = anchors.select("evidence_id", "repo", "path", "lines", "digest", "norm_lines").alias("a").join(windows.alias("w"), _same("a", "w") & (F.col("a.norm_lines") == F.col("w.n")) & (F.col("a.digest") == F.col("w.digest")))
+    placed = met.groupBy("evidence_id").agg(F.bool_or(inside).alias("here"), F.min(F.struct("place", "first", "last")).alias("at"))
+    symbols = each.select("repo", "path", F.explode("held").alias("symbol"))
+    known = files.select("repo", "path", F.lit(True).alias("known"))
+    joined = (
+        anchors.select("evidence_id", "repo", "path", "digest", "enclosing_symbol").alias("a").join(known.alias("k"), _same("a", "k"), "left")
+        .join(symbols.alias("s"), _same("a", "s") & (F.col("a.enclosing_symbol") == F.col("s.symbol")), "left")
+        .select("a.evidence_id", "a.digest", "k.known", "s.symbol").join(placed, "evidence_id", "left")
+    )
     state = (
-        F.when(F.col("content").isNull(), "gone").when(F.col("digest").isNull(), "unchecked").when(F.coalesce("here", F.lit(False)), "ok")
-        .when(F.col("place") > 0, "shifted").when(symbol, "changed").otherwise("gone")
+        F.when(F.col("known").isNull(), "gone").when(F.col("digest").isNull(), "unchecked").when(F.coalesce("here", F.lit(False)), "ok")
+        .when(F.col("at").isNotNull(), "shifted").when(F.col("symbol").isNotNull(), "changed").otherwise("gone")
     )
     moved = F.col("state") == "shifted"
-    return checked.withColumn("state", state).select(
-        "evidence_id", "state", F.when(moved, F.get("file", F.col("place") - 1)["line"]).alias("moved_from"), F.when(moved, F.get("file", F.col("place") + n - 2)["line"]).alias("moved_to"))
+    return joined.withColumn("state", state).select(
+        "evidence_id", "state", F.when(moved, F.col("at.first")).alias("moved_from"), F.when(moved, F.col("at.last")).alias("moved_to"), F.when(moved, F.array("at.first", "at.last")).alias("healed"))
 
 
 def queue(checked: DataFrame, evidence: DataFrame) -> DataFrame:
     """(evidence_id, state, place): what to look at again, vanished spans before changed ones, newest first."""
-    from pyspark.sql import Window as W
-
     due = checked.where(F.col("state").isin("changed", "gone")).join(evidence.select("evidence_id", "repo", "cited_at"), "evidence_id")
     order = W.partitionBy("repo").orderBy(F.when(F.col("state") == "gone", 0).otherwise(1), F.desc_nulls_last("cited_at"), "evidence_id")
     return due.select("evidence_id", "repo", "state", F.row_number().over(order).alias("place"))

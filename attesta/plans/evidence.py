@@ -27,25 +27,31 @@ def span_digest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _checked(spark: SparkSession, folder: str) -> DataFrame:
-    evidence = _evidence(spark, folder)
-    anchors = spans.digests(evidence).where("path is not null and size(lines) = 2")
+    evidence = table(spark, folder, "evidence")
+    cited = evidence.where("path is not null and size(lines) = 2").select("evidence_id", "repo", "path", "lines", "enclosing_symbol", "span_text")
+    anchors = spans.digests(cited).drop("span_text").dropDuplicates(["evidence_id"])  # copies go once the text is a digest
     return spans.check(anchors, spans.latest_files(evidence))
 
 
 def span_check(spark: SparkSession, folder: str) -> DataFrame:
     """Every citation against the newest text known of its file."""
-    return _checked(spark, folder)
+    return _checked(spark, folder).select("evidence_id", "state", "moved_from", "moved_to")
+
+
+def healed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines that shifted citations should name from now on."""
+    return _checked(spark, folder).where("healed is not null").select("evidence_id", F.col("healed")[0].alias("from_line"), F.col("healed")[1].alias("to_line"))
 
 
 def anchor_states(spark: SparkSession, folder: str) -> DataFrame:
-    evidence = _evidence(spark, folder).select("evidence_id", "repo")
+    evidence = keyed(spark, folder, "evidence", "evidence_id", "repo")
     counted = _checked(spark, folder).join(evidence, "evidence_id").groupBy("repo")
     return counted.agg(
         F.count(F.lit(1)).alias("anchors"), *[F.count_if(F.col("state") == s).alias(s) for s in ("ok", "shifted", "changed", "gone")], F.bool_or(F.col("state").isin("changed", "gone")).alias("needs_reverification"))
 
 
 def reverification_queue(spark: SparkSession, folder: str) -> DataFrame:
-    return spans.queue(_checked(spark, folder), _evidence(spark, folder))
+    return spans.queue(_checked(spark, folder), keyed(spark, folder, "evidence", "evidence_id", "repo", "cited_at"))
 
 
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,13 +127,13 @@ def text_statements(spark: SparkSession, folder: str) -> DataFrame:
 
 def predicate_resolve(spark: SparkSession, folder: str) -> DataFrame:
     """Every word of the documents as a raw predicate, on the vocabulary where it is known."""
-    words = table(spark, folder, "documents").select(F.explode(F.split(F.lower("text"), r"[^a-z_]+")).alias("raw")).where("raw <> ''")
+    words = table(spark, folder, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}_]+")).alias("raw")).where("raw <> ''")
     return ingest.resolve_predicates(words).select("raw", "predicate", "unmapped", "hits")
 
 
 def word_stems(spark: SparkSession, folder: str) -> DataFrame:
     """Stems of the documents' words with the words that share them."""
-    words = table(spark, folder, "documents").select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).where("length(word) > 2")
+    words = table(spark, folder, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("length(word) > 2")
     return words.groupBy(text.stem(F.col("word")).alias("stem")).agg(F.count_distinct("word").alias("words"), F.count(F.lit(1)).alias("uses"))
 
 
@@ -170,7 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            span_digest, span_check, anchor_states, reverification_queue, secret_scan, accepted_literals, url_redaction, scip_parse, identifier_extract, source_exports, source_imports, source_components,
+            span_digest, span_check, healed_lines, anchor_states, reverification_queue, secret_scan, accepted_literals, url_redaction, scip_parse, identifier_extract, source_exports, source_imports, source_components,
             front_matter, context_paths, freshness_commits, citation_counts, text_statements, predicate_resolve, word_stems, yes_no, source_languages, question_intents, named_in_mentions,
         )
     }
@@ -195,14 +201,14 @@ def _digest(lines: str) -> str:
 
 
 CHECKED = f"""{RAW},
-anchored as (select evidence_id, path, lines, enclosing_symbol, {_lines('span_text')} as mine from raw where path is not null and len(lines) = 2),
+anchored as (select evidence_id, repo, path, lines, enclosing_symbol, {_lines('span_text')} as mine from raw where path is not null and len(lines) = 2),
 anchors as (select *, {_digest('mine')} as digest, case when len(mine) > 0 then len(mine) end as n from anchored),
-newest as (select path, arg_max(span_text, (cited_at, evidence_id)) as content, arg_max(lines, (cited_at, evidence_id))[1] as starts from raw where path is not null and span_text is not null and len(lines) = 2 group by path),
-files as (select path, content, list_transform({_lines('content')}, lambda x: {{'line': x.line + starts - 1, 'text': x.text}}) as file from newest),
+newest as (select repo, path, arg_max(span_text, (cited_at, evidence_id)) as content, arg_max(lines, (cited_at, evidence_id))[1] as starts from raw where path is not null and span_text is not null and len(lines) = 2 group by repo, path),
+files as (select repo, path, content, list_transform({_lines('content')}, lambda x: {{'line': x.line + starts - 1, 'text': x.text}}) as file from newest),
 compared as (
   select evidence_id, content, digest, n, enclosing_symbol, file, list_filter(file, lambda x: x.line between lines[1] and lines[2]) as there,
     list_position(list_transform(range(1, greatest(len(file) - n + 2, 1)), lambda i: sha256(array_to_string(list_transform(file[i : i + n - 1], lambda x: x.text), chr(10)))), digest) as place
-  from anchors left join files using (path)),
+  from anchors a left join files f on f.path = a.path and f.repo is not distinct from a.repo),
 checked as (
   select evidence_id, place, n, file, case when content is null then 'gone' when digest is null then 'unchecked' when len(there) = n and {_digest('there')} = digest then 'ok'
     when place > 0 then 'shifted' when contains(content, enclosing_symbol) then 'changed' else 'gone' end as state
@@ -238,6 +244,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "span_digest": f"with {RAW}, l as (select evidence_id, {_lines('span_text')} as mine from raw) select evidence_id, {_digest('mine')} as digest, len(mine) as norm_lines from l where len(mine) > 0",
         "span_check": f"with {CHECKED} select evidence_id, state, case when state = 'shifted' then file[place].line end as moved_from, case when state = 'shifted' then file[place + n - 1].line end as moved_to from checked",
+        "healed_lines": f"with {CHECKED} select evidence_id, file[place].line as from_line, file[place + n - 1].line as to_line from checked where state = 'shifted'",
         "anchor_states": f"""with {CHECKED} select repo, count(*) as anchors, count(*) filter (where state = 'ok') as ok, count(*) filter (where state = 'shifted') as shifted, count(*) filter (where state = 'changed') as changed,
   count(*) filter (where state = 'gone') as gone, bool_or(state in ('changed', 'gone')) as needs_reverification from checked join raw using (evidence_id) group by repo""",
         "reverification_queue": f"""with {CHECKED} select evidence_id, repo, state, row_number() over (partition by repo order by case state when 'gone' then 0 else 1 end, cited_at desc nulls last, evidence_id) as place
@@ -262,9 +269,9 @@ select described, context, count(distinct case when commit_sha is not null and (
 from pairs join full_paths on path = described group by all""",
         "citation_counts": f"""with {RAW} select repo, path, sum(w)::bigint as weight from (select repo, path, 1 as w from raw where path is not null and repo is not null
   union all select distinct repo, path, 1000 from raw where url is not null and path is not null and repo is not null) group by all""",
-        "predicate_resolve": f"""with vocabulary(raw, name) as (values {vocabulary}), words as (select raw, count(*) as hits from (select unnest(regexp_split_to_array(lower(text), '[^a-z_]+')) as raw from documents) where raw <> '' group by 1)
-select w.raw, coalesce(v.name, w.raw) as predicate, v.name is null as unmapped, hits from words w left join vocabulary v on v.raw = w.raw""",
-        "word_stems": f"with words as (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as word from documents) select {stem('word')} as stem, count(distinct word) as words, count(*) as uses from words where length(word) > 2 group by 1",
+        "predicate_resolve": f"""with vocabulary(raw, name) as (values {vocabulary}), words as (select raw, count(*) as hits from (select unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}_]+')) as raw from documents) where raw <> '' group by 1)
+select w.raw, coalesce(v.name, candidate) as predicate, v.name is null as unmapped, hits from (select *, regexp_replace(raw, '[^a-z0-9_]', '', 'g') as candidate from words) w left join vocabulary v on v.raw = candidate where candidate <> ''""",
+        "word_stems": f"with words as (select unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) as word from documents) select {stem('word')} as stem, count(distinct word) as words, count(*) as uses from words where length(word) > 2 group by 1",
         "yes_no": f"select doc_id, case when regexp_matches(text, '{text.NO}') then 'no' when regexp_matches(text, '{text.YES}') then 'yes' else 'unclear' end as answer from documents where text is not null",
         "source_languages": f"""with {RAW}, p as (select distinct repo, path from raw where path is not null)
 select repo, {case('path', LANGUAGES, 'null')} as language, count(*) as files from p where regexp_matches(path, '{SOURCE}') and not regexp_matches(path, '{IGNORED}') and not list_has_any(string_split(path, '/'), {list(SKIPPED)}) group by all""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta.functions import text
 from attesta.operators import graph, ingest, report, similar
 from attesta.plans import sql
+from attesta.plans.activity import STRETCHES
 from attesta.plans.catalogue import CANON, _edges
 from attesta.plans.claims import CATALOGUE_AT
 from attesta.sources import projection
@@ -126,24 +127,24 @@ def stale_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_calls_per_day(spark: SparkSession, folder: str) -> DataFrame:
-    """Deliveries of each day and tool, repeated ones included."""
-    return streams.drain(streams.daily_calls(streams.stream(spark, folder, "activity")))
+    """Calls of each day and tool; a call that is delivered twice counts once."""
+    return streams.drain(spark, folder, "activity", "at_ts", streams.daily_calls)
 
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return streams.drain(streams.session_windows(streams.stream(spark, folder, "activity")))
+    """Each session's stretches, by the rule of ``p2_sessions``."""
+    return streams.drain(spark, folder, "activity", "at_ts", streams.session_windows)
 
 
 def stream_once(spark: SparkSession, folder: str) -> DataFrame:
     """Mentions by kind, each delivery taken once on its way in."""
-    rows = streams.once(streams.stream(spark, folder, "mention"), "mention_id", "seen_at", "3650 days").select("mention_id", "kind")
-    return streams.drain(rows, "append").groupBy("kind").agg(F.count(F.lit(1)).alias("mentions"))
+    rows = streams.drain(spark, folder, "mention", "seen_at", lambda df: streams.once(df.select("mention_id", "kind", "seen_at"), "mention_id", "seen_at"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("mentions"))
 
 
 def stream_last_values(spark: SparkSession, folder: str) -> DataFrame:
     orders = streams.stream(spark, folder, "orders").withColumn("moment", F.struct("o_orderdate", "o_orderkey"))
-    held = streams.last_values(orders, ["o_custkey"], "o_orderpriority", "moment")
-    return streams.drain(held).select("o_custkey", "value")
+    return streams.drain_latest(streams.last_values(orders, ["o_custkey"], "o_orderpriority", "moment"), ["o_custkey"], "since").select("o_custkey", "value")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -208,8 +209,8 @@ select method, count(*) as assertions, count(*) filter (where not polarity) as r
 scores as (select q.id as query_id, v.id, list_cosine_similarity(q.e, v.e) as score from v q join v on v.id <> q.id where q.id % 20 = 0)
 select query_id, id, round(score, 6) as score, row_number() over (partition by query_id order by round(scores.score, 9) desc, id) as rank, case when round(scores.score, 9) >= 0.5 then 'strong' when round(scores.score, 9) >= 0.35 then 'moderate' else 'weak' end as strength
 from scores qualify rank <= 5""",
-        "text_similar": """with words as (select doc_id as id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as word from documents where text is not null),
-n as (select id, ('0x' || left(md5(word), 4))::int % 64 as dim, count(*) as n from words where word <> '' group by all),
+        "text_similar": """with words as (select doc_id as id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+')) as word from documents where text is not null),
+n as (select id, ('0x' || left(md5(word), 4))::int % 256 as dim, count(*) as n from words where word <> '' group by all),
 size as (select id, sqrt(sum(n * n)) as size from n group by id),
 dots as (select q.id as query_id, v.id, sum(q.n * v.n) as dot from n q join n v on v.dim = q.dim and v.id <> q.id where q.id % 20 = 0 group by all),
 pairs as (select q.id as query_id, v.id from size q join size v on q.id <> v.id where q.id % 20 = 0),
@@ -217,10 +218,8 @@ scores as (select p.query_id, p.id, coalesce(dot, 0) / (a.size * b.size) as scor
 select query_id, id, round(score, 6) as score, row_number() over (partition by query_id order by round(scores.score, 9) desc, id) as rank from scores qualify rank <= 5""",
         "entity_profiles": edges + f", {CANON}, {_profiles('profiles', 'canon')} select id, profile_hash from profiles",
         "stale_embeddings": edges + f", {CANON}, {then}, {canon_then}, {_profiles('profiles', 'canon')}, {_profiles('earlier', 'canon_then')} select p.id, p.profile_hash from profiles p join earlier e using (id) where p.profile_hash <> e.profile_hash",
-        "stream_calls_per_day": f"select {per_day} from activity group by 1, 2",
-        "stream_sessions": r"""with calls as (select lower(regexp_replace(session, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) as session, at_ts from activity where session is not null),
-cut as (select *, case when at_ts > lag(at_ts) over (partition by session order by at_ts) + interval 30 minutes then 1 else 0 end as fresh from calls where session <> ''),
-runs as (select *, sum(fresh) over (partition by session order by at_ts) as run from cut) select session, min(at_ts) as started_at, count(*) as calls from runs group by session, run""",
+        "stream_calls_per_day": f"with {CALLS} select {per_day} from calls group by 1, 2",
+        "stream_sessions": STRETCHES + "select session, make_timestamptz(min(s)) as started_at, make_timestamptz(max(e)) as ended_at, count(*) as calls from numbered group by session, nth",
         "stream_once": "select kind, count(distinct mention_id) as mentions from mention group by kind",
         "stream_last_values": "select o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) as value from orders group by 1",
     }
