@@ -214,14 +214,19 @@ def repair(text: str, chains: tuple[str | Table, ...], depth: int = 2) -> tuple[
     Of the chains, the one that lessens a sentence's disorder most is undone in all its words
     that don't get worse; stretches that it can't have produced stay as they are.
     """
+    return repair_parts(SENTENCE.split(text), chains, depth)
+
+
+def repair_parts(parts: list[str], chains: tuple[str | Table, ...], depth: int = 2) -> tuple[str, int]:
+    """The same for a text's sentences and what parts them, in turn."""
     total = 0
-    parts = SENTENCE.split(text)
+    parts = list(parts)
     for i in range(0, len(parts), 2):
         part = parts[i]
         for _ in range(depth):
-            if not HIGH.search(part):
+            if part.isascii():
                 break
-            words = [w for w in WORD.findall(part) if HIGH.search(w)]
+            words = [w for w in WORD.findall(part) if not w.isascii()]
             scores = {w: disorder(w) for w in set(words)}
             if not any(scores.values()):
                 break
@@ -358,10 +363,12 @@ def _applied(chains: tuple[str | Table, ...], lost: bool, cells: bytes):
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fixed, gain = repair(text, chains)
+                parts = SENTENCE.split(text)
+                high = [p for p in parts[::2] if not p.isascii()]
+                fixed, gain = repair_parts(parts, chains)
                 found = bool(gain) or lost and LOST in text
                 whole = gain and LOST not in fixed and not any(disorder(w) for w in WORD.findall(fixed) if HIGH.search(w))
-                forms = [f for f in {*WORD.findall(text), *SENTENCE.split(text)[::2]} if not f.isascii()]
+                forms = [*{*high, *(w for p in high for w in WORD.findall(p) if not w.isascii())}]
                 digests = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))
                 near = [forms[i] for i in np.flatnonzero(in_filter(bits, digests))]
                 if found or near:
@@ -389,6 +396,6 @@ def garbled_documents(documents: DataFrame, support: int = 2, margin: int = 3) -
     chains = tuple(c for c in chains if c != LOSS)
     texts = documents.where("text is not null and doc_id is not null").where(F.col("text").rlike(NON_ASCII)).select("doc_id", "text")
     certain = known.where((F.col("m") >= margin * F.col("n")) & F.arrays_overlap("chains", F.array(*map(F.lit, chains or ("none",))))).select("form", "key").distinct()
-    applied = settle(spread(texts).mapInArrow(_applied((*tables, *chains), lost, key_filter(certain)), "doc_id long, found boolean, restored string, forms array<string>"))
+    applied = settle(texts.mapInArrow(_applied((*tables, *chains), lost, key_filter(certain)), "doc_id long, found boolean, restored string, forms array<string>"))
     by_twin = applied.select("doc_id", F.explode("forms").alias("form")).join(certain, "form", "left_semi").select("doc_id", F.lit(None).cast("string").alias("restored"))
     return applied.where("found").select("doc_id", "restored").unionByName(by_twin).groupBy("doc_id").agg(F.max("restored").alias("restored"))
