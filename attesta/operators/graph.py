@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.session import settle
+from attesta.session import forget, settle
 
 # Predicates that each kind of question follows, forwards and backwards, and how far.
 TEMPLATES = {
@@ -40,22 +40,33 @@ TEMPLATES = {
 KIND_VALUE = {"datastore": 6, "cloud_resource": 5, "queue": 4, "cache": 3, "component": 3, "client": 3, "package": 2, "iac_module": 2, "repo": 1}
 
 
-def canonical_map(entities: DataFrame, rounds: int = 32) -> DataFrame:
+def canonical_map(entities: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, root): where each entity's chain of canonical pointers ends.
 
     Pointers are followed two steps at a time (root of root), so rounds grow with the
-    logarithm of the longest chain. An id without a row, a null pointer and a cycle end the
-    chain where it stands; in a cycle that is after ``rounds`` rounds.
+    logarithm of the longest chain. An id without a row and a null pointer end the chain.
+    Ids whose chain runs into a cycle get the smallest id from there on, which all ids of
+    the cycle share. Of the tables that cut the lineage only the last stays.
     """
-    step = entities.select("id", F.coalesce("canonical_id", "id").alias("root"))
+    first = F.coalesce("canonical_id", "id")
+    step = settle(entities.where("id is not null").select("id", first.alias("root"), F.least("id", first).alias("low"), F.lit(True).alias("moved"), F.lit(True).alias("lower")))
+    moving = None
     for _ in range(rounds):
-        target = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        joined = settle(step.join(target, "root", "left").select("id", "root", F.coalesce("next", "root").alias("next")))
-        moved = joined.where("root <> next").limit(1).count()
-        step = joined.select("id", F.col("next").alias("root"))
-        if not moved:
-            break
-    return step
+        target = step.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("low").alias("next_low"))
+        ahead = F.coalesce("next", "root")
+        seen, joined = Observation(), step.join(target, "root", "left")
+        after = settle(
+            joined.select("id", ahead.alias("root"), F.least("low", "next_low").alias("low"), (F.col("root") != ahead).alias("moved"), F.coalesce(F.col("next_low") < F.col("low"), F.lit(False)).alias("lower"))
+            .observe(seen, F.count_if("moved").alias("moved"), F.count_if(F.col("moved") & F.col("lower")).alias("lower"))
+        )
+        forget(step)
+        step, now = after, seen.get["moved"]
+        if not now:
+            return step.select("id", "root")
+        if now == moving and not seen.get["lower"]:  # chains with an end come to rest, so all that still moves is in a cycle or runs into one
+            return step.select("id", F.when(F.col("moved"), F.col("low")).otherwise(F.col("root")).alias("root"))
+        moving = now
+    raise RuntimeError(f"canonical pointers weren't settled after {rounds} rounds")
 
 
 def canonical_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -95,14 +106,17 @@ def hops(edges: DataFrame, forward: tuple[str, ...], reverse: tuple[str, ...], m
     return out.unionByName(back)
 
 
-def walk(edges: DataFrame, starts: DataFrame, forward: tuple[str, ...], reverse: tuple[str, ...] = (), depth: int = 6, min_trust: float = 0.05) -> DataFrame:
-    """All simple paths of at most ``depth`` steps from each start (column id).
+def walk(edges: DataFrame, starts: DataFrame, forward: tuple[str, ...], reverse: tuple[str, ...] = (), depth: int = 6, min_trust: float = 0.05, best: int | None = None) -> DataFrame:
+    """Simple paths of at most ``depth`` steps from each start (column id).
 
     (start, node, depth, path, props, trust): trust is the product along the path. Each step
-    is an equi-join on the frontier's nodes, so any number of starts is walked at once;
-    catalogues with hubs fan out there, which adaptive execution splits.
+    is an equi-join on the frontier's nodes, so any number of starts is walked at once. With
+    ``best`` only each start's so many most trusted paths of a length go on (ties to the
+    smaller path): as no step raises trust, whatever they would lead to couldn't be among
+    the ``best`` of ``top_paths`` either, so hubs fan out no further than what can count.
+    Without it all paths are found, and hubs multiply.
     """
-    steps = hops(edges, forward, reverse, min_trust).persist()
+    steps = settle(hops(edges, forward, reverse, min_trust))
     frontier = starts.select(
         F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("path"), F.array().cast("array<string>").alias("props"), F.lit(1.0).alias("trust"), F.lit(None).cast("string").alias("last")
     )
@@ -114,8 +128,18 @@ def walk(edges: DataFrame, starts: DataFrame, forward: tuple[str, ...], reverse:
             "a.start", F.col("b.dst").alias("node"), (F.col("a.depth") + 1).alias("depth"), F.array_append("a.path", F.col("b.dst")).alias("path"),
             F.array_append("a.props", F.col("b.proposition_id")).alias("props"), (F.col("a.trust") * F.col("b.trust")).alias("trust"), F.col("b.proposition_id").alias("last"),
         )
+        if best:
+            frontier = settle(first_paths(frontier, best))
+            if frontier.isEmpty():
+                break
         found = frontier if found is None else found.unionByName(frontier)
-    return found.drop("last")
+    return (frontier if found is None else found).drop("last")
+
+
+def first_paths(paths: DataFrame, limit: int) -> DataFrame:
+    """Each start's most trusted paths; ties go to the smaller path string, then to the smaller claims."""
+    order = W.partitionBy("start").orderBy(F.desc(F.round("trust", 9)), F.concat_ws(">", "path"), F.concat_ws(">", "props"))
+    return paths.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).drop("nth")
 
 
 def top_paths(paths: DataFrame, limit: int = 500) -> DataFrame:
@@ -190,15 +214,16 @@ def entity_repo(edges: DataFrame) -> DataFrame:
 
 
 def cross_repo_edges(edges: DataFrame, homes: DataFrame) -> DataFrame:
-    """(proposition_id, subject_repo, object_repo) of edges whose ends share no repository."""
+    """(proposition_id, subject_repo, object_repo) of edges whose ends share no repository.
+
+    Each thing's repositories are gathered once; ends are compared before their product is formed.
+    """
     link = edges.where(~F.col("predicate").isin("lives_in_repo", "contains_project") & F.col("object").isNotNull()).select("proposition_id", "subject", "object")
-    pairs = (
-        link.join(homes.withColumnsRenamed({"id": "subject", "repo": "subject_repo"}), "subject")
-        .join(homes.withColumnsRenamed({"id": "object", "repo": "object_repo"}), "object")
-        .select("proposition_id", "subject_repo", "object_repo")
-    )
-    shared = pairs.where("subject_repo = object_repo").select("proposition_id").distinct()
-    return pairs.where("subject_repo <> object_repo").join(shared, "proposition_id", "left_anti").distinct()
+    held = homes.groupBy("id").agg(F.collect_set("repo").alias("repos"))
+    ends = link.join(held.withColumnsRenamed({"id": "subject", "repos": "subject_repos"}), "subject").join(held.withColumnsRenamed({"id": "object", "repos": "object_repos"}), "object")
+    apart = ends.where(~F.arrays_overlap("subject_repos", "object_repos"))
+    pairs = apart.select("proposition_id", F.explode("subject_repos").alias("subject_repo"), "object_repos")
+    return pairs.select("proposition_id", "subject_repo", F.explode("object_repos").alias("object_repo")).distinct()
 
 
 def endpoint_signatures(edges: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -112,13 +112,11 @@ def repairs(entities: DataFrame, degrees: DataFrame) -> DataFrame:
     The kept one has most edges, then is settled, then has the smallest id.
     """
     known = entities.where("canonical_id = id").select("id", "kind", "env", "provisional", norm_name(F.col("display_name")).alias("name_norm")).where("name_norm <> ''")
-    same = W.partitionBy("kind", "name_norm")
-    counted = (
-        known.join(degrees, "id", "left").withColumn("size", F.count(F.lit(1)).over(same))
-        .withColumn("envs", F.size(F.collect_set(F.when(F.col("env") != "unknown", F.col("env"))).over(same))).where("size > 1 and envs <= 1")
-    )
-    order = same.orderBy(F.desc(F.coalesce("degree", F.lit(0))), F.coalesce("provisional", F.lit(False)), "id")
-    return counted.withColumn("into_id", F.first("id").over(order)).where("id <> into_id").select(F.col("id").alias("from_id"), "into_id")
+    ranked = known.join(degrees, "id", "left").withColumn("rank", F.struct(-F.coalesce("degree", F.lit(0)), F.coalesce("provisional", F.lit(False)), F.col("id").alias("id")))
+    kept = ranked.groupBy("kind", "name_norm").agg(
+        F.count(F.lit(1)).alias("size"), F.count_distinct(F.when(F.col("env") != "unknown", F.col("env"))).alias("envs"), F.min("rank").alias("keeper")
+    ).where("size > 1 and envs <= 1").select("kind", "name_norm", F.col("keeper.id").alias("into_id"))
+    return known.select("id", "kind", "name_norm").join(kept, ["kind", "name_norm"]).where("id <> into_id").select(F.col("id").alias("from_id"), "into_id")
 
 
 def barred_merges(candidates: DataFrame, entities: DataFrame) -> DataFrame:

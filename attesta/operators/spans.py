@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions.text import lines_digest, norm_lines
+from attesta.session import settle
 
 
 def digests(evidence: DataFrame) -> DataFrame:
@@ -15,8 +16,9 @@ def digests(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("digest", lines_digest(lines)).withColumn("norm_lines", F.when(F.size(lines) > 0, F.size(lines)))
 
 
-def _same(a: str, b: str) -> Column:
-    return F.col(f"{a}.repo").eqNullSafe(F.col(f"{b}.repo")) & (F.col(f"{a}.path") == F.col(f"{b}.path"))
+def _file() -> Column:
+    """16 bytes that stand for a path in a repository (or in none)."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("in "), "repo"), F.lit("")), F.lit("\n"), "path")))
 
 
 def _in_repo(df: DataFrame) -> DataFrame:
@@ -47,28 +49,27 @@ def check(anchors: DataFrame, files: DataFrame) -> DataFrame:
     symbols asked for it holds; anchors meet these by equal digests and symbols.
     """
     anchors, files = _in_repo(anchors), _in_repo(files)
-    asked = anchors.groupBy("repo", "path").agg(F.collect_set("norm_lines").alias("sizes"), F.collect_set("enclosing_symbol").alias("symbols"))
-    each = files.alias("f").join(asked.alias("q"), _same("f", "q")).select(
-        "f.repo", "f.path", "q.sizes", F.filter("q.symbols", lambda s: F.contains("f.content", s)).alias("held"),
-        F.transform(norm_lines(F.col("f.content")), lambda x: F.struct((x["line"] + F.col("f.starts") - 1).alias("line"), x["text"].alias("text"))).alias("file"))
-    sized = each.select("repo", "path", "file", F.explode("sizes").alias("n")).where(F.size("file") >= F.col("n"))
-    windows = sized.select("repo", "path", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("file") - F.col("n") + 1), lambda i: F.struct(
-        lines_digest(F.slice("file", i, F.col("n"))).alias("digest"), F.get("file", i - 2)["line"].alias("before"), F.get("file", i - 1)["line"].alias("first"),
-        F.get("file", i + F.col("n") - 2)["line"].alias("last"), F.get("file", i + F.col("n") - 1)["line"].alias("after")))).alias("place", "w")).select("repo", "path", "n", "place", "w.*")
-    lo, hi = F.element_at("lines", 1), F.element_at("lines", 2)
-    inside = (F.col("first") >= lo) & (F.col("last") <= hi) & F.coalesce(F.col("before") < lo, F.lit(True)) & F.coalesce(F.col("after") > hi, F.lit(True))
-    met = anchors.select("evidence_id", "repo", "path", "lines", "digest", "norm_lines").alias("a").join(windows.alias("w"), _same("a", "w") & (F.col("a.norm_lines") == F.col("w.n")) & (F.col("a.digest") == F.col("w.digest")))
-    placed = met.groupBy("evidence_id").agg(F.bool_or(inside).alias("here"), F.min(F.struct("place", "first", "last")).alias("at"))
-    symbols = each.select("repo", "path", F.explode("held").alias("symbol"))
-    known = files.select("repo", "path", F.lit(True).alias("known"))
-    joined = (
-        anchors.select("evidence_id", "repo", "path", "digest", "enclosing_symbol").alias("a").join(known.alias("k"), _same("a", "k"), "left")
-        .join(symbols.alias("s"), _same("a", "s") & (F.col("a.enclosing_symbol") == F.col("s.symbol")), "left")
-        .select("a.evidence_id", "a.digest", "k.known", "s.symbol").join(placed, "evidence_id", "left")
-    )
+    cited = settle(anchors.select(
+        "evidence_id", _file().alias("file"), F.unhex("digest").alias("digest"), F.col("norm_lines").alias("n"), F.element_at("lines", 1).alias("lo"), F.element_at("lines", 2).alias("hi"), F.col("enclosing_symbol").alias("symbol")))
+    asked = cited.groupBy("file").agg(F.collect_set("n").alias("sizes"), F.collect_set("symbol").alias("symbols"))
+    numbered = F.transform(norm_lines(F.col("content")), lambda x: F.struct((x["line"] + F.col("starts") - 1).alias("line"), x["text"].alias("text")))
+    read = files.select(_file().alias("file"), "content", "starts").join(asked, "file").withColumn("text", numbered)
+
+    def windows(n: Column) -> Column:
+        starts = F.when(F.size("text") >= n, F.sequence(F.lit(1), F.size("text") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(
+            n.alias("n"), F.unhex(lines_digest(F.slice("text", i, n))).alias("digest"), i.alias("place"), F.get("text", i - 2)["line"].alias("before"), F.get("text", i - 1)["line"].alias("first"),
+            F.get("text", i + n - 2)["line"].alias("last"), F.get("text", i + n - 1)["line"].alias("after")))
+
+    each = settle(read.select("file", F.filter("symbols", lambda s: F.contains("content", s)).alias("held"), F.flatten(F.transform("sizes", windows)).alias("windows")))
+    there = each.select("file", F.explode("windows").alias("w")).select("file", "w.*")
+    inside = (F.col("first") >= F.col("lo")) & (F.col("last") <= F.col("hi")) & F.coalesce(F.col("before") < F.col("lo"), F.lit(True)) & F.coalesce(F.col("after") > F.col("hi"), F.lit(True))
+    placed = cited.where("digest is not null").join(there, ["file", "n", "digest"]).groupBy("evidence_id").agg(F.bool_or(inside).alias("here"), F.min(F.struct("place", "first", "last")).alias("at"))
+    joined = cited.select("evidence_id", "file", F.col("digest").isNotNull().alias("taken"), "symbol").join(each.select("file", "held"), "file", "left").select(
+        "evidence_id", "taken", F.col("held").isNotNull().alias("known"), F.coalesce(F.array_contains("held", F.col("symbol")), F.lit(False)).alias("symbol")).join(placed, "evidence_id", "left")
     state = (
-        F.when(F.col("known").isNull(), "gone").when(F.col("digest").isNull(), "unchecked").when(F.coalesce("here", F.lit(False)), "ok")
-        .when(F.col("at").isNotNull(), "shifted").when(F.col("symbol").isNotNull(), "changed").otherwise("gone")
+        F.when(~F.col("known"), "gone").when(~F.col("taken"), "unchecked").when(F.coalesce("here", F.lit(False)), "ok")
+        .when(F.col("at").isNotNull(), "shifted").when(F.col("symbol"), "changed").otherwise("gone")
     )
     moved = F.col("state") == "shifted"
     return joined.withColumn("state", state).select(

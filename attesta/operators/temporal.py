@@ -71,13 +71,15 @@ def supersede(assertions: DataFrame) -> DataFrame:
     themselves. Runs of the same proposition are collapsed first, so a value stated again
     later opens anew.
     """
+    keys = ["subject", "predicate", "created_at", "proposition_id"]
     moment = W.partitionBy("subject", "predicate").orderBy("created_at", "proposition_id")
-    changed = assertions.withColumn("before", F.lag("proposition_id").over(moment)).withColumn("turn", F.sum(F.when(F.col("before").eqNullSafe(F.col("proposition_id")), 0).otherwise(1)).over(moment))
+    stated = assertions.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))  # a hot subject's repeats are one row before they meet
+    changed = stated.withColumn("before", F.lag("proposition_id").over(moment)).withColumn("turn", F.sum(F.when(F.col("before").eqNullSafe(F.col("proposition_id")), 0).otherwise(1)).over(moment))
     turns = changed.groupBy("subject", "predicate", "turn").agg(F.min("created_at").alias("began"))
     after = W.partitionBy("subject", "predicate").orderBy("began").rangeBetween(1, W.unboundedFollowing)
     ends = turns.withColumn("began", F.unix_micros("began")).withColumn("until", F.min("began").over(after)).select("subject", "predicate", "turn", "until")
-    closed = changed.join(ends, ["subject", "predicate", "turn"])
-    return closed.withColumn("valid_to", F.when(F.col("polarity"), F.timestamp_micros("until"))).drop("before", "turn", "until")
+    closed = assertions.join(changed.join(ends, ["subject", "predicate", "turn"]).select(*keys, "until"), keys)
+    return closed.select(*assertions.columns, F.when(F.col("polarity"), F.timestamp_micros("until")).alias("valid_to"))
 
 
 def current_values(assertions: DataFrame, at: str) -> DataFrame:

@@ -101,46 +101,81 @@ def cross_repo_edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.cross_repo_edges(edges, graph.entity_repo(edges))
 
 
+#: Paths of each start that a walk keeps: what a report shows of a walk.
+SHOWN = 8
+
+
+def _walk(spark: SparkSession, folder: str, template: str, table_name: str, prefix: str, key: str) -> DataFrame:
+    t = graph.TEMPLATES[template]
+    edges = temporal.edges_at(projection.supply_claims(spark, folder), SUPPLY_AT)
+    starts = table(spark, folder, table_name).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"))
+    paths = graph.walk(edges, starts, t["forward"], t["reverse"], t["depth"], best=SHOWN)
+    return graph.first_paths(paths, SHOWN).select("start", F.concat_ws(">", "path").alias("path"), "depth", F.round("trust", 6).alias("trust"))
+
+
 def walk_provenance(spark: SparkSession, folder: str) -> DataFrame:
-    """The most trusted paths of three steps at most from one customer through its suppliers."""
-    t = graph.TEMPLATES["data_provenance"]
-    edges = temporal.edges_at(projection.supply_claims(spark, folder), SUPPLY_AT).where("trust >= 0.05")
-    paths = graph.walk(edges, spark.createDataFrame([("cust:1",)], "id string"), t["forward"], t["reverse"], 3)
-    return graph.top_paths(paths).select(F.concat_ws(">", "path").alias("path"), "depth", F.round("trust", 6).alias("trust"))
+    """The most trusted paths from every customer to where its things come from."""
+    return _walk(spark, folder, "data_provenance", "customer", "cust:", "c_custkey")
 
 
 def walk_blast_radius(spark: SparkSession, folder: str) -> DataFrame:
-    """What depends on each part of the first brand, two steps back, for every such part at once."""
-    t = graph.TEMPLATES["blast_radius"]
-    edges = temporal.edges_at(projection.supply_claims(spark, folder), SUPPLY_AT).where("trust >= 0.05")
-    first = table(spark, folder, "part").agg(F.min("p_brand").alias("p_brand"))
-    starts = table(spark, folder, "part").join(first, "p_brand", "left_semi").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
-    paths = graph.walk(edges, starts, t["forward"], t["reverse"], 2)
-    return paths.groupBy("start").agg(F.count_distinct("node").alias("reached"), F.count(F.lit(1)).alias("paths"))
+    """The most trusted paths to what depends on each part, for every part at once."""
+    return _walk(spark, folder, "blast_radius", "part", "part:", "p_partkey")
+
+
+def walk_concept_map(spark: SparkSession, folder: str) -> DataFrame:
+    """The most trusted paths around every supplier."""
+    return _walk(spark, folder, "concept_map", "supplier", "supp:", "s_suppkey")
+
 
+def walk_access(spark: SparkSession, folder: str) -> DataFrame:
+    """The most trusted paths from every catalogued entity to how it is reached."""
+    t, edges = graph.TEMPLATES["access"], _catalogue(spark, folder)
+    paths = graph.walk(edges, edges.select(F.col("subject").alias("id")).distinct(), t["forward"], t["reverse"], t["depth"], best=SHOWN)
+    return graph.first_paths(paths, SHOWN).select("start", F.concat_ws(">", "path").alias("path"), "depth", F.round("trust", 6).alias("trust"))
 
-def _depth_two(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of two steps at most through the catalogue, from every entity."""
+
+def derived_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges that hang on a claim: what a supplier reads from, as a variant of its brand, seen only through that reading."""
+    edges = temporal.edges_at(projection.supply_claims(spark, folder), SUPPLY_AT)
+    brands = edges.where("predicate = 'part_of'").select(F.col("subject").alias("part"), F.col("object").alias("brand"), "trust")
+    read = edges.where("predicate = 'reads_from'").select(F.col("proposition_id").alias("subject_prop"), F.col("object").alias("part"))
+    about = read.join(brands, "part").select("subject_prop", F.concat_ws("|", "subject_prop", F.lit("variant_of"), "brand").alias("proposition_id"), F.lit("variant_of").alias("predicate"), F.col("brand").alias("object"), "trust")
+    return graph.derived_edges(edges, about).select("proposition_id", "subject", "predicate", "object", F.round("trust", 6).alias("trust"), "via")
+
+
+def walk_derived(spark: SparkSession, folder: str) -> DataFrame:
+    """The most trusted paths of every supplier over its parts to their brands, where the last step may only follow the claim that it hangs on."""
+    edges = temporal.edges_at(projection.supply_claims(spark, folder), SUPPLY_AT)
+    hung = derived_edges(spark, folder)
+    both = edges.select("proposition_id", "subject", "predicate", "object", "trust").withColumn("via", F.lit(None).cast("string")).unionByName(hung)
+    starts = table(spark, folder, "supplier").select(F.concat(F.lit("supp:"), F.col("s_suppkey").cast("string")).alias("id"))
+    paths = graph.walk(both, starts, ("reads_from", "variant_of"), (), 2, 0.0, best=SHOWN)
+    return graph.first_paths(paths, SHOWN).select("start", F.concat_ws(">", "path").alias("path"), "depth", F.round("trust", 6).alias("trust"))
+
+
+def _catalogue_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The most trusted paths of every catalogued entity, as deep as its template goes."""
     t = graph.TEMPLATES["data_provenance"]
     edges = _catalogue(spark, folder)
     starts = edges.select(F.col("subject").alias("id")).distinct()
-    return graph.walk(edges, starts, t["forward"] + ("depends_on",), t["reverse"], 2, 0.2)
+    return graph.first_paths(graph.walk(edges, starts, t["forward"] + ("depends_on",), t["reverse"], t["depth"], best=SHOWN), SHOWN)
 
 
 def path_prune(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.prune_prefixes(_depth_two(spark, folder)).select(F.concat_ws(">", "path").alias("path"), F.concat_ws(">", "props").alias("props"), "depth")
+    return graph.prune_prefixes(_catalogue_paths(spark, folder)).select(F.concat_ws(">", "path").alias("path"), F.concat_ws(">", "props").alias("props"), "depth")
 
 
 def path_best_kind(spark: SparkSession, folder: str) -> DataFrame:
     """Each path's most valuable kind, and the path's rank among those of its start."""
     kinds = _entities(spark, folder, "kind")
-    ranked = graph.ranked_paths(graph.best_kind(_depth_two(spark, folder), kinds))
+    ranked = graph.ranked_paths(graph.best_kind(_catalogue_paths(spark, folder), kinds))
     return ranked.select("start", F.concat_ws(">", "path").alias("path"), "best_kind", "best_value", "rank")
 
 
 def path_steps(spark: SparkSession, folder: str) -> DataFrame:
     """The steps of every path with what supports them."""
-    steps = graph.hydrate(_depth_two(spark, folder), _catalogue(spark, folder))
+    steps = graph.hydrate(_catalogue_paths(spark, folder), _catalogue(spark, folder))
     return steps.select("start", "line", "at", "proposition_id", F.round("step_trust", 6).alias("step_trust"), "support_count", "refute_count")
 
 
@@ -174,7 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             live_assertions, edge_trust, edge_trust_asof_series, refuted_edges, corroboration_bonus, trust_labels, functional_current, functional_closed, sweep_closed, sweep_removed_edges,
-            canonical_roots, edges_canonical, degree, entity_repo, cross_repo_edges, walk_provenance, walk_blast_radius, path_prune, path_best_kind, path_steps, entity_facts, endpoint_signatures, endpoint_joins,
+            canonical_roots, edges_canonical, degree, entity_repo, cross_repo_edges, walk_provenance, walk_blast_radius, walk_concept_map, walk_access, derived_edges, walk_derived, path_prune, path_best_kind, path_steps, entity_facts, endpoint_signatures, endpoint_joins,
         )
     }
 
@@ -189,10 +224,16 @@ def _hops(forward: tuple[str, ...], reverse: tuple[str, ...], least: float) -> s
   union all select object, subject, proposition_id, trust from edges where trust >= {least} and object is not null and predicate in ({_in(reverse)}))"""
 
 
-WALK = """walk as (
+TRUSTED = "row_number() over (partition by start order by round(trust, 9) desc, array_to_string(path, '>'), array_to_string(props, '>'))"
+WALK = f"""walk as (
   select id as start, id as node, 0 as depth, [id] as path, cast([] as varchar[]) as props, 1.0::double as trust from starts
-  union all select w.start, h.dst, w.depth + 1, list_append(w.path, h.dst), list_append(w.props, h.proposition_id), w.trust * h.trust
-  from walk w join hops h on h.src = w.node where w.depth < {depth} and not list_contains(w.path, h.dst))"""
+  union all select * from (select w.start, h.dst as node, w.depth + 1 as depth, list_append(w.path, h.dst) as path, list_append(w.props, h.proposition_id) as props, w.trust * h.trust as trust
+    from walk w join hops h on h.src = w.node where w.depth < {{depth}} and not list_contains(w.path, h.dst)) steps qualify {TRUSTED} <= {SHOWN}),
+shown as (select * from walk where depth > 0 qualify {TRUSTED} <= {SHOWN})"""
+
+DERIVED = """derived as (
+  select e.proposition_id || '|variant_of|' || b.object as proposition_id, e.object as subject, 'variant_of' as predicate, b.object as object, b.trust, e.proposition_id as via
+  from edges e join edges b on b.subject = e.object where e.predicate = 'reads_from' and b.predicate = 'part_of')"""
 
 ROOTS = """chains as (
   select id, canonical_id as at from entity
@@ -212,7 +253,7 @@ signatures as (select distinct object as id, path, 'GET' as method from routes w
 def oracle_sql() -> dict[str, str]:
     events, supply, owned = (sql.edges(c, t) for c, t in ((sql.EVENT_CLAIMS, EVENTS_AT), (sql.SUPPLY_CLAIMS, SUPPLY_AT), (sql.OWNERSHIP_CLAIMS, OWNED_AT)))
     catalogue = sql.edges(sql.CATALOGUE_CLAIMS, CATALOGUE_AT)
-    p, b = graph.TEMPLATES["data_provenance"], graph.TEMPLATES["blast_radius"]
+    p = graph.TEMPLATES["data_provenance"]
     moments = ", ".join(f"timestamp '{t}'" for t in SERIES)
     owned_turns = f"""with {sql.OWNERSHIP_CLAIMS},
 marked as (select *, case when lag(proposition_id) over w is distinct from proposition_id then 1 else 0 end as fresh from claims {{where}} window w as (partition by subject order by created_at, proposition_id)),
@@ -220,8 +261,13 @@ turned as (select *, sum(fresh) over (partition by subject order by created_at,
 turns as (select subject, turn, min(created_at) as began from turned group by all),
 ends as (select a.subject, a.turn, min(b.began) as until from turns a left join turns b on b.subject = a.subject and b.began > a.began group by all),
 held as (select t.*, e.until from turned t join ends e using (subject, turn))"""
-    depth_two = catalogue + f""", {_hops(p["forward"] + ("depends_on",), p["reverse"], 0.2)}, starts as (select distinct subject as id from edges), {WALK.format(depth=2)},
-paths as (select *, array_to_string(path, '>') as line from walk where depth > 0)"""
+    depth_two = catalogue + f""", {_hops(p["forward"] + ("depends_on",), p["reverse"], 0.05)}, starts as (select distinct subject as id from edges), {WALK.format(depth=p["depth"])},
+paths as (select *, array_to_string(path, '>') as line from shown)"""
+    def walked(template: str, name: str, prefix: str, key: str) -> str:
+        t = graph.TEMPLATES[template]
+        return supply + f""", {_hops(t["forward"], t["reverse"], 0.05)}, starts as (select '{prefix}' || {key} as id from {name}), {WALK.format(depth=t["depth"])}
+select start, array_to_string(path, '>') as path, depth, round(trust, 6) as trust from shown"""
+
     value = "case kind " + " ".join(f"when '{k}' then {v}" for k, v in graph.KIND_VALUE.items()) + " else 0 end"
     return {
         "live_assertions": f"with {sql.EVENT_CLAIMS}, {sql.live(f"timestamp '{EVENTS_AT}'")} select proposition_id, polarity, method, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') as created, round(weight, 6) as weight from live",
@@ -249,10 +295,16 @@ select proposition_id, coalesce(s.root, subject) as subject, predicate, coalesce
         "cross_repo_edges": supply.replace("where support is not null)", "where support is not null and predicate <> 'part_of')") + f""", {REPOS},
 ends as (select proposition_id, s.repo as subject_repo, o.repo as object_repo from edges join homes s on s.id = subject join homes o on o.id = object where predicate not in ('lives_in_repo', 'contains_project'))
 select distinct proposition_id, subject_repo, object_repo from ends where subject_repo <> object_repo and proposition_id not in (select proposition_id from ends where subject_repo = object_repo)""",
-        "walk_provenance": supply + f""", {_hops(p["forward"], p["reverse"], 0.05)}, starts as (select 'cust:1' as id), {WALK.format(depth=3)}
-select array_to_string(path, '>') as path, depth, round(trust, 6) as trust from walk where depth > 0 order by round(walk.trust, 9) desc, array_to_string(walk.path, '>') limit 500""",
-        "walk_blast_radius": supply + f""", {_hops(b["forward"], b["reverse"], 0.05)}, starts as (select 'part:' || p_partkey as id from part where p_brand = (select min(p_brand) from part)), {WALK.format(depth=2)}
-select start, count(distinct node) as reached, count(*) as paths from walk where depth > 0 group by start""",
+        **{f"walk_{name}": walked(*of) for name, of in {"provenance": ("data_provenance", "customer", "cust:", "c_custkey"), "blast_radius": ("blast_radius", "part", "part:", "p_partkey"), "concept_map": ("concept_map", "supplier", "supp:", "s_suppkey")}.items()},
+        "walk_access": catalogue + f""", {_hops(graph.TEMPLATES["access"]["forward"], (), 0.05)}, starts as (select distinct subject as id from edges), {WALK.format(depth=3)}
+select start, array_to_string(path, '>') as path, depth, round(trust, 6) as trust from shown""",
+        "derived_edges": supply + f", {DERIVED} select proposition_id, subject, predicate, object, round(trust, 6) as trust, via from derived",
+        "walk_derived": supply + f""", {DERIVED},
+readings as (select subject as start, [subject, object] as path, [proposition_id] as props, trust, proposition_id, object from edges where predicate = 'reads_from' and subject in (select 'supp:' || s_suppkey from supplier)
+  qualify row_number() over (partition by subject order by round(trust, 9) desc, subject || '>' || object, proposition_id) <= {SHOWN}),
+paths as (select start, path, props, 1 as depth, trust from readings
+  union all select start, list_append(path, d.object), list_append(props, d.proposition_id), 2, r.trust * round(d.trust, 6) from readings r join derived d on d.via = r.proposition_id)
+select start, array_to_string(path, '>') as path, depth, round(trust, 6) as trust from paths qualify {TRUSTED} <= {SHOWN}""",
         "path_prune": depth_two + """, shorter as (select distinct array_to_string(path[1:n], '>') as line from (select path, unnest(range(2, len(path))) as n from paths))
 select line as path, array_to_string(props, '>') as props, depth from paths where line not in (select line from shorter)""",
         "path_best_kind": depth_two + f""", nodes as (select distinct line, unnest(path) as id, unnest(range(1, len(path) + 1)) as nth from paths),
