@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions.text import bigrams, environment, kind_family, norm_name
+from attesta.session import settle, spread
 
 THRESHOLD = 0.7
 
@@ -56,44 +57,98 @@ def _gram_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = ["".join(t) for t in combinations(grams, 3)] + (grams if short else [])
             rows += [i] * len(own)
             keys += own
-        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, pa.int32())) for k in range(4)), pa.array(keys, pa.string())], ["kind", "env", "name_norm", "n", "key"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, pa.int32())) for k in range(4)), pa.array(keys, pa.string())], ["grp", "side", "name_norm", "n", "key"])
 
 
-def near_names(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, score): canonical entities of one kind and environment whose names are alike by Dice of bigrams.
+def near_pairs(named: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(grp, name_a, name_b, score): different names of a group that are alike by Dice of bigrams, a < b.
 
-    Names are compared once each, whatever number of entities bears them: pairs are between
-    distinct names (a < b by name) and rows carry the smallest id of each name. Of a name's n
-    bigrams a partner at ``threshold`` t shares at least o = t * n / (2 - t). With bigrams in
-    one order, the rarest first, two such names have three in common among the first
-    n - o + 3 of each, so they meet under a key of three bigrams; only names too short for
-    that meet under single ones. Nothing is lost, and common bigrams alone join nothing.
+    named: grp, name_norm and side, one row each; names that are both of side 0 or both of
+    side 1 are only compared if the side is null. Of a name's n bigrams a partner at
+    ``threshold`` t shares at least o = t * n / (2 - t). With bigrams in one order, the rarest
+    first, two such names have three in common among the first n - o + 3 of each, so they
+    meet under a key of three bigrams; only names too short for that meet under single ones.
+    Nothing is lost, and common bigrams alone join nothing.
     """
-    distinct = names(entities).groupBy("kind", "env", "name_norm").agg(F.min("id").alias("id"))
-    grams = distinct.select("kind", "env", "name_norm", "id", F.size(bigrams(F.col("name_norm"))).alias("n"), F.explode(bigrams(F.col("name_norm"))).alias("gram"))
-    frequency = grams.groupBy("kind", "env", "gram").agg(F.count(F.lit(1)).alias("df"))
-    ordered = grams.join(frequency, ["kind", "env", "gram"]).groupBy("kind", "env", "name_norm", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    held = ["grp", "name_norm", "side"]
+    grams = named.select(*held, F.size(bigrams(F.col("name_norm"))).alias("n"), F.explode(bigrams(F.col("name_norm"))).alias("gram"))
+    frequency = grams.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("df"))
+    ordered = grams.join(frequency, ["grp", "gram"]).groupBy(*held, "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
     least = F.ceil(F.round(threshold * F.col("n") / (2 - threshold), 9))
     first = ordered.withColumn("least", least).withColumn("first", F.transform(F.slice("grams", 1, (F.col("n") - F.col("least") + 3).cast("int")), lambda x: x["gram"]))
     short = F.col("n") <= F.floor(F.lit(3 * (2 - threshold) / threshold))
-    keys = first.select("kind", "env", "name_norm", "n", "first", short.alias("short")).mapInArrow(_gram_keys, "kind string, env string, name_norm string, n int, key string").persist()
-    a, b = keys.alias("a"), keys.alias("b")
+    keys = settle(first.select("grp", "side", "name_norm", "n", "first", short.alias("short")).mapInArrow(_gram_keys, "grp string, side int, name_norm string, n int, key string"))
+    a, b = spread(keys).alias("a"), keys.alias("b")
     within = (F.col("a.n") <= F.col("b.n") * (2 - threshold) / threshold + 1e-9) & (F.col("b.n") <= F.col("a.n") * (2 - threshold) / threshold + 1e-9)
-    pairs = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.env") == F.col("b.env")) & (F.col("a.name_norm") < F.col("b.name_norm")) & within)
-        .select("a.kind", "a.env", F.col("a.name_norm").alias("name_a"), F.col("b.name_norm").alias("name_b")).distinct()
-    )
+    sides = F.col("a.side").isNull() & F.col("b.side").isNull() & (F.col("a.name_norm") < F.col("b.name_norm")) | (F.col("a.side") < F.col("b.side")) & (F.col("a.name_norm") != F.col("b.name_norm"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.grp") == F.col("b.grp")) & sides & within).select("a.grp", F.col("a.name_norm").alias("name_a"), F.col("b.name_norm").alias("name_b")).distinct()
     ga, gb = bigrams(F.col("name_a")), bigrams(F.col("name_b"))
     score = 2.0 * F.size(F.array_intersect(ga, gb)) / (F.size(ga) + F.size(gb))
-    ids = distinct.select("kind", "env", "name_norm", "id")
+    return pairs.withColumn("score", F.round(score, 6)).where(F.col("score") >= threshold)
+
+
+def near_names(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, kind, env, name_a, name_b, score): canonical entities of one kind and environment whose names are alike.
+
+    Names are compared once each, whatever number of entities bears them: pairs are between
+    distinct names (a < b by name) and rows carry the smallest id of each name.
+    """
+    distinct = names(entities).groupBy("kind", "env", "name_norm").agg(F.min("id").alias("id")).withColumn("grp", F.concat_ws("|", "kind", "env"))
+    pairs = near_pairs(distinct.select("grp", "name_norm", F.lit(None).cast("int").alias("side")), threshold)
+    ids = distinct.select("grp", "kind", "env", "name_norm", "id")
     return (
-        pairs.withColumn("score", F.round(score, 6)).where(F.col("score") >= threshold)
-        .join(ids.withColumnsRenamed({"name_norm": "name_a", "id": "a"}), ["kind", "env", "name_a"])
-        .join(ids.withColumnsRenamed({"name_norm": "name_b", "id": "b"}), ["kind", "env", "name_b"])
+        pairs.join(ids.withColumnsRenamed({"name_norm": "name_a", "id": "a"}), ["grp", "name_a"])
+        .join(ids.select("grp", "name_norm", "id").withColumnsRenamed({"name_norm": "name_b", "id": "b"}), ["grp", "name_b"])
         .select("a", "b", "kind", "env", "name_a", "name_b", "score")
     )
 
 
+def ranked_matches(mentions: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
+    """(mention_id, id, rung) by an alias: that of equal kind first, then of equal environment, then of the mention's scope, then the smaller id.
+
+    aliases: id, name_norm, scope (null = everywhere); several rows of an entity count as one,
+    scoped if any of them has the mention's scope. The kind, where given, must be of the
+    entity's family, environments must agree or one be unknown. A mention without environment
+    takes none where the fitting entities are in several real ones.
+    """
+    known = entities.where("canonical_id = id").select("id", "kind", environment(F.col("kind"), F.col("env")).alias("env"))
+    asked = mentions.select("mention_id", "scope", F.col("kind").alias("asked_kind"), environment(F.col("kind"), F.col("env")).alias("asked_env"), norm_name(F.col("raw")).alias("name_norm")).where("name_norm <> ''")
+    hits = asked.join(aliases.withColumnRenamed("scope", "alias_scope"), "name_norm").groupBy("mention_id", "asked_kind", "asked_env", "id").agg(F.bool_or(F.col("alias_scope").eqNullSafe(F.col("scope"))).alias("scoped"))
+    fits = (F.col("asked_env") == F.col("env")) | (F.col("asked_env") == "unknown") | (F.col("env") == "unknown")
+    family = F.col("asked_kind").isNull() | (kind_family(F.col("asked_kind")) == kind_family(F.col("kind")))
+    rank = F.struct(F.coalesce(F.col("asked_kind") != F.col("kind"), F.lit(True)), F.col("asked_env") != F.col("env"), ~F.col("scoped"), F.col("id").alias("id"), F.col("scoped").alias("scoped"))
+    best = hits.join(known, "id").where(fits & family).groupBy("mention_id", "asked_env").agg(F.min(rank).alias("best"), F.count_distinct(F.when(F.col("env") != "unknown", F.col("env"))).alias("envs"))
+    sure = best.where((F.col("asked_env") != "unknown") | (F.col("envs") <= 1))
+    return sure.select("mention_id", F.col("best.id").alias("id"), F.when(F.col("best.scoped"), "alias_scoped").otherwise("alias_global").alias("rung"))
+
+
+def proposals(minted: DataFrame, entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(entity_id, id, score): the entity whose name is most like that of a minted one; proposed, never merged.
+
+    minted: entity_id, kind, env, name_norm. The environment must be the same and the kind too
+    if the minted one has one. Ties go to the smaller id. Equal names score 1.
+    """
+    known = names(entities)
+    left = minted.select("entity_id", F.concat_ws("|", F.coalesce("kind", F.lit("*")), "env").alias("grp"), "name_norm").transform(settle)
+    right = known.select("id", F.explode(F.array(F.concat_ws("|", "kind", "env"), F.concat_ws("|", F.lit("*"), "env"))).alias("grp"), "name_norm")
+    both = settle(left.select("grp", "name_norm", F.lit(0).alias("side")).union(right.select("grp", "name_norm", F.lit(1).alias("side"))).distinct())
+    alike = near_pairs(both, threshold).select("grp", F.col("name_a").alias("name_norm"), F.col("name_b").alias("other"), "score")
+    same = left.join(right.select("grp", "name_norm").distinct(), ["grp", "name_norm"]).select("grp", "name_norm", F.col("name_norm").alias("other"), F.lit(1.0).alias("score")).distinct()
+    borne = right.groupBy("grp", F.col("name_norm").alias("other")).agg(F.min("id").alias("id"))
+    best = alike.union(same).join(borne, ["grp", "other"]).groupBy("grp", "name_norm").agg(F.min(F.struct(-F.col("score"), "id")).alias("b"))
+    return left.join(best, ["grp", "name_norm"]).select("entity_id", F.col("b.id").alias("id"), (-F.col("b.col1")).alias("score"))
+
+
+def different_routes(candidates: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(id, a, b) of open proposals between endpoints of which some signatures differ, to be marked distinct, a < b.
+
+    candidates: id, subject, object, verdict (null = open); signatures: id, path, method.
+    """
+    first, second = (signatures.select(F.col("id").alias(end), F.struct("path", "method").alias(name)) for end, name in (("subject", "one"), ("object", "two")))
+    met = candidates.where("verdict is null").join(first, "subject").join(second, "object").where(~F.col("one").eqNullSafe(F.col("two")))
+    return met.select("id", F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).distinct()
+
+
 def mintable(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
     """(entity_id, kind, env, name_norm, mentions): what unresolved mentions would mint.
 

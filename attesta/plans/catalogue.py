@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from attesta.functions.text import kind_family, norm_name
 from attesta.operators import gaps, graph, resolve, temporal
 from attesta.plans import sql
-from attesta.plans.claims import CATALOGUE_AT, ROOTS
+from attesta.plans.claims import CATALOGUE_AT, ROOTS, ROUTES, endpoint_joins, endpoint_signatures
+from attesta.session import settle
 from attesta.sources import projection
 from attesta.sources.tables import keyed
 from attesta.sources.vocabulary import ENVIRONMENTLESS, KIND_FAMILIES
@@ -92,13 +93,48 @@ def strong_id_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return gaps.scored(gaps.gaps(_entities(spark, folder), _edges(spark, folder).persist(), _proposals(spark, folder), _identifiers(spark, folder)))
+    return gaps.scored(gaps.gaps(_entities(spark, folder), settle(_edges(spark, folder)), _proposals(spark, folder), _identifiers(spark, folder), settle(endpoint_joins(spark, folder).select("called", "served").distinct())))
 
 
 def gaps_all(spark: SparkSession, folder: str) -> DataFrame:
     return _gaps(spark, folder)
 
 
+def auto_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Open proposals between endpoints with different routes, which need no question."""
+    return resolve.different_routes(_proposals(spark, folder), endpoint_signatures(spark, folder))
+
+
+def _aliases(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of entities anywhere, and in a scope what mentions with a strong identifier call them there."""
+    mentions = _mentions(spark, folder)
+    strong = resolve.strong_matches(mentions, _identifiers(spark, folder))
+    local = mentions.join(strong, "mention_id").select("id", norm_name(F.col("raw")).alias("name_norm"), "scope").where("name_norm <> ''")
+    return resolve.names(_entities(spark, folder)).select("id", "name_norm", F.lit(None).cast("string").alias("scope")).union(local).distinct()
+
+
+def ranked_match(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve.ranked_matches(_mentions(spark, folder), _aliases(spark, folder), _entities(spark, folder))
+
+
+def fuzzy_proposals(spark: SparkSession, folder: str) -> DataFrame:
+    """For each name that mentions would mint the entity most like it."""
+    return resolve.proposals(minted(spark, folder), _entities(spark, folder)).select("entity_id", "id", F.round("score", 6).alias("score"))
+
+
+def graph_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """How many nodes and edges there are."""
+    edges = _edges(spark, folder).agg(F.count(F.lit(1)).alias("edges"))
+    return _entities(spark, folder).where("canonical_id = id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("provisional").alias("provisional")).crossJoin(edges)  # one row each
+
+
+def latest_assertions(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest assertion of each claim about the catalogue."""
+    rows = projection.catalogue_claims(spark, folder)
+    newest = rows.groupBy("proposition_id").agg(F.max(F.struct("created_at", "method", "polarity", "confidence")).alias("r"))
+    return newest.select("proposition_id", F.date_format("r.created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("said"), "r.method", "r.polarity")
+
+
 def gap_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _gaps(spark, folder).groupBy("kind", "entity_kind").agg(F.count(F.lit(1)).alias("gaps"), F.max("score").alias("best"))
 
@@ -119,7 +155,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            name_normalise, kind_families, alias_match, strong_match, minted, dice_candidates, duplicate_names, repair_merges, barred_merges, strong_id_coverage, gaps_all, gap_counts, gaps_askable, merge_review,
+            name_normalise, kind_families, alias_match, strong_match, minted, dice_candidates, duplicate_names, repair_merges, barred_merges, strong_id_coverage, gaps_all, gap_counts, gaps_askable, merge_review, auto_distinct, ranked_match, fuzzy_proposals,
+            graph_totals, latest_assertions,
         )
     }
 
@@ -162,7 +199,10 @@ def oracle_sql() -> dict[str, str]:
     tech = ", ".join(f"'{t}'" for t in gaps.TECHNOLOGY)
     base = " ".join(f"when '{k}' then {v}" for k, v in gaps.BASE.items())
     no = "id not in (select {0} from canon where {0} is not null and predicate in ({1}))"
-    found = sql.edges(sql.CATALOGUE_CLAIMS, CATALOGUE_AT) + f""", {CANON}, {MATCHED}, {SAID}, {PROPOSALS},
+    found = sql.edges(sql.CATALOGUE_CLAIMS, CATALOGUE_AT) + f""", {CANON}, {MATCHED}, {SAID}, {PROPOSALS}, {ROUTES},
+served as (select s.id as served, s.path, s.method from signatures s join edges e on e.object = s.id and e.predicate = 'exposes_endpoint'),
+called as (select s.id as called, s.path, s.method from signatures s where s.id in (select object from edges where predicate = 'calls') and s.id not in (select object from edges where predicate = 'exposes_endpoint')),
+joined as (select distinct called, served from called join served using (path, method) where called <> served),
 live_entities as (select e.id, kind as entity_kind, display_name as name, provisional, coalesce(degree, 0) as connectivity from entity e left join degrees d on d.id = e.id where canonical_id = e.id),
 found as (
   select 'dangling_endpoint' as kind, * from live_entities where entity_kind = 'endpoint' and id in (select object from canon where predicate = 'calls') and {no.format('object', "'exposes_endpoint'")}
@@ -173,8 +213,9 @@ found as (
   union all select 'undescribed_concept', * from live_entities where entity_kind in ('capability', 'data_concept') and {no.format('subject', "'note'")}
   union all select 'unidentified_entity', * from live_entities where provisional and connectivity >= 2 and id not in (select id from identifiers)
   union all select 'orphan_entity', * from live_entities where connectivity = 0 and entity_kind <> 'technology'
-  union all select 'name_collision', l.* from (select distinct subject, object from proposals where verdict is null and (x, y) not in (select (x, y) from proposals where verdict = 'distinct')) p join live_entities l on l.id = p.subject),
-gaps as (select kind, id, name, entity_kind, connectivity, round(case kind {base} end * (1 + least(connectivity, 8) * 0.04), 3)::double as score from found)"""
+  union all select 'name_collision', l.* from (select distinct subject, object from proposals where verdict is null and (x, y) not in (select (x, y) from proposals where verdict = 'distinct') and (x, y) not in (select (least(called, served), greatest(called, served)) from joined)) p join live_entities l on l.id = p.subject),
+flagged as (select *, kind = 'dangling_endpoint' and id in (select called from joined) as suggested from found),
+gaps as (select kind, id, name, entity_kind, connectivity, suggested, round(case kind {base} end * (1 + least(connectivity, 8) * 0.04) * case when suggested then {gaps.SUGGESTED} else 1 end, 3)::double as score from flagged)"""
     return {
         "name_normalise": f"with {MENTIONS} select mention_id, {norm('raw')} as name_norm from mentions",
         "kind_families": f"select kind, {family('kind')} as family, count(*) as entities from entity group by kind",
@@ -201,5 +242,25 @@ select kind, count(*) as entities, count(*) filter (where id in (select id from
         "gap_counts": found + " select kind, entity_kind, count(*) as gaps, max(score) as best from gaps group by kind, entity_kind",
         "gaps_askable": found + """
 select kind, id, score, id in (select id from entity where kind = 'service') as near from (select * from gaps where score >= 0.5 qualify row_number() over (partition by id order by score desc, kind) = 1) order by near desc, score desc, kind, id limit 2""",
+        "auto_distinct": sql.edges(sql.CATALOGUE_CLAIMS, CATALOGUE_AT) + f""", {PROPOSALS}, {ROUTES}
+select distinct p.id, x as a, y as b from proposals p join signatures s on s.id = subject join signatures o on o.id = object where verdict is null and (s.path is distinct from o.path or s.method is distinct from o.method)""",
+        "ranked_match": f"""with {MATCHED}, {SAID},
+aliases as (select id, name_norm, null as scope from names union select id, {norm('raw')}, scope from mentions join strong using (mention_id) where {norm('raw')} <> ''),
+wanted as (select mention_id, scope, kind as asked_kind, {env()} as asked_env, {norm('raw')} as name_norm from mentions where {norm('raw')} <> ''),
+hits as (select mention_id, asked_kind, asked_env, a.id, bool_or(a.scope is not distinct from w.scope) as scoped from wanted w join aliases a using (name_norm) group by all),
+fit as (select h.*, e.kind, {env('e.kind', 'e.env')} as found_env from hits h join entity e on e.id = h.id and e.canonical_id = e.id where asked_kind is null or {family('asked_kind')} = {family('e.kind')}),
+fitting as (select * from fit where asked_env = found_env or asked_env = 'unknown' or found_env = 'unknown'),
+counted as (select *, (select count(distinct g.found_env) from fitting g where g.mention_id = f.mention_id and g.found_env <> 'unknown') as envs from fitting f)
+select mention_id, id, case when scoped then 'alias_scoped' else 'alias_global' end as rung from counted where asked_env <> 'unknown' or envs <= 1
+qualify row_number() over (partition by mention_id order by coalesce(asked_kind = kind, false) desc, asked_env = found_env desc, scoped desc, id) = 1""",
+        "fuzzy_proposals": f"""with {MATCHED}, {SAID},
+unmet as (select mention_id, kind, {family("coalesce(kind, 'thing')")} as family, {env()} as env, {norm('raw')} as name_norm from mentions where mention_id not in (select mention_id from matched union select mention_id from strong)),
+minted as (select sha256(name_norm || '|' || env || '|' || family) as entity_id, env, name_norm, arg_min_null(kind, mention_id) as kind from unmet where name_norm <> '' group by name_norm, env, family),
+m as (select *, {grams} as g from minted), n as (select *, {grams} as g from names),
+scores as (select entity_id, n.id, case when m.name_norm = n.name_norm then 1.0::double else round(2.0 * len(list_intersect(m.g, n.g)) / nullif(len(m.g) + len(n.g), 0), 6)::double end as score
+  from m join n on m.env = n.env and (m.kind is null or m.kind = n.kind))
+select entity_id, id, score from scores where score >= 0.7 qualify row_number() over (partition by entity_id order by score desc, id) = 1""",
+        "graph_totals": sql.edges(sql.CATALOGUE_CLAIMS, CATALOGUE_AT) + " select (select count(*) from entity where canonical_id = id) as nodes, (select count(*) from entity where canonical_id = id and provisional) as provisional, (select count(*) from edges) as edges",
+        "latest_assertions": f"with {sql.CATALOGUE_CLAIMS} select proposition_id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') as said, method, polarity from claims qualify row_number() over (partition by proposition_id order by created_at desc, method desc nulls last, polarity desc, confidence desc nulls last) = 1",
         "merge_review": "select id, score from (select distinct on (id) * from merge_candidate) where resolution is null and score is not null order by score desc, id limit 100",
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import text
-from attesta.operators import extract, ingest, spans, statements
+from attesta.operators import extract, ingest, source_code, spans, statements
 from attesta.sources.tables import keyed, table
 
 COLUMNS = ("path", "lines", "repo", "commit_sha", "url", "span_text", "enclosing_symbol", "scip_symbol", "cited_at")
@@ -96,6 +96,20 @@ def source_components(spark: SparkSession, folder: str) -> DataFrame:
     return extract.components(_files(spark, folder))
 
 
+def source_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the cited files of each repository hold and use, and how their components are composed."""
+    cited = _evidence(spark, folder).where("path is not null and span_text is not null")
+    files = cited.groupBy("repo", "path").agg(F.max_by("span_text", F.struct("cited_at", "evidence_id")).alias("content")).select(F.concat_ws("/", "repo", "path").alias("path"), F.coalesce("repo", F.lit("")).alias("package"), "content")
+    packages = files.groupBy("package").agg(F.lit("").alias("folder"), F.lit(None).cast("string").alias("entry"))
+    return source_code.composition(source_code.facts(files, "path"), files, packages)
+
+
+def unparsed_clauses(spark: SparkSession, folder: str) -> DataFrame:
+    """How many clauses of each document make no claim."""
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return statements.unparsed(texts).groupBy("id").agg(F.count(F.lit(1)).alias("clauses"))
+
+
 def front_matter(spark: SparkSession, folder: str) -> DataFrame:
     return extract.front_matter(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -176,7 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            span_digest, span_check, healed_lines, anchor_states, reverification_queue, secret_scan, accepted_literals, url_redaction, scip_parse, identifier_extract, source_exports, source_imports, source_components,
+            span_digest, span_check, healed_lines, anchor_states, reverification_queue, secret_scan, accepted_literals, url_redaction, scip_parse, identifier_extract, source_exports, source_imports, source_components, source_facts, unparsed_clauses,
             front_matter, context_paths, freshness_commits, citation_counts, text_statements, predicate_resolve, word_stems, yes_no, source_languages, question_intents, named_in_mentions,
         )
     }
@@ -216,14 +230,12 @@ checked as (
 
 
 def oracle_sql() -> dict[str, str]:
-    from attesta.operators.extract import EXPORTS, IGNORED, LANGUAGES, SKIPPED, SOURCE
+    from attesta.operators.extract import IGNORED, LANGUAGES, SKIPPED, SOURCE
     from attesta.plans.catalogue import norm
     from attesta.sources.vocabulary import alias_rows, predicate_rows
 
     secret = " or ".join(f"regexp_matches(span_text, '{p}')" for p in text.SECRET_FORMS)
     flat = r"regexp_replace(regexp_replace(scip_symbol, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
-    ways = " union all ".join(f"select id, unnest(regexp_extract_all(content, '{p}', 1)) as name, {i} as way, '{k}' as kind from files" for i, (k, p) in enumerate(EXPORTS))
-    quoted = "[''\"]([^''\"]+)[''\"]"
     vocabulary = ", ".join(f"('{n}', '{n}')" for n, _, _ in predicate_rows()) + ", " + ", ".join(f"('{a}', '{n}')" for a, n in alias_rows() if a not in {n for n, _, _ in predicate_rows()})
 
     def case(column: str, patterns: tuple, other: str) -> str:
@@ -254,9 +266,8 @@ def oracle_sql() -> dict[str, str]:
         "url_redaction": rf"with {RAW}, h as (select evidence_id, span_text, regexp_replace(span_text, '(://[^:@/\s]*):[^@/\s]+@', '\1:***@', 'g') as hidden from raw) select evidence_id, sha256(hidden) as hidden_sha from h where hidden <> span_text",
         "scip_parse": f"""with {RAW}, p as (select evidence_id, {flat} as s, string_split({flat}, ' ') as w from raw where scip_symbol is not null)
 select evidence_id, w[1] as scheme, w[2] as manager, w[3] as package, w[4] as version, array_to_string(w[5:], ' ') as descriptors from p where len(w) >= 5 and s not like 'local %'""",
-        "source_exports": f"with {RAW}, files as (select evidence_id as id, span_text as content from raw where contains(span_text, 'export')), ways as ({ways}) select id, name, arg_min(kind, way) as kind from ways group by id, name",
-        "source_imports": rf"""with {RAW} select distinct evidence_id as id, unnest(regexp_extract_all(span_text, 'from\s+{quoted}', 1) || regexp_extract_all(span_text, 'import\s+{quoted}', 1) || regexp_extract_all(span_text, 'require\(\s*{quoted}\s*\)', 1)) as specifier from raw""",
-        "source_components": rf"with {RAW} select distinct evidence_id as id, unnest(regexp_extract_all(span_text, '<([A-Z][\w$]*)(?:\.[A-Z][\w$]*)?[\s/>]', 1)) as component from raw",
+        "source_exports": rf"""with {RAW}, said as (select evidence_id as id, unnest(regexp_extract_all(span_text, 'export[\s\x{{A0}}]+(?:async[\s\x{{A0}}]+)?(?:function|class|const|let|var|type|interface)[\s\x{{A0}}]+[\w$]+')) as said from raw)
+select id, regexp_extract(said, '([\w$]+)$', 1) as name, case when contains(said, 'function') then 'function' when regexp_matches(said, '[\s\x{{A0}}]class[\s\x{{A0}}]') then 'class' when regexp_matches(said, '[\s\x{{A0}}](type|interface)[\s\x{{A0}}]') then 'type' else 'const' end as kind from said group by all""",
         "front_matter": r"""with lines as (select doc_id, unnest(regexp_split_to_array(regexp_extract(text, '^---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|$)', 1), '\r?\n')) as line from documents where text like '---%'),
 kv as (select doc_id, replace(lower(regexp_extract(line, '^([A-Za-z_][\w-]*)\s*:', 1)), '-', '_') as key, regexp_replace(regexp_replace(regexp_extract(line, '^[A-Za-z_][\w-]*\s*:\s*(.*)$', 1), '\s+$', ''), '^[''"]|[''"]$', '', 'g') as value from lines)
 select * from kv where key <> '' and value <> ''""",

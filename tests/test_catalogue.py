@@ -74,3 +74,26 @@ def test_gaps_and_questions(spark):
     assert got == sorted([("dangling_endpoint", "ep"), ("homeless_project", "svc"), ("unknown_technology", "web"), ("unidentified_entity", "web"), ("undescribed_concept", "con"), ("orphan_entity", "con"), ("name_collision", "web")])
     asked = gaps.askable(found, spark.createDataFrame([("svc",)], "id string")).collect()
     assert [(r.kind, r.id) for r in asked] == [("homeless_project", "svc"), ("name_collision", "web")]
+
+
+def test_ranked_matches_prefer_kind_then_environment_then_scope(spark):
+    entities = spark.createDataFrame(
+        [("a", "a", "service", "prod", "Pay"), ("b", "b", "client", "prod", "Pay"), ("c", "c", "service", "staging", "Pay"), ("d", "d", "datastore", "prod", "Pay"), ("e", "e", "service", "unknown", "Log"), ("f", "f", "service", "unknown", "Log"), ("g", "a", "service", "prod", "Pay")],
+        "id string, canonical_id string, kind string, env string, display_name string")
+    aliases = spark.createDataFrame([(i, "pay", None) for i in "abcdg"] + [("e", "log", None), ("f", "log", None), ("f", "log", "repo:x")], "id string, name_norm string, scope string")
+    asked = [(1, "Pay", "client", "prod", None), (2, "Pay", "service", "staging", None), (3, "pay", "service", None, None), (4, "LOG", None, None, "repo:x"), (5, "log", None, None, "repo:y"), (6, "pay", "cache", "prod", None), (7, None, None, None, None), (8, "", "service", None, None)]
+    got = {r.mention_id: (r.id, r.rung) for r in resolve.ranked_matches(spark.createDataFrame(asked, "mention_id long, raw string, kind string, env string, scope string"), aliases, entities).collect()}
+    assert got == {1: ("b", "alias_scoped"), 2: ("c", "alias_scoped"), 4: ("f", "alias_scoped"), 5: ("e", "alias_global"), 6: ("d", "alias_scoped")}
+
+
+def test_proposals_take_the_most_alike_of_the_kind_and_environment(spark):
+    entities = spark.createDataFrame([("a", "a", "service", "prod", "order-gateway"), ("b", "b", "service", "prod", "order-gatevay"), ("c", "c", "cache", "prod", "order-gateways"), ("d", "d", "service", "staging", "order-gateway")], "id string, canonical_id string, kind string, env string, display_name string")
+    minted = spark.createDataFrame([("m", "service", "prod", "order-gatewa"), ("n", None, "prod", "order-gateways"), ("o", "service", "prod", "something-else"), ("p", "service", "staging", "order-gateway")], "entity_id string, kind string, env string, name_norm string")
+    got = {r.entity_id: (r.id, round(r.score, 3)) for r in resolve.proposals(minted, entities).collect()}
+    assert got == {"m": ("a", 0.957), "n": ("c", 1.0), "p": ("d", 1.0)}
+
+
+def test_different_routes(spark):
+    candidates = spark.createDataFrame([(1, "b", "a", None), (2, "a", "c", None), (3, "a", "b", "merged"), (4, "a", "x", None)], "id long, subject string, object string, verdict string")
+    signatures = spark.createDataFrame([("a", "/x", "GET"), ("b", "/y", "GET"), ("c", "/x", "GET")], "id string, path string, method string")
+    assert [tuple(r) for r in resolve.different_routes(candidates, signatures).collect()] == [(1, "a", "b")]

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import text
-from attesta.operators import extract, ingest, similar, spans, statements
+from attesta.operators import extract, ingest, similar, source_code, spans, statements
 from attesta.sources import vocabulary
 
 V1 = "function read() {\n  const x = 'a';\n  return x;\n}"
@@ -17,6 +17,7 @@ def test_spans_are_found_again(spark, now, starts, state, place):
     anchors = spans.digests(spark.createDataFrame([(1, "f.ts", [1, 4], V1, "read")], "evidence_id long, path string, lines array<int>, span_text string, enclosing_symbol string"))
     files = spark.createDataFrame([("f.ts", now, starts)] if now else [], "path string, content string, starts int")
     got = spans.check(anchors, files).first()
+    assert got.healed == (list(place) if place else None)
     assert (got.state, (got.moved_from, got.moved_to) if got.moved_from else None) == (state, place)
 
 
@@ -99,7 +100,7 @@ def test_vocabulary_sizes():
     ],
 )
 def test_statements(said, want):
-    assert [c[:4] for c in statements.parse(said)] == want
+    assert [c[:4] for c in statements.parse(said)[0]] == want
 
 
 def test_statement_rows(spark):
@@ -107,12 +108,76 @@ def test_statement_rows(spark):
     assert [(r.id, r.object) for r in statements.statements(df).collect()] == [(1, "b")]
 
 
+def test_existing_links_settle_ambiguous_phrases(spark):
+    said = statements.statements(spark.createDataFrame([(1, "web uses Redis; web handles orders; api uses Redis")], "id long, text string"))
+    names = spark.createDataFrame([("w", "Web"), ("r", "redis"), ("a", "api")], "id string, display_name string")
+    edges = spark.createDataFrame([("w", "caches_in", "r"), ("w", "reads_from", "r")], "subject string, predicate string, object string")
+    got = {(r.subject, r.object): r.predicate for r in statements.by_existing(said, names, edges).collect()}
+    assert got[("web", "Redis")] == "caches_in" and got[("api", "Redis")] == statements.parse("api uses Redis")[0][0][1]
+    assert [r.clause for r in statements.unparsed(spark.createDataFrame([(1, "hello there. a calls b")], "id long, text string")).collect()] == ["hello there"]
+
+
+CODE = """
+// import no from 'comment'
+import React, { useState as state, type FC } from 'react'
+import type { T } from './types'
+import * as ns from "../lib/ns"
+import './x.css'
+const { a: b, c } = require('m'), d = require("n")
+const s = "import q from 'string'; <Nope />"
+/** A field.
+ * More.
+ *
+ * Not this. */
+export const A = 1
+export { x as y, type Z } from './z'
+export * from './all'
+export default memo(forwardRef(Field))
+export async function go<Q>() { return <Box.Item a={1}><p/></Box.Item> }
+export abstract class K extends Map<String, Foo> {}
+export interface I {}
+x && <Late/>; await import('./lazy')
+"""
+
+
 def test_source_facts(spark):
-    code = "import React, { useState } from 'react'\nimport './x.css'\nexport const A = 1\nexport default memo(Field)\nexport async function go() {}\nreturn <Box.Item ><p/></Box.Item>"
-    df = spark.createDataFrame([(1, code), (2, None)], "id long, content string")
-    assert sorted((r.name, r.kind) for r in extract.exports(df).collect()) == [("A", "const"), ("Field", "default"), ("go", "function")]
-    assert sorted(r.specifier for r in extract.imports(df).collect()) == ["./x.css", "react"]
-    assert [r.component for r in extract.components(df).collect()] == ["Box"]
+    df = spark.createDataFrame([(1, CODE), (2, None), (3, ""), (4, "export {"), (5, "import {"), (6, "export default X;"), (7, "export default function () {}")], "id long, content string")
+    got = {}
+    for r in source_code.facts(df).collect():
+        got.setdefault((r.id, r.fact), set()).add((r.name, r.local, r.specifier, r.kind, r.type_only))
+    assert got[1, "import"] == {
+        ("default", "React", "react", "default", False), ("useState", "state", "react", "named", False), ("FC", "FC", "react", "named", True), ("T", "T", "./types", "named", True), ("*", "ns", "../lib/ns", "namespace", False),
+        ("", "", "./x.css", "bare", False), ("a", "b", "m", "require", False), ("c", "c", "m", "require", False), ("default", "d", "n", "require", False), ("", "", "./lazy", "dynamic", False),
+    }
+    assert got[1, "export"] == {
+        ("A", "A", None, "const", False), ("y", "x", "./z", "list", False), ("Z", "Z", "./z", "type", True), ("*", "*", "./all", "all", False), ("Field", "Field", None, "default", False), ("go", "go", None, "function", False),
+        ("K", "K", None, "class", False), ("I", "I", None, "type", True),
+    }
+    assert {u[0] for u in got[1, "use"]} == {"Box", "Late"}
+    assert got[6, "export"] == {("X", "X", None, "default", False)} and got[7, "export"] == {("default", "default", None, "default", False)}
+    assert {r.name: r.doc for r in source_code.facts(df).where("fact = 'export'").collect()}["A"] == "A field. More."
+    assert sorted((r.name, r.kind) for r in extract.exports(df.where("id = 1")).collect())[:2] == [("*", "all"), ("A", "const")]
+    assert [r.component for r in extract.components(df.where("id = 1")).orderBy("component").collect()] == ["Box", "Late"]
+
+
+def test_composition(spark):
+    files = [
+        ("ui/src/Button.tsx", "ui", "export default function Button() { return <b/> }"), ("ui/src/index.ts", "ui", "export { default as Button } from './Button'"), ("ui/src/forms/Field.tsx", "ui", "import Button from '../Button'\nexport const Field = () => <Button/>"),
+        ("app/src/Page.tsx", "app", "import { Field } from '@acme/ui/forms'\nimport { Field as F2 } from './local.js'\nimport React from 'react'\nexport const Row = 1\nexport const Page = () => <F2><Row/><Field/></F2>"), ("app/src/local.ts", "app", "export class Field {}"),
+    ]
+    df = spark.createDataFrame(files, "path string, package string, content string")
+    packages = spark.createDataFrame([("@acme/ui", "ui", "ui/src/forms/Field.tsx"), ("app", "app", None)], "package string, folder string, entry string")
+    named = df.withColumn("package", F.when(F.col("package") == "ui", "@acme/ui").otherwise(F.col("package")))
+    got = {tuple(r) for r in source_code.composition(source_code.facts(df, "path"), named, packages).collect()}
+    page, row, field, local, button = "app/src/Page.tsx#Page", "app/src/Page.tsx#Row", "ui/src/forms/Field.tsx#Field", "app/src/local.ts#Field", "ui/src/Button.tsx#Button"
+    assert {g for g in got if g[1] == "composes"} == {(page, "composes", row), (page, "composes", field), (page, "composes", local), (row, "composes", field), (row, "composes", local), (field, "composes", button)}
+    assert {g for g in got if g[1] == "depends_on_package"} == {("app", "depends_on_package", "@acme/ui")}
+    assert {g[2] for g in got if g[1] == "exports"} == {page, row, field, local, button}
+
+
+@pytest.mark.parametrize(("folder", "specifier", "want"), [("a/b", "./c", "a/b/c"), ("a/b", "../c", "a/c"), ("", "./c", "c"), ("a", "../../c", None), ("a/b", ".", "a/b")])
+def test_joined_paths(spark, folder, specifier, want):
+    assert spark.createDataFrame([(folder, specifier)], "f string, s string").select(source_code.joined_path(F.col("f"), F.col("s"))).first()[0] == want
 
 
 def test_context_files(spark):
