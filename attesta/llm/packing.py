@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.llm.credentials import encoding
-from attesta.session import settle, spread
+from attesta.session import settle
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Containers of a window are numbered from window << LOCAL_BITS.
@@ -158,7 +158,7 @@ def _packed(capacity: int):
 
 
 def _served(documents: DataFrame, capacity: int, window_containers: int, targets: dict[str, float] | None, vocabulary: str | None) -> DataFrame:
-    sized = parts(settle(token_counts(spread(documents), vocabulary)), capacity)
+    sized = parts(settle(token_counts(documents, vocabulary)), capacity)
     return windows(sized, capacity * window_containers, capacity, targets)
 
 
