@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fences around quoted code, comments, strings and templates as one piece each, words, and single signs.
-PIECE = re.compile(r"```[^\n]*|/\*[\s\S]*?(?:\*/|$)|//[^\n]*|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|[\w$]+|=>|[^\s\w$]")
+PIECE = re.compile(r"```[\w-]*|/\*[\s\S]*?(?:\*/|$)|//[^\n]*|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|[\w$]+|=>|[^\s\w$]")
 DECLARING = {"function": "function", "class": "class", "const": "const", "let": "const", "var": "const", "type": "type", "interface": "type", "enum": "type", "namespace": "type"}
 BEFORE_TAG = frozenset("return default case yield await typeof".split())
 #: What a specifier of a file of the same repository may stand for, likeliest first.

@@ -7,107 +7,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Predicate, family, functional.
-PREDICATES = """
-calls dataflow 0
-reads_from dataflow 0
-writes_to dataflow 0
-publishes_to dataflow 0
-subscribes_to dataflow 0
-caches_in dataflow 0
-falls_back_to dataflow 0
-primary_cache_of dataflow 1
-lives_in_repo structure 1
-provisioned_by infra 1
-deployed_to infra 0
-exposes_endpoint structure 0
-owned_by structure 1
-depends_on meta 0
-connect_via access 0
-secret_at access 0
-ttl_seconds meta 1
-note meta 0
-written_in technology 0
-uses_framework technology 0
-built_with technology 0
-tests_with technology 0
-depends_on_package technology 0
-implements capability 0
-handles_data capability 0
-part_of structure 0
-contains_project structure 0
-supersedes lifecycle 0
-built_by delivery 0
-monitors ops 0
-serves_at structure 0
-documented_at reference 0
-composes structure 0
-exports structure 0
-variant_of structure 0
-lints_with technology 0
-"""
-
-# Predicate, then the raw words that stand for it.
-ALIASES = """
-depends_on uses
-reads_from queries fetches_from fetches loads_from gets_data_from selects_from
-writes_to persists_to stores_in saves_to inserts_into
-calls calls_api requests invokes http_calls
-publishes_to publishes emits_to
-subscribes_to consumes listens_to
-caches_in cached_in caches
-provisioned_by deployed_by provisioned_in managed_by terraformed_by
-lives_in_repo in_repo source_in lives_in
-deployed_to runs_in hosted_in
-owned_by owned_by_team
-falls_back_to falls_back fallback_to
-written_in language written_using coded_in styled_with
-uses_framework framework uses_react
-built_with build_tool bundled_with compiled_with packaged_with
-tests_with test_framework tested_with
-depends_on_package uses_library depends_on_library uses_package
-implements provides_feature feature provides
-handles_data stores_data processes_data accesses_data handles
-part_of belongs_to
-supersedes replaces supersedes_project
-built_by ci_pipeline pipeline deployed_by_pipeline
-monitors alerts_on watches
-serves_at base_url hosted_at
-documented_at runbook docs_at
-composes uses_component renders wraps built_from includes_component
-exports exports_component provides_component publishes_component
-variant_of specialises specializes extends_component
-lints_with linted_with formatted_with checked_with
-"""
-
-# Predicate: the phrases that state it.
-PHRASES = """
-written_in: is written in, written in, is implemented in, is coded in, is styled with, styled with
-uses_framework: uses the framework, is built on, is written using, written using, uses, is using
-built_with: is built with, built with, is bundled with, bundled with, is packaged with, builds with, is compiled with
-tests_with: is tested with, tested with, tests with
-depends_on_package: depends on the package, uses the library, depends on
-calls: makes a request to, sends requests to, calls into, calls, hits, requests
-reads_from: reads from, loads from, fetches from, gets data from, queries, reads
-writes_to: writes to, saves to, stores in, persists to, inserts into
-publishes_to: publishes to, emits to, sends messages to
-subscribes_to: subscribes to, consumes from, listens to
-caches_in: caches data in, caches in
-falls_back_to: falls back to, falls back on
-lives_in_repo: lives in the repo, lives in repo, is in the repo, is in repo, source lives in, lives in
-exposes_endpoint: exposes the route, defines the route, exposes, defines, serves, handles the route
-provisioned_by: is provisioned by, provisioned by, is created by, is managed by, is terraformed by
-deployed_to: is deployed to, deployed to, runs in, runs on
-owned_by: is owned by, owned by
-part_of: is part of, part of
-implements: implements, provides, is responsible for
-handles_data: handles the data, handles, processes
-supersedes: is the replacement for, is replacing, replaces, supersedes
-built_by: is built by, is deployed by the pipeline
-monitors: monitors, alerts on, watches
-documented_at: is documented at
-serves_at: is reachable at, is served at, is hosted at
-"""
+# Predicate, family, whether it has one value at a time.
+PREDICATES = (
+    ("calls", "dataflow", False), ("reads_from", "dataflow", False), ("writes_to", "dataflow", False), ("publishes_to", "dataflow", False),
+    ("subscribes_to", "dataflow", False), ("caches_in", "dataflow", False), ("falls_back_to", "dataflow", False), ("primary_cache_of", "dataflow", True),
+    ("lives_in_repo", "structure", True), ("provisioned_by", "infra", True), ("deployed_to", "infra", False), ("exposes_endpoint", "structure", False),
+    ("owned_by", "structure", True), ("depends_on", "meta", False), ("connect_via", "access", False), ("secret_at", "access", False),
+    ("ttl_seconds", "meta", True), ("note", "meta", False), ("written_in", "technology", False), ("uses_framework", "technology", False),
+    ("built_with", "technology", False), ("tests_with", "technology", False), ("depends_on_package", "technology", False), ("implements", "capability", False),
+    ("handles_data", "capability", False), ("part_of", "structure", False), ("contains_project", "structure", False), ("supersedes", "lifecycle", False),
+    ("built_by", "delivery", False), ("monitors", "ops", False), ("serves_at", "structure", False), ("documented_at", "reference", False),
+    ("composes", "structure", False), ("exports", "structure", False), ("variant_of", "structure", False), ("lints_with", "technology", False),
+)
+
+# Raw word, the predicate that it stands for.
+ALIASES = (
+    ("uses", "depends_on"), ("queries", "reads_from"), ("fetches_from", "reads_from"), ("fetches", "reads_from"), ("loads_from", "reads_from"),
+    ("gets_data_from", "reads_from"), ("selects_from", "reads_from"), ("persists_to", "writes_to"), ("stores_in", "writes_to"), ("saves_to", "writes_to"),
+    ("inserts_into", "writes_to"), ("calls_api", "calls"), ("requests", "calls"), ("invokes", "calls"), ("http_calls", "calls"), ("publishes", "publishes_to"),
+    ("emits_to", "publishes_to"), ("consumes", "subscribes_to"), ("listens_to", "subscribes_to"), ("cached_in", "caches_in"), ("caches", "caches_in"),
+    ("deployed_by", "provisioned_by"), ("provisioned_in", "provisioned_by"), ("managed_by", "provisioned_by"), ("terraformed_by", "provisioned_by"),
+    ("in_repo", "lives_in_repo"), ("source_in", "lives_in_repo"), ("lives_in", "lives_in_repo"), ("runs_in", "deployed_to"), ("hosted_in", "deployed_to"),
+    ("owned_by_team", "owned_by"), ("falls_back", "falls_back_to"), ("fallback_to", "falls_back_to"), ("language", "written_in"),
+    ("written_using", "written_in"), ("coded_in", "written_in"), ("styled_with", "written_in"), ("framework", "uses_framework"),
+    ("uses_react", "uses_framework"), ("build_tool", "built_with"), ("bundled_with", "built_with"), ("compiled_with", "built_with"),
+    ("packaged_with", "built_with"), ("test_framework", "tests_with"), ("tested_with", "tests_with"), ("uses_library", "depends_on_package"),
+    ("depends_on_library", "depends_on_package"), ("uses_package", "depends_on_package"), ("provides_feature", "implements"), ("feature", "implements"),
+    ("provides", "implements"), ("stores_data", "handles_data"), ("processes_data", "handles_data"), ("accesses_data", "handles_data"),
+    ("handles", "handles_data"), ("belongs_to", "part_of"), ("replaces", "supersedes"), ("supersedes_project", "supersedes"), ("ci_pipeline", "built_by"),
+    ("pipeline", "built_by"), ("deployed_by_pipeline", "built_by"), ("alerts_on", "monitors"), ("watches", "monitors"), ("base_url", "serves_at"),
+    ("hosted_at", "serves_at"), ("runbook", "documented_at"), ("docs_at", "documented_at"), ("uses_component", "composes"), ("renders", "composes"),
+    ("wraps", "composes"), ("built_from", "composes"), ("includes_component", "composes"), ("exports_component", "exports"), ("provides_component", "exports"),
+    ("publishes_component", "exports"), ("specialises", "variant_of"), ("specializes", "variant_of"), ("extends_component", "variant_of"),
+    ("linted_with", "lints_with"), ("formatted_with", "lints_with"), ("checked_with", "lints_with"),
+)
+
+# Phrase, the predicate that it states.
+PHRASES = (
+    ("is written in", "written_in"), ("written in", "written_in"), ("is implemented in", "written_in"), ("is coded in", "written_in"),
+    ("is styled with", "written_in"), ("styled with", "written_in"), ("uses the framework", "uses_framework"), ("is built on", "uses_framework"),
+    ("is written using", "uses_framework"), ("written using", "uses_framework"), ("uses", "uses_framework"), ("is using", "uses_framework"),
+    ("is built with", "built_with"), ("built with", "built_with"), ("is bundled with", "built_with"), ("bundled with", "built_with"),
+    ("is packaged with", "built_with"), ("builds with", "built_with"), ("is compiled with", "built_with"), ("is tested with", "tests_with"),
+    ("tested with", "tests_with"), ("tests with", "tests_with"), ("depends on the package", "depends_on_package"), ("uses the library", "depends_on_package"),
+    ("depends on", "depends_on_package"), ("makes a request to", "calls"), ("sends requests to", "calls"), ("calls into", "calls"), ("calls", "calls"),
+    ("hits", "calls"), ("requests", "calls"), ("reads from", "reads_from"), ("loads from", "reads_from"), ("fetches from", "reads_from"),
+    ("gets data from", "reads_from"), ("queries", "reads_from"), ("reads", "reads_from"), ("writes to", "writes_to"), ("saves to", "writes_to"),
+    ("stores in", "writes_to"), ("persists to", "writes_to"), ("inserts into", "writes_to"), ("publishes to", "publishes_to"), ("emits to", "publishes_to"),
+    ("sends messages to", "publishes_to"), ("subscribes to", "subscribes_to"), ("consumes from", "subscribes_to"), ("listens to", "subscribes_to"),
+    ("caches data in", "caches_in"), ("caches in", "caches_in"), ("falls back to", "falls_back_to"), ("falls back on", "falls_back_to"),
+    ("lives in the repo", "lives_in_repo"), ("lives in repo", "lives_in_repo"), ("is in the repo", "lives_in_repo"), ("is in repo", "lives_in_repo"),
+    ("source lives in", "lives_in_repo"), ("lives in", "lives_in_repo"), ("exposes the route", "exposes_endpoint"), ("defines the route", "exposes_endpoint"),
+    ("exposes", "exposes_endpoint"), ("defines", "exposes_endpoint"), ("serves", "exposes_endpoint"), ("handles the route", "exposes_endpoint"),
+    ("is provisioned by", "provisioned_by"), ("provisioned by", "provisioned_by"), ("is created by", "provisioned_by"), ("is managed by", "provisioned_by"),
+    ("is terraformed by", "provisioned_by"), ("is deployed to", "deployed_to"), ("deployed to", "deployed_to"), ("runs in", "deployed_to"),
+    ("runs on", "deployed_to"), ("is owned by", "owned_by"), ("owned by", "owned_by"), ("is part of", "part_of"), ("part of", "part_of"),
+    ("implements", "implements"), ("provides", "implements"), ("is responsible for", "implements"), ("handles the data", "handles_data"),
+    ("handles", "handles_data"), ("processes", "handles_data"), ("is the replacement for", "supersedes"), ("is replacing", "supersedes"),
+    ("replaces", "supersedes"), ("supersedes", "supersedes"), ("is built by", "built_by"), ("is deployed by the pipeline", "built_by"),
+    ("monitors", "monitors"), ("alerts on", "monitors"), ("watches", "monitors"), ("is documented at", "documented_at"), ("is reachable at", "serves_at"),
+    ("is served at", "serves_at"), ("is hosted at", "serves_at"),
+)
 
 # Kinds that can be taken for one another, kinds without environments, identifying qualifiers, authorities.
 KIND_FAMILIES = {
@@ -125,15 +85,15 @@ AUTHORITIES = ("gitlab_project", "git_remote", "arn", "tf_address", "otel_servic
 
 
 def predicate_rows() -> list[tuple[str, str, bool]]:
-    return [(n, f, x == "1") for n, f, x in (line.split() for line in PREDICATES.strip().splitlines())]
+    return list(PREDICATES)
 
 
 def alias_rows() -> list[tuple[str, str]]:
-    return [(raw, words[0]) for words in (line.split() for line in ALIASES.strip().splitlines()) for raw in words[1:]]
+    return list(ALIASES)
 
 
 def phrase_rows() -> list[tuple[str, str]]:
-    return [(p.strip(), name) for name, line in (line.split(":") for line in PHRASES.strip().splitlines()) for p in line.split(",")]
+    return list(PHRASES)
 
 
 def predicates(spark: SparkSession) -> DataFrame:
