@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta.functions.trust import trust_label
 from attesta.operators import graph, temporal
 from attesta.plans import sql
+from attesta.session import settle
 from attesta.sources import projection
 from attesta.sources.tables import keyed, table
 
@@ -97,7 +98,7 @@ def entity_repo(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cross_repo_edges(spark: SparkSession, folder: str) -> DataFrame:
-    edges = temporal.edges_at(projection.supply_claims(spark, folder), SUPPLY_AT).where("predicate <> 'part_of'").persist()
+    edges = settle(temporal.edges_at(projection.supply_claims(spark, folder), SUPPLY_AT).where("predicate <> 'part_of'"))
     return graph.cross_repo_edges(edges, graph.entity_repo(edges))
 
 
@@ -199,7 +200,7 @@ def endpoint_signatures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def endpoint_joins(spark: SparkSession, folder: str) -> DataFrame:
-    routes = _routes(spark, folder).persist()
+    routes = settle(_routes(spark, folder))
     signatures = graph.endpoint_signatures(routes, _entities(spark, folder, "kind").where("kind = 'endpoint'"))
     return graph.endpoint_joins(routes, signatures)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import text
-from attesta.operators import extract, ingest, source_code, spans, statements
+from attesta.operators import anchors, extract, ingest, source_code, spans, statements
 from attesta.sources.tables import keyed, table
 
 COLUMNS = ("path", "lines", "repo", "commit_sha", "url", "span_text", "enclosing_symbol", "scip_symbol", "cited_at")
@@ -169,21 +169,29 @@ def question_intents(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", text.first_of(t, text.INTENTS, "data_provenance").alias("template"), text.first_of(t, text.KIND_WORDS, None).alias("kind"), t.rlike(text.LISTING).alias("listing"))
 
 
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    return keyed(spark, folder, "mention", "mention_id", "raw").select(F.col("mention_id").alias("question_id"), F.col("raw").alias("text"))
+
+
 def named_in_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """(mention_id, id): entities of two words or more of whose names every word, by its stem, is in a mention, in any order.
+    """(mention_id, id): entities of whose names every word, by its stem, is in a mention, in any order."""
+    names = keyed(spark, folder, "entity", "id", "canonical_id", "display_name").where("canonical_id = id").select("id", text.norm_name(F.col("display_name")).alias("name_norm"))
+    asked = _questions(spark, folder).select("question_id", text.norm_name(F.col("text")).alias("asked"))
+    return anchors.by_words(asked, names).select(F.col("question_id").alias("mention_id"), "id")
+
+
+def question_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """The five entities that each mention, taken as a question, names best."""
+    return anchors.anchors(_questions(spark, folder), keyed(spark, folder, "entity", "id", "canonical_id", "env", "display_name"))
 
-    Each name is looked up by the rarest of its words only, then compared in full.
-    """
-    def stems(c: F.Column) -> F.Column:
-        return F.array_distinct(F.transform(F.filter(F.split(text.norm_name(c), "-"), lambda w: w != ""), text.stem))
 
-    names = keyed(spark, folder, "entity", "id", "canonical_id", "display_name").where("canonical_id = id").select("id", stems(F.col("display_name")).alias("words")).where(F.size("words") >= 2).where(F.exists("words", lambda w: F.length(w) >= 4))
-    each = names.select("id", F.explode("words").alias("word"))
-    frequency = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    rarest = each.join(frequency, "word").groupBy("id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
-    texts = keyed(spark, folder, "mention", "mention_id", "raw").select("mention_id", stems(F.col("raw")).alias("asked"))
-    hit = texts.select("mention_id", F.explode("asked").alias("word")).join(rarest, "word").select("mention_id", "id")
-    return hit.join(names, "id").join(texts, "mention_id").where(F.size(F.array_except("words", "asked")) == 0).select("mention_id", "id")
+def new_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """The mentions of the last day, as a batch, without those that the days before have delivered."""
+    rows = table(spark, folder, "mention").where("seen_at is not null").select("mention_id", "seen_at")
+    day = F.to_date("seen_at")
+    last = rows.agg(F.max(day).alias("last"))
+    flagged = rows.crossJoin(F.broadcast(last))  # one row
+    return ingest.unseen(flagged.where(day == F.col("last")).select("mention_id"), flagged.where(day < F.col("last")).select("mention_id"), "mention_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -191,7 +199,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             span_digest, span_check, healed_lines, anchor_states, reverification_queue, secret_scan, accepted_literals, url_redaction, scip_parse, identifier_extract, source_exports, source_imports, source_components, source_facts, unparsed_clauses,
-            front_matter, context_paths, freshness_commits, citation_counts, text_statements, predicate_resolve, word_stems, yes_no, source_languages, question_intents, named_in_mentions,
+            front_matter, context_paths, freshness_commits, citation_counts, text_statements, predicate_resolve, word_stems, yes_no, source_languages, question_intents, named_in_mentions, question_anchors, new_mentions,
         )
     }
 
@@ -289,6 +297,13 @@ select repo, {case('path', LANGUAGES, 'null')} as language, count(*) as files fr
         "question_intents": f"""select doc_id, {case('text', text.INTENTS, "'data_provenance'")} as template, {case('text', text.KIND_WORDS, 'null')} as kind, regexp_matches(text, '{text.LISTING}') as listing from documents where text is not null""",
         "named_in_mentions": f"""with n as (select id, {stems('display_name')} as words from entity where canonical_id = id), q as (select mention_id, {stems('raw')} as asked from (select distinct on (mention_id) * from mention))
 select mention_id, id from n join q on list_has_all(asked, words) where len(words) >= 2 and len(list_filter(words, lambda w: length(w) >= 4)) > 0""",
+        "question_anchors": f"""with n as (select id, env, {norm('display_name')} as name, {stems('display_name')} as words from entity where canonical_id = id and {norm('display_name')} <> ''),
+q as (select mention_id as question_id, '-' || {norm('raw')} || '-' as asked, {stems('raw')} as have from (select distinct on (mention_id) * from mention) where {norm('raw')} <> ''),
+hits as (select question_id, id, round((length(name) + case when env = 'prod' then 1 else 0 end) * case when contains(asked, '-' || name || '-') then 1.0 else 0.7 end, 3)::double as score from n join q
+  on contains(asked, '-' || name || '-') or len(list_filter(string_split(name, '-'), lambda w: w <> '')) >= 2 and len(list_filter(words, lambda w: length(w) >= 4)) > 0 and list_has_all(have, words))
+select question_id, id, score, row_number() over (partition by question_id order by score desc, id) as rank from hits qualify rank <= 5""",
+        "new_mentions": """with m as (select mention_id, (seen_at at time zone 'UTC')::date as day from mention where seen_at is not null), l as (select max(day) as last from m)
+select distinct mention_id from m, l where day = last and mention_id not in (select mention_id from m, l where day < last)""",
         "identifier_extract": rf"""with {RAW}, said as (select evidence_id, regexp_replace(unnest(list_filter([url, tf_address, path, span_text], lambda x: x is not null)), '^\s+|\s+$', '', 'g') as t from raw),
 parts as (select *, regexp_extract(t, '(?i)(arn:aws:[^\s,;)''"]+)', 1) as arn, regexp_extract(t, '(?i)(https?://[^\s,;)''"]+)', 1) as url,
   regexp_replace(regexp_replace(regexp_extract(t, '(?i)(https?://[^\s,;)''"]+)', 1), '[.,;]+$', ''), '\.git$', '') as clean,

@@ -13,6 +13,7 @@ from attesta.plans import sql
 from attesta.plans.activity import STRETCHES
 from attesta.plans.catalogue import CANON, _edges
 from attesta.plans.claims import CATALOGUE_AT
+from attesta.session import settle
 from attesta.sources import projection
 from attesta.sources.tables import keyed, table
 from attesta.sources.vocabulary import IDENTIFYING, predicate_rows
@@ -105,7 +106,7 @@ def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_similar(spark: SparkSession, folder: str) -> DataFrame:
     """The five documents most alike in words to every document whose id is divisible by 20."""
-    vectors = similar.bags(table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")).persist()
+    vectors = settle(similar.bags(table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")))
     return similar.top_similar(vectors, vectors.where("id % 20 = 0")).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
