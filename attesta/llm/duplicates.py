@@ -150,7 +150,7 @@ def count_copies(keys: DataFrame, least: int = 1, capacity: int = 100_000) -> Da
     partials = (
         keys.where("canon is not null").select("canon", F.lit(1).cast("long").alias("n"), "first")
         .mapInArrow(count_locally(), "canon binary, n long, first string")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .transform(settle)
     )
     bucketed = radix_buckets(partials, capacity).select("bucket", "canon", "n", "first")
     return (
