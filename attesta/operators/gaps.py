@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.operators.graph import degree
+from attesta.session import settle
 from attesta.sources.vocabulary import predicate_rows
 
 # The base score of each kind of gap.
@@ -32,7 +33,7 @@ def gaps(entities: DataFrame, edges: DataFrame, proposals: DataFrame, identified
     rules are semi- and anti-joins on the ids that one pass over the edges lists by role.
     """
     live = entities.where("canonical_id = id").select("id", F.col("kind").alias("entity_kind"), F.col("display_name").alias("name"), "provisional")
-    known = live.join(degree(edges), "id", "left").withColumn("connectivity", F.coalesce("degree", F.lit(0))).drop("degree").persist()
+    known = settle(live.join(degree(edges), "id", "left").withColumn("connectivity", F.coalesce("degree", F.lit(0))).drop("degree"))
     roles = edges.select(F.col("subject").alias("id"), F.concat(F.lit("s:"), F.col("predicate")).alias("role")).union(
         edges.where("object is not null").select(F.col("object").alias("id"), F.concat(F.lit("o:"), F.col("predicate")).alias("role")))
     wanted = ["o:calls", "o:exposes_endpoint", "s:lives_in_repo", "s:connect_via", "s:provisioned_by", "s:note", *(f"s:{p}" for p in TECHNOLOGY)]

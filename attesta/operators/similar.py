@@ -86,7 +86,7 @@ def profiles(entities: DataFrame, edges: DataFrame, relations: int = 12) -> Data
 
     Relations are ranked before they are gathered, so a hub gathers no more than ``relations``.
     """
-    names = entities.select("id", "display_name", "kind").persist()
+    names = entities.select("id", "display_name", "kind")
     other = names.select(F.col("id").alias("other"), F.col("display_name").alias("other_name"))
     out = edges.select(F.col("subject").alias("id"), F.col("object").alias("other"), F.concat(F.regexp_replace("predicate", "_", " "), F.lit(" ")).alias("words"))
     back = edges.select(F.col("object").alias("id"), F.col("subject").alias("other"), F.concat(F.lit("is what "), F.regexp_replace("predicate", "_", " "), F.lit(" for ")).alias("words"))

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from attesta.functions import text
-from attesta.operators import gaps, resolve
+from attesta.operators import anchors, gaps, resolve
 
 ENTITY = "id string, canonical_id string, kind string, env string, display_name string, provisional boolean"
 
@@ -97,3 +97,14 @@ def test_different_routes(spark):
     candidates = spark.createDataFrame([(1, "b", "a", None), (2, "a", "c", None), (3, "a", "b", "merged"), (4, "a", "x", None)], "id long, subject string, object string, verdict string")
     signatures = spark.createDataFrame([("a", "/x", "GET"), ("b", "/y", "GET"), ("c", "/x", "GET")], "id string, path string, method string")
     assert [tuple(r) for r in resolve.different_routes(candidates, signatures).collect()] == [(1, "a", "b")]
+
+
+def test_anchors_rank_phrases_before_words(spark):
+    entities = spark.createDataFrame(
+        [("a", "a", "prod", "Notification List"), ("b", "b", None, "List"), ("c", "a", "prod", "list"), ("d", "d", "prod", "x y"), ("e", "e", "dev", "Notification List Service"), ("f", "f", None, None), ("g", "g", None, "?")], "id string, canonical_id string, env string, display_name string")
+    asked = spark.createDataFrame([(1, "Where is the notification list?"), (2, "a list of notifications"), (3, "y x"), (4, None), (5, "")], "question_id long, text string")
+    got = {}
+    for r in anchors.anchors(asked, entities).orderBy("rank").collect():
+        got.setdefault(r.question_id, []).append((r.id, round(r.score, 2)))
+    assert got == {1: [("a", 18.0), ("b", 4.0)], 2: [("a", 12.6), ("b", 4.0)]}
+    assert anchors.anchors(asked.where("false"), entities).count() == 0 and anchors.anchors(asked, entities.where("false")).count() == 0
