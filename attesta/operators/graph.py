@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,6 +69,18 @@ def canonical_map(entities: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"canonical pointers weren't settled after {rounds} rounds")
 
 
+def roots_at(entities: DataFrame, merges: DataFrame, barred: DataFrame, at: Column) -> DataFrame:
+    """(id, root) of every entity at an instant, by a log of merges that may have been taken back.
+
+    entities: id; merges: id, from_id, into_id, merged_at, reverted_at; barred: ids of merges
+    that are void. A merge holds from its moment until it is reverted; of several of one
+    entity the latest counts, then the larger id. What had followed a merge goes back with it.
+    """
+    held = merges.where((F.col("merged_at") <= at) & (F.col("reverted_at").isNull() | (F.col("reverted_at") > at)) & (F.col("from_id") != F.col("into_id"))).join(barred.select("id"), "id", "left_anti")
+    latest = held.groupBy("from_id").agg(F.max_by("into_id", F.struct("merged_at", "id")).alias("canonical_id")).withColumnRenamed("from_id", "id")
+    return canonical_map(entities.select("id").distinct().join(latest, "id", "left"))
+
+
 def canonical_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges between canonical entities; ends that aren't catalogued stay as they are."""
     ends = roots.select("id", "root")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import has_secret, norm_predicate, split_qualifiers
+from attesta.functions.text import has_secret, norm_name, norm_predicate, split_qualifiers
+from attesta.operators import resolve
+from attesta.session import settle
 from attesta.sources import vocabulary
 
 
@@ -61,3 +63,29 @@ def accepted(rows: DataFrame, literal: str) -> DataFrame:
 def unseen(batch: DataFrame, store: DataFrame, key: str) -> DataFrame:
     """Rows of a batch whose idempotency key isn't stored yet, one a key."""
     return batch.dropDuplicates([key]).join(store.select(key).distinct(), key, "left_anti")
+
+
+def batch(observations: DataFrame, entities: DataFrame, store: DataFrame | None = None) -> DataFrame:
+    """Observations taken in as one staged batch: refused, replayed, resolved, named and fingerprinted set by set.
+
+    observations: key, subject, predicate, object (names as written), polarity, method,
+    created_at; entities as for ``resolve.alias_matches``; store: key of what was taken in
+    before. Gives (key, error, fingerprint, subject_id, predicate, object_id, unmapped, minted,
+    polarity, method, created_at): rows with an error stop there, rows whose key is stored or
+    repeats are left out, names that no entity bears mint one id for each name, and predicates
+    that the vocabulary doesn't know stay as written. Null subjects, predicates and objects are errors.
+    """
+    rows = unseen(observations, store, "key") if store is not None else observations.dropDuplicates(["key"])
+    missing = F.when(F.col("subject").isNull() | F.col("predicate").isNull() | F.col("object").isNull(), "subject, predicate or object is missing")
+    checked = settle(accepted(rows, "object").withColumn("error", F.coalesce("error", missing)))
+    good = checked.where("error is null")
+    predicates = resolve_predicates(good.select(F.col("predicate").alias("raw"))).select(F.col("raw").alias("predicate"), F.col("predicate").alias("resolved"), "unmapped")
+    spelt = good.select(F.explode(F.array("subject", "object")).alias("raw")).distinct().select(F.xxhash64("raw").alias("mention_id"), "raw", *(F.lit(None).cast("string").alias(c) for c in ("kind", "env")))
+    known = resolve.alias_matches(spelt, entities).select("mention_id", "id")
+    fresh = F.concat(F.lit("new:"), F.sha2(norm_name(F.col("raw")), 256))
+    named = settle(spelt.join(known, "mention_id", "left").select("raw", F.coalesce("id", fresh).alias("id"), F.col("id").isNull().alias("minted")))
+    ends = {side: named.select(F.col("raw").alias(side), F.col("id").alias(f"{side}_id"), F.col("minted").alias(f"{side}_minted")) for side in ("subject", "object")}
+    joined = good.join(predicates, "predicate").join(ends["subject"], "subject").join(ends["object"], "object")
+    key = fingerprint(F.col("subject_id"), F.col("resolved"), F.col("object_id"), F.lit(None).cast("string"), F.lit(None).cast("map<string,string>"))
+    taken = joined.select("key", "error", key.alias("fingerprint"), "subject_id", F.col("resolved").alias("predicate"), "object_id", "unmapped", (F.col("subject_minted") | F.col("object_minted")).alias("minted"), "polarity", "method", "created_at")
+    return taken.unionByName(checked.where("error is not null").select("key", "error", "polarity", "method", "created_at"), allowMissingColumns=True)

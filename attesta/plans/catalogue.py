@@ -122,6 +122,16 @@ def fuzzy_proposals(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.proposals(minted(spark, folder), _entities(spark, folder)).select("entity_id", "id", F.round("score", 6).alias("score"))
 
 
+def merged_roots(spark: SparkSession, folder: str) -> DataFrame:
+    """Which entities the confirmed merges have led to another one by an instant, unless they are barred."""
+    rows = keyed(spark, folder, "merge_candidate", "id", "from_id", "into_id", "resolved_at", "resolution")
+    verdict = F.lower(F.regexp_replace("resolution", r"^\s+|\s+$", ""))
+    merges = rows.where(verdict == "merged").select("id", projection.entity_id(F.col("from_id")).alias("from_id"), projection.entity_id(F.col("into_id")).alias("into_id"), F.col("resolved_at").alias("merged_at"), F.lit(None).cast("timestamp").alias("reverted_at"))
+    asked = _proposals(spark, folder).withColumn("verdict", F.when(F.col("verdict") == "merged", F.lit(None).cast("string")).otherwise(F.col("verdict"))).where("verdict is null or verdict = 'distinct'")
+    barred = resolve.barred_merges(asked, _entities(spark, folder))
+    return graph.roots_at(_entities(spark, folder), merges.where("from_id is not null and into_id is not null"), barred, F.to_timestamp(F.lit("2030-01-01"))).where("id <> root")
+
+
 def graph_totals(spark: SparkSession, folder: str) -> DataFrame:
     """How many nodes and edges there are."""
     edges = _edges(spark, folder).agg(F.count(F.lit(1)).alias("edges"))
@@ -156,7 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             name_normalise, kind_families, alias_match, strong_match, minted, dice_candidates, duplicate_names, repair_merges, barred_merges, strong_id_coverage, gaps_all, gap_counts, gaps_askable, merge_review, auto_distinct, ranked_match, fuzzy_proposals,
-            graph_totals, latest_assertions,
+            merged_roots, graph_totals, latest_assertions,
         )
     }
 

@@ -139,6 +139,15 @@ def text_statements(spark: SparkSession, folder: str) -> DataFrame:
     return statements.statements(texts).distinct()
 
 
+def ingested_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents' claims taken in as one batch: for each predicate the assertions, different claims, those that mint an entity, and refusals."""
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "written_at")
+    said = statements.statements(texts).join(texts.select("id", "written_at"), "id")
+    rows = said.select(F.sha2(F.concat_ws("|", "id", "subject", "predicate", "object", "polarity"), 256).alias("key"), "subject", "predicate", "object", "polarity", F.lit("human").alias("method"), F.col("written_at").alias("created_at"))
+    taken = ingest.batch(rows, keyed(spark, folder, "entity", "id", "canonical_id", "kind", "env", "display_name"))
+    return taken.groupBy("predicate").agg(F.count("fingerprint").alias("assertions"), F.count_distinct("fingerprint").alias("claims"), F.count_if("minted").alias("minting"), F.count("error").alias("refused"))
+
+
 def predicate_resolve(spark: SparkSession, folder: str) -> DataFrame:
     """Every word of the documents as a raw predicate, on the vocabulary where it is known."""
     words = table(spark, folder, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}_]+")).alias("raw")).where("raw <> ''")
@@ -199,7 +208,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             span_digest, span_check, healed_lines, anchor_states, reverification_queue, secret_scan, accepted_literals, url_redaction, scip_parse, identifier_extract, source_exports, source_imports, source_components, source_facts, unparsed_clauses,
-            front_matter, context_paths, freshness_commits, citation_counts, text_statements, predicate_resolve, word_stems, yes_no, source_languages, question_intents, named_in_mentions, question_anchors, new_mentions,
+            front_matter, context_paths, freshness_commits, citation_counts, text_statements, ingested_statements, predicate_resolve, word_stems, yes_no, source_languages, question_intents, named_in_mentions, question_anchors, new_mentions,
         )
     }
 
@@ -249,6 +258,18 @@ def oracle_sql() -> dict[str, str]:
     def case(column: str, patterns: tuple, other: str) -> str:
         return "case " + " ".join(f"when regexp_matches({column}, '{p}') then '{name}'" for p, name in patterns) + f" else {other} end"
 
+    def kept(pattern: str, forms: tuple[str, ...]) -> str:
+        value = f"regexp_extract(t, {quote(pattern)})"
+        for form in forms:
+            was, by = text.FORMS[form]
+            value = f"lower({value})" if form == "lower" else f"regexp_replace({value}, {quote(was)}, {quote(by.replace('$', chr(92)))})"
+        return f"regexp_replace(regexp_replace({value}, '[.,;]+$', ''), '{chr(92)}.git$', '')" if "repository" in forms else value
+
+    def quote(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    identified = "case " + " ".join(f"when regexp_matches(t, {quote(p)}) then {{'authority': '{a}', 'value': {kept(p, f)}}}" for a, p, f in text.IDENTIFIERS) + " end"
+
     def stem(c: str) -> str:
         y = f"regexp_replace({c}, 'ies$', 'y')"
         return f"case when length({y}) > 2 and {y} like '%s' then left({y}, length({y}) - 1) else {y} end"
@@ -305,12 +326,5 @@ select question_id, id, score, row_number() over (partition by question_id order
         "new_mentions": """with m as (select mention_id, (seen_at at time zone 'UTC')::date as day from mention where seen_at is not null), l as (select max(day) as last from m)
 select distinct mention_id from m, l where day = last and mention_id not in (select mention_id from m, l where day < last)""",
         "identifier_extract": rf"""with {RAW}, said as (select evidence_id, regexp_replace(unnest(list_filter([url, tf_address, path, span_text], lambda x: x is not null)), '^\s+|\s+$', '', 'g') as t from raw),
-parts as (select *, regexp_extract(t, '(?i)(arn:aws:[^\s,;)''"]+)', 1) as arn, regexp_extract(t, '(?i)(https?://[^\s,;)''"]+)', 1) as url,
-  regexp_replace(regexp_replace(regexp_extract(t, '(?i)(https?://[^\s,;)''"]+)', 1), '[.,;]+$', ''), '\.git$', '') as clean,
-  regexp_extract(t, '(?i)\b((?:module|resource)\.[\w.\-\[\]"]+)', 1) as tf, regexp_extract(t, '(?i)\b((?:github|gitlab|bitbucket)\.[a-z.]+/[\w.\-]+/[\w.\-]+)', 1) as bare from said),
-found as (select *, lower(regexp_extract(clean, '(?i)^https?://([^/]+/[^/]+/[^/?#]+)', 1)) as repo from parts)
-select distinct evidence_id,
-  case when arn <> '' then 'arn' when repo <> '' and regexp_matches(clean, '(?i)github|gitlab|bitbucket|git\.') then 'git_remote' when url <> '' then 'url' when tf <> '' then 'tf_address' when bare <> '' then 'git_remote' when regexp_matches(t, '^\d+$') then 'gitlab_project' else 'git_remote' end as authority,
-  case when arn <> '' then arn when repo <> '' and regexp_matches(clean, '(?i)github|gitlab|bitbucket|git\.') then repo when url <> '' then clean when tf <> '' then tf when bare <> '' then regexp_replace(lower(bare), '\.git$', '') when regexp_matches(t, '^\d+$') then t else lower(t) end as value
-from found where arn <> '' or url <> '' or tf <> '' or bare <> '' or regexp_matches(t, '^\d+$') or regexp_matches(t, '^[\w@/.\-]+$') and contains(t, '/')""",
+found as (select evidence_id, {identified} as i from said) select distinct evidence_id, i.authority as authority, i.value as value from found where i is not null""",
     }

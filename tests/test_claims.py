@@ -148,3 +148,39 @@ def test_most_valuable_kind_ranks_first(spark):
     kinds = spark.createDataFrame([("a", "service"), ("r", "repo"), ("d", "datastore")], "id string, kind string")
     ranked = graph.ranked_paths(graph.best_kind(paths, kinds)).orderBy("rank").collect()
     assert [(r.path[-1], r.best_kind, r.trust) for r in ranked] == [("d", "datastore", 0.3), ("r", "repo", 0.9)]
+
+
+def test_merges_can_be_taken_back(spark):
+    entities = spark.createDataFrame([(c,) for c in "abcdxyz"], "id string")
+    merges = [(1, "a", "b", day(1), None), (2, "b", "c", day(2), day(5)), (3, "d", "c", day(3), None), (4, "a", "d", day(4), None), (5, "x", "y", day(1), None), (6, "y", "z", day(1), None), (7, "z", "x", day(1), None), (8, "c", "a", day(1), None)]
+    log = spark.createDataFrame(merges, "id long, from_id string, into_id string, merged_at timestamp, reverted_at timestamp")
+    barred = spark.createDataFrame([(8,)], "id long")
+
+    def roots(n):
+        return {r.id: r.root for r in graph.roots_at(entities, log, barred, F.lit(day(n))).collect()}
+
+    assert roots(1) == {"a": "b", "b": "b", "c": "c", "d": "d", "x": "x", "y": "x", "z": "x"}
+    assert roots(3) == {"a": "c", "b": "c", "c": "c", "d": "c", "x": "x", "y": "x", "z": "x"}
+    assert roots(6) == {"a": "c", "b": "b", "c": "c", "d": "c", "x": "x", "y": "x", "z": "x"}
+
+
+@pytest.mark.parametrize("tail", [0, 1, 7])
+def test_pointers_in_cycles_and_long_chains(spark, tail):
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(100)] + [("c100", "c100"), ("n", None), ("o", "elsewhere"), (None, "n")]
+    ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [(f"t{i}", f"t{i + 1}" if i + 1 < tail else "r3") for i in range(tail)]
+    got = {r.id: r.root for r in graph.canonical_map(spark.createDataFrame(chain + ring, "id string, canonical_id string")).collect()}
+    assert got == {f"c{i:03}": "c100" for i in range(101)} | {"n": "n", "o": "elsewhere"} | {f"r{i}": "r0" for i in range(5)} | {f"t{i}": "r0" for i in range(tail)}
+
+
+def test_a_walk_by_the_best_paths_finds_the_best_of_all(spark):
+    import random
+
+    rnd = random.Random(7)
+    nodes = [f"n{i}" for i in range(14)]
+    rows = [(f"{a}|calls|{b}", a, "calls", b, None, round(rnd.random(), 3)) for a in nodes for b in nodes if a != b and rnd.random() < 0.3]
+    df = spark.createDataFrame(rows, "proposition_id string, subject string, predicate string, object string, object_literal string, trust double")
+    starts = spark.createDataFrame([(n,) for n in nodes[:3]], "id string")
+    every = graph.walk(df, starts, ("calls",), depth=4)
+    pruned = graph.walk(df, starts, ("calls",), depth=4, best=6)
+    want, got = ([tuple(map(str, r)) for r in graph.first_paths(p, 6).select("start", "path", "depth").orderBy("start", "path").collect()] for p in (every, pruned))
+    assert got == want and pruned.count() < every.count()

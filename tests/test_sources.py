@@ -217,3 +217,15 @@ def test_technologies_languages_and_scanned_files(spark):
 def test_word_bags(spark):
     got = {r.id: r.embedding for r in similar.bags(spark.createDataFrame([(1, "B a A"), (2, None), (3, "!"), (4, "a b a")], "id long, text string")).collect()}
     assert set(got) == {1, 4} and got[1] == got[4] and sum(got[1]) == 3
+
+
+def test_a_batch_is_taken_in_once(spark):
+    entities = spark.createDataFrame([("e1", "e1", "service", None, "Web App"), ("e2", "e2", "datastore", None, "Orders")], "id string, canonical_id string, kind string, env string, display_name string")
+    rows = [("k1", "web app", "queries", "orders", True), ("k1", "web app", "queries", "orders", True), ("k2", "Web_App", "reads from", "ORDERS", True), ("k3", "web app", "frobs", "Nobody Known", False), ("k4", "nobody known", "calls", "password = hunter2", True), ("k5", None, "calls", "x", True), ("k0", "web app", "calls", "orders", True)]
+    df = spark.createDataFrame(rows, "key string, subject string, predicate string, object string, polarity boolean").withColumn("method", F.lit("human")).withColumn("created_at", F.current_timestamp())
+    got = {r.key: r for r in ingest.batch(df, entities, spark.createDataFrame([("k0",)], "key string")).collect()}
+    assert set(got) == {"k1", "k2", "k3", "k4", "k5"}
+    assert got["k1"].fingerprint == got["k2"].fingerprint and (got["k1"].subject_id, got["k1"].predicate, got["k1"].object_id, got["k1"].minted, got["k1"].unmapped) == ("e1", "reads_from", "e2", False, False)
+    assert got["k3"].unmapped and got["k3"].minted and got["k3"].object_id.startswith("new:") and not got["k3"].polarity
+    assert "credential" in got["k4"].error and "missing" in got["k5"].error and got["k4"].fingerprint is None
+    assert ingest.batch(df.where("false"), entities).count() == 0
