@@ -27,6 +27,8 @@ from attesta.session import settle, spread
 BLOCK = 1 << 20
 #: Pairs of places that are held at once when the q-grams of two texts meet.
 EXPANDED = 1 << 22
+#: How many of its chosen q-grams a pair must share to be looked at; the more, the more are chosen.
+NEED = 40
 MIX = np.uint64(0x9E3779B97F4A7C15)
 END, SPACE = 1, 32
 
@@ -89,8 +91,8 @@ def crowded(at: np.ndarray, least: int, span: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def rarest(frequency: np.ndarray, width: int, least: int) -> np.ndarray:
-    """Places of an item of which any ``least`` of each window of ``width`` include one: the window's rarest."""
+def rarest(frequency: np.ndarray, width: int, least: int, need: int = 1) -> np.ndarray:
+    """Places of an item of which any ``least`` of each window of ``width`` include ``need``: the window's rarest."""
     n = len(frequency)
     if n < least:
         return np.empty(0, np.int64)
@@ -99,7 +101,8 @@ def rarest(frequency: np.ndarray, width: int, least: int) -> np.ndarray:
     rank = np.lexsort((np.arange(n), frequency)).argsort()
     for begin in range(0, n - width + 1, 1 << 14):
         view = np.lib.stride_tricks.sliding_window_view(rank[begin : begin + (1 << 14) + width - 1], width)
-        part = np.argpartition(view, width - least, axis=1)[:, : width - least + 1] if width > least else view.argmin(axis=1)[:, None]
+        many = width - least + need
+        part = np.argpartition(view, many - 1, axis=1)[:, :many]
         chosen[(part + np.arange(begin, begin + len(view))[:, None]).ravel()] = True
     return np.flatnonzero(chosen)
 
@@ -243,20 +246,21 @@ def _grams(q: int):
     return run
 
 
-def _chosen(width: int, least: int, q: int, words: int):
-    """(item_id, text, its q-grams with their frequencies) to (item_id, key) of the rarest q-grams of each window."""
+def _chosen(width: int, least: int, need: int, q: int, words: int):
+    """(item_id, text, its q-grams with their frequencies) to (item_id, key, places) of the rarest q-grams of each window, and how often each was chosen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], [np.empty(0, np.int64)]
+            ids, keys, often = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for item, text, rows in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 rows = sorted((r["at"], r["key"], r["n"]) for r in rows)
                 frequency = np.array([r[2] for r in rows])
-                places = rarest_of_runs(frequency, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), words, q) if words else rarest(frequency, width, least)
-                found = np.unique(np.array([r[1] for r in rows], np.int64)[places])
+                places = rarest_of_runs(frequency, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), words, q) if words else rarest(frequency, width, least, need)
+                found, times = np.unique(np.array([r[1] for r in rows], np.int64)[places], return_counts=True)
                 ids += [item] * len(found)
                 keys.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys))], ["item_id", "key"])
+                often.append(times)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys)), pa.array(np.concatenate(often))], ["item_id", "key", "places"])
 
     return run
 
@@ -329,18 +333,19 @@ def leaks(documents: DataFrame, items: DataFrame, length: int, budget: int, q: i
     is sent to the tasks are two filters of fixed size.
     """
     least = length - q + 1 - q * budget
+    need = 1 if words else min(NEED, least)  # of so many of the rarest a shared window holds this many
     known = settle(items.where("text is not null and item_id is not null").select("item_id", "text").transform(spread).mapInArrow(_grams(q), "item_id long, words string, grams array<long>"))
     grams = known.select("item_id", F.posexplode("grams").alias("at", "key"))
     often = grams.groupBy("key").agg(F.count_distinct("item_id").alias("n"))
     chosen = settle(
         grams.join(often, "key").groupBy("item_id").agg(F.collect_list(F.struct("at", "key", "n")).alias("rows"))
         .join(known.select("item_id", "words"), "item_id").select("item_id", "words", "rows")
-        .mapInArrow(_chosen(length - q + 1 + budget, least, q, words), "item_id long, key long")
+        .mapInArrow(_chosen(length - q + 1 + budget, least, need, q, words), "item_id long, key long, places long")
     )
     corpus = documents.where("text is not null and doc_id is not null").select("doc_id", "text").where(F.length("text") >= length - 2)
     scan = stretches(key_filter(often), key_filter(chosen.select("key").distinct()), length, budget, q)
     found = settle(corpus.mapInArrow(scan, "doc_id long, place long, words string, keys array<long>"))
-    pairs = found.select("doc_id", "place", F.explode("keys").alias("key")).join(chosen, "key").select("doc_id", "place", "item_id").distinct()
+    pairs = found.select("doc_id", "place", F.explode("keys").alias("key")).join(chosen, "key").groupBy("doc_id", "place", "item_id").agg(F.sum("places").alias("met")).where(F.col("met") >= need)
     whole = pairs.join(found.select("doc_id", "place", "words"), ["doc_id", "place"]).join(known.select("item_id", F.col("words").alias("item")), "item_id")
     checked = whole.select("doc_id", "words", "item_id", "item").transform(spread).mapInArrow(_verified(length, budget, q, words), "doc_id long, item_id long, chars long, edits long")
     return checked.groupBy("doc_id", "item_id").agg(F.max("chars").alias("chars"), F.min("edits").alias("edits"))

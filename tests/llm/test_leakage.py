@@ -156,12 +156,12 @@ def test_words_only(texts):
 
 def test_some_of_each_window_is_chosen():
     rnd = random.Random(1)
-    for n, width, least in ((50, 10, 10), (50, 12, 7), (9, 12, 7), (6, 12, 7)):
+    for n, width, least, need in ((50, 10, 10, 1), (50, 12, 7, 1), (9, 12, 7, 3), (6, 12, 7, 1), (50, 12, 7, 7), (50, 12, 7, 4)):
         frequency = np.array([rnd.randint(1, 4) for _ in range(n)])
-        chosen = set(L.rarest(frequency, width, least).tolist())
+        chosen = set(L.rarest(frequency, width, least, need).tolist())
         for begin in range(max(1, n - width + 1)):
             window = range(begin, min(n, begin + width))
-            assert len(window) < least or sum(1 for p in window if p not in chosen) < least
+            assert len(window) < least or sum(1 for p in window if p not in chosen) <= least - need
 
 
 def test_no_items(spark):
