@@ -218,6 +218,9 @@ def verified(doc: np.ndarray, item: np.ndarray, length: int, budget: int, q: int
         for low, first, last in retained(pos, pos - place, length, budget, q):
             for begin in range(max(0, first), min(last, len(accepted) - 1) + 1, 4096):
                 starts = np.arange(begin, min(begin + 4096, last + 1, len(accepted)))
+                for d in range(low, low + 2 * budget):  # equal stretches need no alignment
+                    starts = starts[accepted[starts] > 0]
+                    accepted[starts[banded_alignment(doc, item, starts, length, d, d) == 0]] = 0
                 starts = starts[accepted[starts] > 0] if not words else starts
                 if not len(starts):
                     continue
