@@ -123,12 +123,13 @@ def walk(edges: DataFrame, starts: DataFrame, forward: tuple[str, ...], reverse:
 
     (start, node, depth, path, props, trust): trust is the product along the path. Each step
     is an equi-join on the frontier's nodes, so any number of starts is walked at once. With
-    ``best`` only each start's so many most trusted paths of a length go on (ties to the
-    smaller path): as no step raises trust, whatever they would lead to couldn't be among
-    the ``best`` of ``top_paths`` either, so hubs fan out no further than what can count.
-    Without it all paths are found, and hubs multiply.
+    ``best`` each start's so many most trusted paths are found (``first_paths``), and hubs fan
+    out no further than what can count. Without it all paths are found, and hubs multiply.
     """
-    steps = settle(hops(edges, forward, reverse, min_trust))
+    steps = hops(edges, forward, reverse, min_trust)
+    if best:
+        return _best_walk(steps, starts, depth, min_trust, best)
+    steps = settle(steps)
     frontier = starts.select(
         F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("path"), F.array().cast("array<string>").alias("props"), F.lit(1.0).alias("trust"), F.lit(None).cast("string").alias("last")
     )
@@ -140,18 +141,83 @@ def walk(edges: DataFrame, starts: DataFrame, forward: tuple[str, ...], reverse:
             "a.start", F.col("b.dst").alias("node"), (F.col("a.depth") + 1).alias("depth"), F.array_append("a.path", F.col("b.dst")).alias("path"),
             F.array_append("a.props", F.col("b.proposition_id")).alias("props"), (F.col("a.trust") * F.col("b.trust")).alias("trust"), F.col("b.proposition_id").alias("last"),
         )
-        if best:
-            frontier = settle(first_paths(frontier, best))
-            if frontier.isEmpty():
-                break
         found = frontier if found is None else found.unionByName(frontier)
     return (frontier if found is None else found).drop("last")
 
 
+def _step_lists(steps: DataFrame, depth: int, min_trust: float, best: int) -> DataFrame:
+    """(src, via, steps): the steps from a node that can be among the ``best`` that continue a path, as one list.
+
+    A path of at most ``depth`` nodes bars as many targets, so of a node's targets the first
+    best + depth by trust leave enough; a target behind them counts only if its trust is so near that
+    rounding the product with the least trust of a path makes it equal, and of equal ones the
+    smaller target comes first. All claims between two nodes stay together.
+    """
+    enough = best + depth
+    near = 1.001e-9 / min_trust ** (depth - 1) if min_trust > 0 else float("inf")
+    node = ["src", "via"]
+    top = steps.repartition("src").withColumn("top", F.max("trust").over(W.partitionBy(*node, "dst")))
+    alike = top.withColumn("nth", F.dense_rank().over(W.partitionBy(*node, "top").orderBy("dst"))).where(F.col("nth") <= enough)
+    if near < 1:
+        ranked = alike.withColumn("nth", F.dense_rank().over(W.partitionBy(*node).orderBy(F.desc("top"), "dst")))
+        last = F.coalesce(F.max(F.when(F.col("nth") == enough, F.col("top"))).over(W.partitionBy(*node)), F.lit(0.0))
+        alike = ranked.withColumn("least", last - F.lit(near)).where(F.col("top") >= F.col("least"))
+    return alike.groupBy(*node).agg(F.collect_list(F.struct("trust", "dst", F.col("proposition_id").alias("prop"))).alias("steps"))
+
+
+def _best_walk(steps: DataFrame, starts: DataFrame, depth: int, min_trust: float, best: int) -> DataFrame:
+    """Each start's ``best`` most trusted paths, ties as in ``first_paths``.
+
+    Where no step raises trust a path is worse than all its beginnings, so only what is among
+    a start's best of all lengths so far goes on: the nth of them by its best - n best steps,
+    and by none that is worse than the last of ``best``. Where a step's trust is over 1, the best of each length go on.
+    """
+    seen = Observation()
+    lists = settle(_step_lists(steps, depth, min_trust, best).observe(seen, F.max(F.array_max(F.transform("steps", lambda s: s["trust"]))).alias("trust"), F.count_if(F.col("via").isNotNull()).alias("hung")), tidy=True)
+    falling, hung = (seen.get["trust"] or 0.0) <= 1.0, seen.get["hung"]
+    free, after = (lists.where(F.col("via").isNull() == nothing).select(F.col("src").alias("node"), F.col("via").alias("last"), "steps") for nothing in (True, False))
+    group = ["start"] if falling else ["start", "depth"]
+    own = ["start", "node", "depth", "path", "props", "trust", "last"]
+    state = starts.select(
+        F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("path"), F.array().cast("array<string>").alias("props"), F.lit(1.0).alias("trust"), F.lit(None).cast("string").alias("last"),
+        F.lit(0).alias("nth"), F.lit(None).cast("double").alias("least"),
+    )
+    for n in range(depth):
+        ahead = state.where(F.col("depth") == n).join(free.drop("last"), "node", "left")
+        if hung:
+            ahead = ahead.join(after.withColumnRenamed("steps", "more"), ["node", "last"], "left").withColumn("steps", F.when(F.col("more").isNull(), F.col("steps")).otherwise(F.concat(F.coalesce("steps", F.slice("more", 1, 0)), "more")))
+        left = F.greatest(F.lit(best) - F.col("nth"), F.lit(0)) if falling else F.lit(best)
+        product = lambda s: F.round(F.col("trust") * s["trust"], 9)
+        able = F.filter("steps", lambda s: ~F.array_contains("path", s["dst"]) & (F.col("least").isNull() | (product(s) >= F.col("least"))))
+        ordered = F.array_sort(F.transform(able, lambda s: F.struct((-product(s)).alias("down"), s["dst"].alias("dst"), s["prop"].alias("prop"), s["trust"].alias("trust"))))
+        ahead = ahead.select(*own, F.slice(ordered, 1, left).alias("steps"))
+        if n:
+            ahead = ahead.unionByName(state.where(F.col("depth") < n).select(*own), allowMissingColumns=True)
+        itself = F.array(F.lit(None).cast(ahead.schema["steps"].dataType.elementType))
+        one = ahead.repartition("start").select(*own, F.explode(F.coalesce(F.concat(itself, "steps"), itself)).alias("s"))
+        on = F.col("s").isNotNull()
+        paths = one.select(
+            "start", F.coalesce("s.dst", "node").alias("node"), F.when(on, n + 1).otherwise(F.col("depth")).alias("depth"), F.when(on, F.array_append("path", F.col("s.dst"))).otherwise(F.col("path")).alias("path"),
+            F.when(on, F.array_append("props", F.col("s.prop"))).otherwise(F.col("props")).alias("props"), F.when(on, F.col("trust") * F.col("s.trust")).otherwise(F.col("trust")).alias("trust"), F.coalesce("s.prop", "last").alias("last"),
+        ).where("depth > 0")
+        kept = paths.withColumn("nth", F.row_number().over(W.partitionBy(*group).orderBy(*_trusted()))).where(F.col("nth") <= best)
+        least = F.max(F.when(F.col("nth") == best, F.round("trust", 9))).over(W.partitionBy(*group)) if falling else F.lit(None).cast("double")
+        before, state = state, settle(kept.withColumn("least", least), tidy=True)
+        if n:
+            forget(before)
+        if n + 1 == depth or state.where(F.col("depth") == n + 1).join(lists.select(F.col("src").alias("node")), "node", "left_semi").isEmpty():
+            break
+    return (state if falling else first_paths(state.drop("nth"), best)).select("start", "node", "depth", "path", "props", "trust")
+
+
+def _trusted() -> list[Column]:
+    """The order of paths: the most trusted first; ties go to the smaller path string, then to the smaller claims."""
+    return [F.desc(F.round("trust", 9)), F.concat_ws(">", "path"), F.concat_ws(">", "props")]
+
+
 def first_paths(paths: DataFrame, limit: int) -> DataFrame:
     """Each start's most trusted paths; ties go to the smaller path string, then to the smaller claims."""
-    order = W.partitionBy("start").orderBy(F.desc(F.round("trust", 9)), F.concat_ws(">", "path"), F.concat_ws(">", "props"))
-    return paths.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).drop("nth")
+    return paths.withColumn("nth", F.row_number().over(W.partitionBy("start").orderBy(*_trusted()))).where(F.col("nth") <= limit).drop("nth")
 
 
 def top_paths(paths: DataFrame, limit: int = 500) -> DataFrame:

@@ -50,6 +50,12 @@ def edges_at(assertions: DataFrame, at: str | Column) -> DataFrame:
     return grouped.where("support is not null").select("proposition_id", "subject", "predicate", "object", "object_literal", trust.alias("trust"), "support_count", "refute_count", "methods")
 
 
+def single_edges_at(assertions: DataFrame, at: str | Column) -> DataFrame:
+    """(proposition_id, subject, predicate, object, object_literal, trust) as ``edges_at`` gives them, for claims of which each is one assertion: nothing is gathered."""
+    alone = live(assertions, at).where(F.col("polarity") & F.col("weight").isNotNull())
+    return alone.select("proposition_id", "subject", "predicate", "object", "object_literal", F.greatest(F.lit(0.0), F.col("weight")).alias("trust"))
+
+
 def asof_series(assertions: DataFrame, instants: list[str]) -> DataFrame:
     """Edges, refuted edges and mean trust at each of several instants, in one pass over the claims."""
     moments = F.explode(F.array(*[F.to_timestamp(F.lit(t)) for t in instants]))

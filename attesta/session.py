@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which a query's shuffles are deleted at its end instead of when the driver collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of tables written by ``settle`` that are still there.
 _written: list[str] = []
 
@@ -44,10 +46,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again, which cuts its lineage."""
-    folder = f"{shared_folder(df.sparkSession)}/attesta-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+def settle(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again, which cuts its lineage.
+
+    With ``tidy`` the shuffles that the writing needed leave the disk as soon as the table is there.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/attesta-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true" if tidy else before)
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     _written.append(folder)
     settled = df.sparkSession.read.schema(df.schema).parquet(folder)
     settled._folder = folder

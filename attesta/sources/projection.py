@@ -45,14 +45,18 @@ def ownership_claims(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def supply_claims(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers call suppliers, suppliers read from parts, parts belong to brands, all live in nations."""
+def supply_claims(spark: SparkSession, folder: str, once: bool = False) -> DataFrame:
+    """Customers call suppliers, suppliers read from parts, parts belong to brands, all live in nations.
+
+    With ``once`` a claim that several rows of a table make is one assertion.
+    """
     line = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_shipdate")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     code, start = F.lit("code_derived"), F.to_timestamp(F.lit("1992-01-01 00:00:00"))
     calls = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.min("l_shipdate").alias("first"))
     reads = line.groupBy("l_suppkey", "l_partkey").agg(F.min("l_shipdate").alias("first"))
-    part, supplier, customer, nation = (table(spark, folder, t) for t in ("part", "supplier", "customer", "nation"))
+    ends = {"part": ("p_partkey", "p_brand"), "supplier": ("s_suppkey", "s_nationkey"), "customer": ("c_custkey", "c_nationkey"), "nation": ("n_nationkey", "n_regionkey")}
+    part, supplier, customer, nation = (table(spark, folder, t).select(*columns).distinct() if once else table(spark, folder, t) for t, columns in ends.items())
     parts = [
         claims(calls, subject=_id("cust", "o_custkey"), predicate=F.lit("calls"), object=_id("supp", "l_suppkey"), method=code, created_at=F.col("first").cast("timestamp")),
         claims(reads, subject=_id("supp", "l_suppkey"), predicate=F.lit("reads_from"), object=_id("part", "l_partkey"), method=code, created_at=F.col("first").cast("timestamp")),

@@ -184,3 +184,58 @@ def test_a_walk_by_the_best_paths_finds_the_best_of_all(spark):
     pruned = graph.walk(df, starts, ("calls",), depth=4, best=6)
     want, got = ([tuple(map(str, r)) for r in graph.first_paths(p, 6).select("start", "path", "depth").orderBy("start", "path").collect()] for p in (every, pruned))
     assert got == want and pruned.count() < every.count()
+
+
+def _best(paths, n):
+    rows = sorted(((r.start, -round(r.trust, 9), ">".join(r.path), ">".join(r.props)) for r in paths.collect()))
+    nth = {}
+    return [r for r in rows if nth.setdefault(r[0], []).append(r) or len(nth[r[0]]) <= n]
+
+
+@pytest.mark.parametrize("most", [1.0, 1.14])
+def test_a_walk_by_the_best_paths_keeps_equal_and_nearly_equal_steps_apart(spark, most):
+    import random
+
+    rnd = random.Random(11)
+    nodes = [f"n{i}" for i in range(12)]
+    worth = [most, 0.6, 0.6 - 1e-10, 0.6 - 4e-10, 0.3]
+    rows = [(f"{a}|{p}|{b}", a, p, b, None, rnd.choice(worth)) for a in nodes for b in nodes for p in ("calls", "reads_from") if a != b and rnd.random() < 0.25]
+    df = spark.createDataFrame(rows, "proposition_id string, subject string, predicate string, object string, object_literal string, trust double")
+    starts = spark.createDataFrame([(n,) for n in [*nodes[:3], "alone"]], "id string")
+    every = graph.walk(df, starts, ("calls", "reads_from"), depth=3)
+    assert _best(graph.first_paths(graph.walk(df, starts, ("calls", "reads_from"), depth=3, best=4), 4), 4) == (_best(every, 4) if most == 1.0 else _best_by_length(every, 4))
+
+
+def _best_by_length(paths, n):
+    """As ``_best``, but only what continues one of the best of each length counts."""
+    rows = sorted(((r.start, -round(r.trust, 9), ">".join(r.path), ">".join(r.props)) for r in paths.collect()))
+    alive, kept = {(s,) for s, *_ in rows}, []
+    for depth in range(1, 4):
+        fit = [r for r in rows if r[2].count(">") == depth and (depth == 1 or (r[0], r[2].rsplit(">", 1)[0], r[3].rsplit(">", 1)[0]) in alive)]
+        best = [r for i, r in enumerate(fit) if sum(x[0] == r[0] for x in fit[:i]) < n]
+        alive, kept = {(r[0], r[2], r[3]) for r in best}, kept + best
+    kept.sort()
+    return [r for i, r in enumerate(kept) if sum(x[0] == r[0] for x in kept[:i]) < n]
+
+
+def test_a_walk_writes_no_more_paths_than_a_start_can_show(spark, monkeypatch):
+    hub = [(f"h|calls|t{i:03}", "h", "calls", f"t{i:03}", None, 0.9) for i in range(300)]
+    into = [(f"s{i}|calls|h", f"s{i}", "calls", "h", None, 0.8) for i in range(30)]
+    df = spark.createDataFrame(into + hub, "proposition_id string, subject string, predicate string, object string, object_literal string, trust double")
+    written, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda d, *a, **k: written.append(settle(d, *a, **k)) or written[-1])
+    paths = graph.walk(df, spark.createDataFrame([(f"s{i}",) for i in range(30)], "id string"), ("calls",), depth=2, best=8)
+    assert paths.count() == 240 and {tuple(r.path[1:]) for r in paths.where("start = 's0'").collect()} == {("h",), *(("h", f"t{i:03}") for i in range(7))}
+    lists = written[0].selectExpr("src", "size(steps) as n").collect()
+    assert {r.src: r.n for r in lists}["h"] == 10  # of 300: best + depth
+
+
+def test_claims_of_one_assertion_are_edges_without_gathering(spark):
+    from attesta.operators import temporal
+
+    shape = "proposition_id string, subject string, predicate string, object string, object_literal string, polarity boolean, method string, confidence double, created_at timestamp"
+    rows = [("a|calls|b", "a", "calls", "b", None, True, "code_derived", None, day(1)), ("a|calls|c", "a", "calls", "c", None, False, "human", None, day(1)), ("a|calls|d", "a", "calls", "d", None, True, "human", 0.5, day(9))]
+    df = spark.createDataFrame(rows, shape)
+    columns = ["proposition_id", "subject", "predicate", "object", "object_literal", "trust"]
+    single = temporal.single_edges_at(df, F.lit(day(4)))
+    assert single.collect() == temporal.edges_at(df, F.lit(day(4))).select(*columns).collect() and "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
