@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+import math
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.functions.text import bigrams, environment, kind_family, norm_name
-from attesta.session import settle, spread
+from attesta.functions.text import environment, kind_family, norm_name
+from attesta.session import settle, shuffle_partitions
 
 THRESHOLD = 0.7
 
@@ -49,42 +49,79 @@ def alias_matches(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return pairs.where(fits & family).withColumn("nth", F.row_number().over(best)).where("nth = 1").select("mention_id", "id", F.lit("alias").alias("rung"))
 
 
-def _gram_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each name's keys: all triples of its first bigrams, for a short name also single ones."""
-    for batch in batches:
-        rows, keys = [], []
-        for i, (grams, short) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
-            own = ["".join(t) for t in combinations(grams, 3)] + (grams if short else [])
-            rows += [i] * len(own)
-            keys += own
-        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, pa.int32())) for k in range(4)), pa.array(keys, pa.string())], ["grp", "side", "name_norm", "n", "key"])
+#: Names that a task holds of either side, about.
+BLOCK = 10000
+
+
+def _alike(names: pa.Table, threshold: float) -> pa.Table:
+    """(grp, name_a, name_b, shared, total) of one pair of blocks; names: grp, i, j, probe, name_norm, ordered.
+
+    Of a name's n bigrams a partner at the threshold t shares at least o = t * n / (2 - t). So
+    three of them (or o, if that is less) are among any n - o + 3, and only what shares these
+    of the rarest is looked at in full.
+    """
+    rows = list(zip(names["probe"].to_pylist(), names["name_norm"].to_pylist()))
+    grams = {name: {name[k : k + 2] for k in range(len(name) - 1)} for _, name in rows}
+    held, asked = ([name for probe, name in rows if probe == side and grams[name]] for side in (False, True))
+    found: list[tuple[str, str, int, int]] = []
+    if held and asked:
+        ids: dict[str, int] = {}
+        lists = [np.array([ids.setdefault(g, len(ids)) for g in grams[name]], np.int32) for name in held]
+        sizes = np.array([len(x) for x in lists])
+        every, owner = np.concatenate(lists), np.repeat(np.arange(len(held)), sizes)
+        df = np.bincount(every, minlength=len(ids))
+        holders = np.split(owner[np.argsort(every, kind="stable")], np.cumsum(df)[:-1])
+        marks = np.zeros((len(held), len(ids)), bool)
+        marks[owner, every] = True
+        ordered, low = names["ordered"][0].as_py(), threshold - 1e-6
+        for name in asked:
+            n = len(grams[name])
+            least = max(1, math.ceil(low * n / (2 - low)))
+            common = min(3, least)
+            known = sorted((ids[g] for g in grams[name] if g in ids), key=df.__getitem__)
+            first = max(0, n - least + common - (n - len(known)))  # bigrams that no held name has are the rarest
+            if len(known) < least:
+                continue
+            near = np.flatnonzero(np.bincount(np.concatenate([holders[k] for k in known[:first]]), minlength=len(held)) >= common)
+            shared = marks[near[:, None], np.array(known)].sum(1)
+            fit = 2 * shared >= low * (n + sizes[near])
+            for k, x in zip(near[fit].tolist(), shared[fit].tolist()):
+                other = held[k]
+                if ordered == 0 and other != name:
+                    found.append((name, other, x, n + int(sizes[k])))
+                elif ordered == 1 and name < other or ordered == 2 and name != other:
+                    found.append((min(name, other), max(name, other), x, n + int(sizes[k])))
+    a, b, shared, total = zip(*found) if found else ((), (), (), ())
+    grp = names["grp"][0].as_py()
+    return pa.table({"grp": pa.array([grp] * len(a), pa.string()), "name_a": pa.array(a, pa.string()), "name_b": pa.array(b, pa.string()), "shared": pa.array(shared, pa.int32()), "total": pa.array(total, pa.int32())})
 
 
 def near_pairs(named: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(grp, name_a, name_b, score): different names of a group that are alike by Dice of bigrams, a < b.
 
     named: grp, name_norm and side, one row each; names that are both of side 0 or both of
-    side 1 are only compared if the side is null. Of a name's n bigrams a partner at
-    ``threshold`` t shares at least o = t * n / (2 - t). With bigrams in one order, the rarest
-    first, two such names have three in common among the first n - o + 3 of each, so they
-    meet under a key of three bigrams; only names too short for that meet under single ones.
-    Nothing is lost, and common bigrams alone join nothing.
+    side 1 are only compared if the side is null; then a is of side 0 and b of side 1. Groups
+    are cut into blocks of about ``BLOCK`` names, each pair of which is one piece of work, so no
+    task holds a whole group; in a block names meet over an index of its bigrams.
     """
-    held = ["grp", "name_norm", "side"]
-    grams = named.select(*held, F.size(bigrams(F.col("name_norm"))).alias("n"), F.explode(bigrams(F.col("name_norm"))).alias("gram"))
-    frequency = grams.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("df"))
-    ordered = grams.join(frequency, ["grp", "gram"]).groupBy(*held, "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    least = F.ceil(F.round(threshold * F.col("n") / (2 - threshold), 9))
-    first = ordered.withColumn("least", least).withColumn("first", F.transform(F.slice("grams", 1, (F.col("n") - F.col("least") + 3).cast("int")), lambda x: x["gram"]))
-    short = F.col("n") <= F.floor(F.lit(3 * (2 - threshold) / threshold))
-    keys = settle(first.select("grp", "side", "name_norm", "n", "first", short.alias("short")).mapInArrow(_gram_keys, "grp string, side int, name_norm string, n int, key string"))
-    a, b = spread(keys).alias("a"), keys.alias("b")
-    within = (F.col("a.n") <= F.col("b.n") * (2 - threshold) / threshold + 1e-9) & (F.col("b.n") <= F.col("a.n") * (2 - threshold) / threshold + 1e-9)
-    sides = F.col("a.side").isNull() & F.col("b.side").isNull() & (F.col("a.name_norm") < F.col("b.name_norm")) | (F.col("a.side") < F.col("b.side")) & (F.col("a.name_norm") != F.col("b.name_norm"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.grp") == F.col("b.grp")) & sides & within).select("a.grp", F.col("a.name_norm").alias("name_a"), F.col("b.name_norm").alias("name_b")).distinct()
-    ga, gb = bigrams(F.col("name_a")), bigrams(F.col("name_b"))
-    score = 2.0 * F.size(F.array_intersect(ga, gb)) / (F.size(ga) + F.size(gb))
-    return pairs.withColumn("score", F.round(score, 6)).where(F.col("score") >= threshold)
+    count = lambda side: F.greatest(F.ceil(F.count_if(side) / BLOCK), F.lit(1)).cast("int")
+    side = F.col("side")
+    blocks = named.groupBy("grp").agg(count(side.isNull()).alias("all"), count(side == 0).alias("left"), count(side == 1).alias("right"))
+    own = F.when(side.isNull(), F.col("all")).when(side == 0, F.col("left")).otherwise(F.col("right"))
+    placed = named.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("name_norm"), own).cast("int"))
+
+    def put(probe: bool, i: Column, j: Column, ordered: Column) -> Column:
+        return F.struct(F.lit(probe).alias("probe"), i.alias("i"), j.alias("j"), ordered.cast("int").alias("ordered"))
+
+    here, none = F.col("own"), F.array().cast("array<struct<probe:boolean,i:int,j:int,ordered:int>>")
+    same = lambda x, y: F.when(x == y, 1).otherwise(2)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    within = F.concat(F.transform(F.sequence(here, F.col("all") - 1), lambda j: put(False, here, j, same(here, j))), F.transform(F.sequence(F.lit(0), here), lambda i: put(True, i, here, same(i, here))))
+    across = F.when(side == 0, F.transform(upto(F.col("right")), lambda i: put(True, i, here, F.lit(0)))).when(side == 1, F.transform(upto(F.col("left")), lambda j: put(False, here, j, F.lit(0)))).otherwise(none)
+    met = placed.select("grp", "name_norm", F.explode(F.when(side.isNull(), within).otherwise(across)).alias("at")).select("grp", "at.i", "at.j", "at.probe", "name_norm", "at.ordered")
+    work = met.repartition(4 * shuffle_partitions(named.sparkSession), "grp", "i", "j", "ordered")
+    pairs = work.groupBy("grp", "i", "j", "ordered").applyInArrow(lambda names: _alike(names, threshold), "grp string, name_a string, name_b string, shared int, total int")
+    return pairs.select("grp", "name_a", "name_b", F.round(2.0 * F.col("shared") / F.col("total"), 6).alias("score")).where(F.col("score") >= threshold)
 
 
 def near_names(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

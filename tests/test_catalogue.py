@@ -29,6 +29,24 @@ def test_near_names_equal_brute_force(spark):
     assert got == want and got[("service-b", "service-c")] == 0.875
 
 
+def test_near_pairs_in_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 30)
+    rnd = random.Random(9)
+    parts = ["pay", "ment", "ser", "vice", "cache", "a", "b", "xy", "ledger", "-", "1", "a-rather-long-common-part-of-names"]
+    names = sorted({"".join(rnd.choices(parts, k=rnd.randint(1, 4))) for _ in range(200)} | {"ab", "abc", "a", "aaaa"})
+    rows = [("one", n, None) for n in names] + [("two", n, 0) for n in names[::2]] + [("two", n, 1) for n in names[::3]] + [("left", n, 0) for n in names[:5]]
+    got = {(r.grp, r.name_a, r.name_b): r.score for r in resolve.near_pairs(spark.createDataFrame(rows, "grp string, name_norm string, side int")).collect()}
+    within = {("one", a, b): dice(a, b) for a, b in itertools.combinations(names, 2)}
+    across = {("two", a, b): dice(a, b) for a in names[::2] for b in names[::3] if a != b}
+    assert got == {k: round(v, 6) for k, v in (within | across).items() if round(v, 6) >= 0.7}
+
+
+def test_near_pairs_make_rows_by_blocks_not_by_bigrams(spark):
+    name = "a-name-with-so-many-different-bigrams-that-triples-of-them-would-be-a-million-rows-0123456789/qxz"
+    pairs = resolve.near_pairs(spark.createDataFrame([("g", f"{name}{i}", None) for i in range(20)], "grp string, name_norm string, side int"))
+    assert pairs.count() == 190 and "FlatMapGroupsInArrow" in pairs._jdf.queryExecution().toString()
+
+
 def test_aliases_respect_environment_and_family(spark):
     entities = spark.createDataFrame([entity("p", "datastore", "Orders DB", "prod"), entity("s", "datastore", "orders_db", "staging"), entity("q", "queue", "Jobs", "prod"), entity("r", "repo", "App"), entity("k", "package", "tool")], ENTITY)
     asked = [(1, "orders-db", "datastore", "prod"), (2, "ORDERS DB", "datastore", None), (3, "jobs", None, None), (4, "app", "component", None), (5, "Tool", "repo", None), (6, None, None, None), (7, "!!", None, None)]
