@@ -47,6 +47,22 @@ def test_near_pairs_make_rows_by_blocks_not_by_bigrams(spark):
     assert pairs.count() == 190 and "FlatMapGroupsInArrow" in pairs._jdf.queryExecution().toString()
 
 
+def test_proposals_from_blocks_are_the_best_of_all(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 20)
+    rnd = random.Random(3)
+    names = sorted({"".join(rnd.choices(["pay", "ment", "vice", "cache", "b", "-x", "ledger"], k=rnd.randint(2, 4))) for _ in range(120)})
+    known, asked = names[::2], names[::3]
+    entities = spark.createDataFrame([entity(f"e{i:03}", "service" if i % 2 else "client", n) for i, n in enumerate(known)], ENTITY)
+    minted = spark.createDataFrame([(f"m{i:03}", "service" if i % 3 else None, "unknown", n) for i, n in enumerate(asked)], "entity_id string, kind string, env string, name_norm string")
+    norm = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(known)], "i int, n string").orderBy("i").select(text.norm_name(F.col("n"))).collect()]
+    want = {}
+    for i, n in enumerate(asked):
+        scored = [(-(1.0 if n == m else round(dice(n, m), 6)), f"e{k:03}") for k, m in enumerate(norm) if i % 3 == 0 or k % 2]
+        if scored and -min(scored)[0] >= 0.7:
+            want[f"m{i:03}"] = (min(scored)[1], -min(scored)[0])
+    assert {r.entity_id: (r.id, r.score) for r in resolve.proposals(minted, entities).collect()} == want
+
+
 def test_aliases_respect_environment_and_family(spark):
     entities = spark.createDataFrame([entity("p", "datastore", "Orders DB", "prod"), entity("s", "datastore", "orders_db", "staging"), entity("q", "queue", "Jobs", "prod"), entity("r", "repo", "App"), entity("k", "package", "tool")], ENTITY)
     asked = [(1, "orders-db", "datastore", "prod"), (2, "ORDERS DB", "datastore", None), (3, "jobs", None, None), (4, "app", "component", None), (5, "Tool", "repo", None), (6, None, None, None), (7, "!!", None, None)]
