@@ -230,6 +230,16 @@ def test_a_walk_writes_no_more_paths_than_a_start_can_show(spark, monkeypatch):
     assert {r.src: r.n for r in lists}["h"] == 10  # of 300: best + depth
 
 
+def test_a_walk_back_from_hot_things_lists_few_steps_and_forgets_its_shuffles(spark, monkeypatch):
+    rows = [(f"s{i:03}|reads_from|p", f"s{i:03}", "reads_from", "p", None, 0.5 + i / 1000) for i in range(200)] + [(f"c|calls|s{i:03}", "c", "calls", f"s{i:03}", None, 0.9) for i in range(200)]
+    df = spark.createDataFrame(rows, "proposition_id string, subject string, predicate string, object string, object_literal string, trust double")
+    written, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda d, *a, **k: written.append((settle(d, *a, **k), k)) or written[-1][0])
+    paths = graph.walk(df, spark.createDataFrame([("p",)], "id string"), (), ("reads_from", "calls"), depth=5, best=8)
+    assert [">".join(r.path) for r in paths.orderBy(F.desc("trust")).collect()] == [f"p>s{i}" for i in range(199, 191, -1)]
+    assert written[0][0].selectExpr("max(size(steps))").first()[0] <= 14 and all(k.get("tidy") for _, k in written)
+
+
 def test_claims_of_one_assertion_are_edges_without_gathering(spark):
     from attesta.operators import temporal
 
