@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ TEMPLATES = {
     },
     "access": {"forward": ("connect_via", "secret_at", "provisioned_by", "deployed_to", "lives_in_repo"), "reverse": (), "depth": 3},
 }
+#: Starts that a wave of a walk has at least, where there are several, and the most waves; each reads the lists of steps anew.
+WAVE, WAVES = 100_000, 4
 # How much reaching a kind answers a question.
 KIND_VALUE = {"datastore": 6, "cloud_resource": 5, "queue": 4, "cache": 3, "component": 3, "client": 3, "package": 2, "iac_module": 2, "repo": 1}
 
@@ -118,18 +123,20 @@ def hops(edges: DataFrame, forward: tuple[str, ...], reverse: tuple[str, ...], m
     return out.unionByName(back)
 
 
-def walk(edges: DataFrame, starts: DataFrame, forward: tuple[str, ...], reverse: tuple[str, ...] = (), depth: int = 6, min_trust: float = 0.05, best: int | None = None) -> DataFrame:
+def walk(edges: DataFrame | list[DataFrame], starts: DataFrame, forward: tuple[str, ...], reverse: tuple[str, ...] = (), depth: int = 6, min_trust: float = 0.05, best: int | None = None) -> DataFrame:
     """Simple paths of at most ``depth`` steps from each start (column id).
 
+    edges: one table, or several without a common claim, of which each is written on its own
+    before a walk by the best paths, so the shuffles of only one lie on the disk.
     (start, node, depth, path, props, trust): trust is the product along the path. Each step
     is an equi-join on the frontier's nodes, so any number of starts is walked at once. With
     ``best`` each start's so many most trusted paths are found (``first_paths``), and hubs fan
     out no further than what can count. Without it all paths are found, and hubs multiply.
     """
-    steps = hops(edges, forward, reverse, min_trust)
+    parts = [hops(e, forward, reverse, min_trust) for e in (edges if isinstance(edges, list) else [edges])]
     if best:
-        return _best_walk(steps, starts, depth, min_trust, best)
-    steps = settle(steps)
+        return _best_walk(parts, starts, depth, min_trust, best)
+    steps = settle(reduce(DataFrame.unionByName, parts))
     frontier = starts.select(
         F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("path"), F.array().cast("array<string>").alias("props"), F.lit(1.0).alias("trust"), F.lit(None).cast("string").alias("last")
     )
@@ -165,16 +172,29 @@ def _step_lists(steps: DataFrame, depth: int, min_trust: float, best: int) -> Da
     return alike.groupBy(*node).agg(F.collect_list(F.struct("trust", "dst", F.col("proposition_id").alias("prop"))).alias("steps"))
 
 
-def _best_walk(steps: DataFrame, starts: DataFrame, depth: int, min_trust: float, best: int) -> DataFrame:
+def _best_walk(parts: list[DataFrame], starts: DataFrame, depth: int, min_trust: float, best: int) -> DataFrame:
     """Each start's ``best`` most trusted paths, ties as in ``first_paths``.
 
     Where no step raises trust a path is worse than all its beginnings, so only what is among
     a start's best of all lengths so far goes on: the nth of them by its best - n best steps,
     and by none that is worse than the last of ``best``. Where a step's trust is over 1, the best of each length go on.
+    Many starts are walked in waves, one after the other, so only the shuffles of a wave lie on the disk.
     """
-    seen = Observation()
+    seen, many = Observation(), Observation()
+    written = [settle(p, tidy=True) for p in parts] if len(parts) > 1 else []
+    steps = reduce(DataFrame.unionByName, written or parts)
     lists = settle(_step_lists(steps, depth, min_trust, best).observe(seen, F.max(F.array_max(F.transform("steps", lambda s: s["trust"]))).alias("trust"), F.count_if(F.col("via").isNotNull()).alias("hung")), tidy=True)
+    forget(*written)
     falling, hung = (seen.get["trust"] or 0.0) <= 1.0, seen.get["hung"]
+    starts = settle(starts.select("id").observe(many, F.count(F.lit(1)).alias("starts")), tidy=True)
+    waves = min(WAVES, max(1, math.ceil(many.get["starts"] / WAVE)))
+    walked = [_rounds(lists, starts.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == k), depth, best, falling, hung) for k in range(waves)]
+    state = reduce(DataFrame.unionByName, walked)
+    return (state if falling else first_paths(state.drop("nth"), best)).select("start", "node", "depth", "path", "props", "trust")
+
+
+def _rounds(lists: DataFrame, starts: DataFrame, depth: int, best: int, falling: bool, hung: int) -> DataFrame:
+    """The paths that go on or stay among the best of these starts, after all rounds, as a table of ``settle``."""
     free, after = (lists.where(F.col("via").isNull() == nothing).select(F.col("src").alias("node"), F.col("via").alias("last"), "steps") for nothing in (True, False))
     group = ["start"] if falling else ["start", "depth"]
     own = ["start", "node", "depth", "path", "props", "trust", "last"]
@@ -190,7 +210,7 @@ def _best_walk(steps: DataFrame, starts: DataFrame, depth: int, min_trust: float
         product = lambda s: F.round(F.col("trust") * s["trust"], 9)
         able = F.filter("steps", lambda s: ~F.array_contains("path", s["dst"]) & (F.col("least").isNull() | (product(s) >= F.col("least"))))
         ordered = F.array_sort(F.transform(able, lambda s: F.struct((-product(s)).alias("down"), s["dst"].alias("dst"), s["prop"].alias("prop"), s["trust"].alias("trust"))))
-        ahead = ahead.select(*own, F.slice(ordered, 1, left).alias("steps"))
+        ahead = ahead.select(*own, F.transform(F.slice(ordered, 1, left), lambda s: F.struct(s["dst"].alias("dst"), s["prop"].alias("prop"), s["trust"].alias("trust"))).alias("steps"))
         if n:
             ahead = ahead.unionByName(state.where(F.col("depth") < n).select(*own), allowMissingColumns=True)
         itself = F.array(F.lit(None).cast(ahead.schema["steps"].dataType.elementType))
@@ -207,7 +227,7 @@ def _best_walk(steps: DataFrame, starts: DataFrame, depth: int, min_trust: float
             forget(before)
         if n + 1 == depth or state.where(F.col("depth") == n + 1).join(lists.select(F.col("src").alias("node")), "node", "left_semi").isEmpty():
             break
-    return (state if falling else first_paths(state.drop("nth"), best)).select("start", "node", "depth", "path", "props", "trust")
+    return state
 
 
 def _trusted() -> list[Column]:

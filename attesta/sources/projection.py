@@ -7,6 +7,8 @@ plain value an ``object_literal``. Nothing is ever updated; closures are rows of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,13 @@ def ownership_claims(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def supply_claims(spark: SparkSession, folder: str, once: bool = False) -> DataFrame:
-    """Customers call suppliers, suppliers read from parts, parts belong to brands, all live in nations.
+def supply_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers call suppliers, suppliers read from parts, parts belong to brands, all live in nations."""
+    return reduce(DataFrame.unionByName, supply_parts(spark, folder))
+
+
+def supply_parts(spark: SparkSession, folder: str, once: bool = False) -> list[DataFrame]:
+    """The claims of ``supply_claims`` in three tables: those calling, those reading, the others.
 
     With ``once`` a claim that several rows of a table make is one assertion.
     """
@@ -57,7 +64,7 @@ def supply_claims(spark: SparkSession, folder: str, once: bool = False) -> DataF
     reads = line.groupBy("l_suppkey", "l_partkey").agg(F.min("l_shipdate").alias("first"))
     ends = {"part": ("p_partkey", "p_brand"), "supplier": ("s_suppkey", "s_nationkey"), "customer": ("c_custkey", "c_nationkey"), "nation": ("n_nationkey", "n_regionkey")}
     part, supplier, customer, nation = (table(spark, folder, t).select(*columns).distinct() if once else table(spark, folder, t) for t, columns in ends.items())
-    parts = [
+    linked = [
         claims(calls, subject=_id("cust", "o_custkey"), predicate=F.lit("calls"), object=_id("supp", "l_suppkey"), method=code, created_at=F.col("first").cast("timestamp")),
         claims(reads, subject=_id("supp", "l_suppkey"), predicate=F.lit("reads_from"), object=_id("part", "l_partkey"), method=code, created_at=F.col("first").cast("timestamp")),
         claims(part, subject=_id("part", "p_partkey"), predicate=F.lit("part_of"), object=_id("brand", "p_brand"), method=code, created_at=start),
@@ -65,10 +72,7 @@ def supply_claims(spark: SparkSession, folder: str, once: bool = False) -> DataF
         claims(customer, subject=_id("cust", "c_custkey"), predicate=F.lit("lives_in_repo"), object=_id("nation", "c_nationkey"), method=code, created_at=start),
         claims(nation, subject=_id("nation", "n_nationkey"), predicate=F.lit("part_of"), object=_id("region", "n_regionkey"), method=code, created_at=start),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return [*linked[:2], reduce(DataFrame.unionByName, linked[2:])]
 
 
 def entity_id(value: Column) -> Column:

@@ -249,3 +249,22 @@ def test_claims_of_one_assertion_are_edges_without_gathering(spark):
     columns = ["proposition_id", "subject", "predicate", "object", "object_literal", "trust"]
     single = temporal.single_edges_at(df, F.lit(day(4)))
     assert single.collect() == temporal.edges_at(df, F.lit(day(4))).select(*columns).collect() and "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_walk_in_waves_over_tables_of_claims_finds_the_same_and_reads_one_large_table_at_a_time(spark, monkeypatch):
+    from attesta.plans import claims
+
+    def found():
+        return sorted(map(tuple, claims.walk_blast_radius(spark, "/root/testdata/sf0.001").collect()))
+
+    once, plans, settle = found(), [], graph.settle
+
+    def kept(d, *a, **k):
+        plans.append(d._jdf.queryExecution().optimizedPlan().toString())
+        return settle(d, *a, **k)
+
+    monkeypatch.setattr(graph, "settle", kept)
+    monkeypatch.setattr(graph, "WAVE", 40)
+    assert found() == once and len(once) > 0
+    assert sorted(p.count("min(l_shipdate") for p in plans)[-2:] == [1, 1]  # those calling and those reading are written apart
+    assert len(plans) >= 5 + 2 * graph.WAVES  # three tables of claims, the lists, the starts, and rounds of each wave
