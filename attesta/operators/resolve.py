@@ -166,10 +166,10 @@ def proposals(minted: DataFrame, entities: DataFrame, threshold: float = THRESHO
     if the minted one has one. Ties go to the smaller id. Equal names score 1.
     """
     known = names(entities)
-    left = minted.select("entity_id", F.concat_ws("|", F.coalesce("kind", F.lit("*")), "env").alias("grp"), "name_norm").transform(settle)
+    left = minted.select("entity_id", F.concat_ws("|", F.coalesce("kind", F.lit("*")), "env").alias("grp"), "name_norm").transform(settle, tidy=True)
     right = known.select("id", F.explode(F.array(F.concat_ws("|", "kind", "env"), F.concat_ws("|", F.lit("*"), "env"))).alias("grp"), "name_norm")
-    both = settle(left.select("grp", "name_norm", F.lit(0).alias("side")).union(right.select("grp", "name_norm", F.lit(1).alias("side"))).distinct())
-    alike = near_pairs(both, threshold).select("grp", F.col("name_a").alias("name_norm"), F.col("name_b").alias("other"), "score")
+    both = settle(left.select("grp", "name_norm", F.lit(0).alias("side")).union(right.select("grp", "name_norm", F.lit(1).alias("side"))).distinct(), tidy=True)
+    alike = settle(near_pairs(both, threshold), tidy=True).select("grp", F.col("name_a").alias("name_norm"), F.col("name_b").alias("other"), "score")
     same = left.join(right.select("grp", "name_norm").distinct(), ["grp", "name_norm"]).select("grp", "name_norm", F.col("name_norm").alias("other"), F.lit(1.0).alias("score")).distinct()
     borne = right.groupBy("grp", F.col("name_norm").alias("other")).agg(F.min("id").alias("id"))
     best = alike.union(same).join(borne, ["grp", "other"]).groupBy("grp", "name_norm").agg(F.min(F.struct(-F.col("score"), "id")).alias("b"))

@@ -39,7 +39,10 @@ def _edges(spark: SparkSession, folder: str) -> DataFrame:
 def _identifiers(spark: SparkSession, folder: str) -> DataFrame:
     """What mentions that name an entity exactly say about its identifiers."""
     mentions = _mentions(spark, folder)
-    matched = resolve.alias_matches(mentions, _entities(spark, folder))
+    return _said(mentions, resolve.alias_matches(mentions, _entities(spark, folder)))
+
+
+def _said(mentions: DataFrame, matched: DataFrame) -> DataFrame:
     said = mentions.select("mention_id", F.explode("identifiers").alias("i")).join(matched, "mention_id")
     return said.select("id", F.lower(F.regexp_replace("i.authority", "[^A-Za-z0-9]+", "_")).alias("authority"), F.trim("i.value").alias("value")).where("authority is not null and value <> ''").distinct()
 
@@ -62,8 +65,14 @@ def strong_match(spark: SparkSession, folder: str) -> DataFrame:
 
 def minted(spark: SparkSession, folder: str) -> DataFrame:
     """What the mentions that no rung of the ladder resolves would mint."""
-    mentions, entities = _mentions(spark, folder), _entities(spark, folder)
-    resolved = resolve.strong_matches(mentions, _identifiers(spark, folder)).select("mention_id").union(resolve.alias_matches(mentions, entities).select("mention_id"))
+    return _minted(settle(_mentions(spark, folder), tidy=True), settle(_entities(spark, folder), tidy=True))
+
+
+def _minted(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """mentions, entities: tables that each step may read again. What several steps need is written once, so plans stay small."""
+    matched = settle(resolve.alias_matches(mentions, entities), tidy=True)
+    strong = settle(resolve.strong_matches(mentions, _said(mentions, matched)), tidy=True)
+    resolved = strong.select("mention_id").union(matched.select("mention_id"))
     return resolve.mintable(mentions, resolved).select("entity_id", "env", "name_norm", "kind", "mentions")
 
 
@@ -119,7 +128,8 @@ def ranked_match(spark: SparkSession, folder: str) -> DataFrame:
 
 def fuzzy_proposals(spark: SparkSession, folder: str) -> DataFrame:
     """For each name that mentions would mint the entity most like it."""
-    return resolve.proposals(minted(spark, folder), _entities(spark, folder)).select("entity_id", "id", F.round("score", 6).alias("score"))
+    entities = settle(_entities(spark, folder), tidy=True)
+    return resolve.proposals(_minted(settle(_mentions(spark, folder), tidy=True), entities), entities).select("entity_id", "id", F.round("score", 6).alias("score"))
 
 
 def merged_roots(spark: SparkSession, folder: str) -> DataFrame:

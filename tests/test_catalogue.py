@@ -142,3 +142,20 @@ def test_anchors_rank_phrases_before_words(spark):
         got.setdefault(r.question_id, []).append((r.id, round(r.score, 2)))
     assert got == {1: [("a", 18.0), ("b", 4.0)], 2: [("a", 12.6), ("b", 4.0)]}
     assert anchors.anchors(asked.where("false"), entities).count() == 0 and anchors.anchors(asked, entities.where("false")).count() == 0
+
+
+def test_proposals_read_each_table_once_in_small_plans(spark, monkeypatch):
+    from attesta.plans import catalogue
+
+    plans, settle = [], resolve.settle
+
+    def kept(d, *a, **k):
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        return settle(d, *a, **k)
+
+    monkeypatch.setattr(resolve, "settle", kept)
+    monkeypatch.setattr(catalogue, "settle", kept)
+    found = catalogue.fuzzy_proposals(spark, "/root/testdata/sf0.001")
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert [sum(p.count(f"/{t}.parquet") for p in plans) for t in ("mention", "entity")] == [1, 1]
+    assert max(p.count("Exchange ") for p in plans) <= 8 and found.count() > 0
